@@ -9,12 +9,16 @@ rounds reads next to nothing.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..store import Workspace
 
+#: The first rounds take one level each; later ones, of few records, several in one job.
+EAGER, AT_ONCE = 3, 4
+
 
 def orphan_references(references: DataFrame, records: DataFrame, scope: Sequence[str] = ("event_id",), carry: Sequence[str] = (), holds: Mapping[str, str] | None = None, cascade: bool = True) -> DataFrame:
     """Every orphaned reference, direct or inherited.
@@ -48,19 +52,27 @@ def orphan_references(references: DataFrame, records: DataFrame, scope: Sequence
     found = [ws.write(direct)]
     schema, live, level, size = direct.schema, refs, 0, None
     read = lambda *paths: spark.read.schema(schema).parquet(*paths)
+    record = ["ref_table", *scope, "child_id"]
     while True:
         last = read(found[-1])
-        n = last.agg(F.count(F.lit(1)), F.count_distinct(*scope) if scope else F.lit(1)).first()
+        n = last.agg(F.count(F.lit(1)), F.max("level")).first()
         if not n[0]:
             break
-        if level and scope and (size is None or n[1] * 4 < size):  # far fewer scopes than before: leave the others behind
-            size = n[1]
+        if level and scope and (size is None or n[0] * 4 < size):  # far fewer than before: leave the other scopes behind
+            size = n[0]
             at = last.select(*(F.col(k).alias(f"l_{k}") for k in scope)).distinct()
             live = ws.keep(live.join(at, [F.col(k) == F.col(f"l_{k}") for k in scope], "left_semi"))
-        level += 1
-        top = as_key(last).groupBy(*(f"k_{k}" for k in keys)).agg(F.min("top").alias("top"))
-        step = live.join(top, [F.col(k) == F.col(f"k_{k}") for k in keys], "inner").select(*live.columns, F.col("top").alias("missing_id"), F.lit(level).alias("level"), F.lit(None).cast("boolean").alias("withdrawn"))
-        seen = read(*found).select(F.col("ref_table").alias("v_table"), *(F.col(k).alias(f"v_{k}") for k in scope), F.col("child_id").alias("v_id"))
-        step = step.join(seen, [F.col("ref_table") == F.col("v_table"), *(F.col(k) == F.col(f"v_{k}") for k in scope), F.col("child_id") == F.col("v_id")], "left_anti")
-        found.append(ws.write(step))
+        last = last.where(F.col("level") == n[1])
+        steps = []
+        for _ in range(1 if level < EAGER else AT_ONCE):
+            level += 1
+            top = as_key(last).groupBy(*(f"k_{k}" for k in keys)).agg(F.min("top").alias("top"))
+            last = live.join(top, [F.col(k) == F.col(f"k_{k}") for k in keys], "inner").select(*live.columns, F.col("top").alias("missing_id"), F.lit(level).alias("level"), F.lit(None).cast("boolean").alias("withdrawn"))
+            steps.append(last)
+        step = steps[0]
+        if len(steps) > 1:  # a record that came up twice keeps its lowest level
+            step = reduce(DataFrame.unionByName, steps)
+            step = step.groupBy(*record, "target_table", "target_id").agg(F.min(F.struct("level", "missing_id", *carry)).alias("v"), F.lit(None).cast("boolean").alias("withdrawn")).select(*record, "target_table", "target_id", *(f"v.{c}" for c in carry), "v.missing_id", "v.level", "withdrawn")
+        seen = read(*found).select(*(F.col(k).alias(f"v_{k}") for k in record))
+        found.append(ws.write(step.join(seen, [F.col(k) == F.col(f"v_{k}") for k in record], "left_anti")))
     return read(*found)
