@@ -97,17 +97,8 @@ def points_in_regions(points: DataFrame, outlines: DataFrame, x: str = "x", y: s
     return one.unionByName(many.where("__crossings % 2 = 1").select(*own, region))
 
 
-def near_pairs(points: DataFrame, distance: float, point: str, owner: str | None = None, scope: Sequence[str] = (), xyz: Sequence[str] = ("x", "y", "z"), cell: float | None = None) -> DataFrame:
-    """All pairs of points of one scope, of different owners, at most ``distance`` apart (inclusive, in double precision).
-
-    :param owner: points of one owner are no pair; None: any two points are
-    :param cell: width of the cells; by default six distances
-    :return: distinct (``point_a``, ``point_b``, ``d2``), point_a < point_b, ``d2`` the squared distance
-
-    Points with a null or NaN coordinate, point id, scope or (if used) owner are near nothing; infinite ones neither. Repeated rows of a point
-    count once. Equal positions are at distance 0. Works in one to three dimensions, by the names in ``xyz``. The columns of the points
-    may have any names. One shuffle of the points by cell, joined with itself; then one of the pairs found, to make them distinct.
-    """
+def _near(points: DataFrame, distance: float, point: str, owner: str | None, scope: Sequence[str], xyz: Sequence[str], cell: float | None) -> DataFrame:
+    """The pairs of ``near_pairs`` as s0.., id_a, o_a, id_b, o_b, d2; in either order, and repeated where rows repeat."""
     c = cell or 6 * distance
     if c < distance:
         raise ValueError("cells must be at least as wide as the distance")
@@ -138,4 +129,60 @@ def near_pairs(points: DataFrame, distance: float, point: str, owner: str | None
     if owner:
         found = found.where(F.col("a.o") != F.col("b.o"))
     found = found.where(F.col("a.id") != F.col("b.id")).where(d2 <= distance * distance)
-    return found.select(F.least("a.id", "b.id").alias("point_a"), F.greatest("a.id", "b.id").alias("point_b"), d2.alias("d2")).distinct()
+    return found.select(*(F.col(f"a.s{i}").alias(f"s{i}") for i in range(len(scope))), *(F.col(f"{t}.{k}").alias(f"{k}_{t}") for t in "ab" for k in ("id", *(["o"] if owner else []))), d2.alias("d2"))
+
+
+def near_pairs(points: DataFrame, distance: float, point: str, owner: str | None = None, scope: Sequence[str] = (), xyz: Sequence[str] = ("x", "y", "z"), cell: float | None = None) -> DataFrame:
+    """All pairs of points of one scope, of different owners, at most ``distance`` apart (inclusive, in double precision).
+
+    :param owner: points of one owner are no pair; None: any two points are
+    :param cell: width of the cells; by default six distances
+    :return: distinct (``point_a``, ``point_b``, ``d2``), point_a < point_b, ``d2`` the squared distance
+
+    Points with a null or NaN coordinate, point id, scope or (if used) owner are near nothing; infinite ones neither. Repeated rows of a point
+    count once. Equal positions are at distance 0. Works in one to three dimensions, by the names in ``xyz``. The columns of the points
+    may have any names. One shuffle of the points by cell, joined with itself; then one of the pairs found, to make them distinct.
+    """
+    found = _near(points, distance, point, owner, scope, xyz, cell)
+    return found.select(F.least("id_a", "id_b").alias("point_a"), F.greatest("id_a", "id_b").alias("point_b"), "d2").distinct()
+
+
+def touching(points: DataFrame, distance: float, point: str, owner: str, scope: Sequence[str] = (), xyz: Sequence[str] = ("x", "y", "z"), cell: float | None = None) -> DataFrame:
+    """Which owners of one scope have points at most ``distance`` apart: scope, ``owner_a`` < ``owner_b``, ``distance`` of their nearest points.
+
+    Rows are treated as by ``near_pairs``. Owners without points touch nothing. Pairs of points are folded to pairs of owners before the shuffle.
+    """
+    found = _near(points, distance, point, owner, scope, xyz, cell)
+    return found.groupBy(*(F.col(f"s{i}").alias(k) for i, k in enumerate(scope)), F.least("o_a", "o_b").alias("owner_a"), F.greatest("o_a", "o_b").alias("owner_b")).agg(F.sqrt(F.min("d2")).alias("distance"))
+
+
+def standoff(cells: DataFrame, radius: float, pair: Sequence[str], side: str, point: str, xyz: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+    """How far the cloud of side 1 of each pair sticks out of that of side 2: the greatest distance of a cell of side 1 from its nearest of side 2.
+
+    Searched within ``radius``: ``standoff`` is null where some cell of side 1 has no neighbour that near. The ``point`` ids are unique within the pair, over both sides.
+    """
+    found = _near(cells, radius, point, side, pair, xyz, None)
+    keys = [F.col(f"s{i}").alias(k) for i, k in enumerate(pair)]
+    near = found.groupBy(*keys, F.when(F.col("o_a") == 1, F.col("id_a")).otherwise(F.col("id_b")).alias("__id")).agg(F.min("d2").alias("d2"))
+    reach = near.groupBy(*pair).agg(F.max("d2").alias("d2"), F.count(F.lit(1)).alias("near"))
+    all_ = cells.where(F.col(side) == 1).groupBy(*(F.col(k).alias(f"__{k}") for k in pair)).agg(F.count_distinct(point).alias("cells"))
+    met = all_.join(reach, [F.col(f"__{k}") == F.col(k) for k in pair], "left")
+    return met.select(*(F.col(f"__{k}").alias(k) for k in pair), "cells", F.when(F.col("near") == F.col("cells"), F.sqrt("d2")).alias("standoff"))
+
+
+def in_boxes(points: DataFrame, boxes: DataFrame, bounds: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """Points joined with the boxes that hold them: bounds are (coordinate, low, high), lower faces included, upper excluded. A plain range join, for a few boxes; ``points_in_regions`` takes many."""
+    on = [(F.col(c).cast("double") >= F.col(low)) & (F.col(c).cast("double") < F.col(high)) & ~F.isnan(F.col(c)) for c, low, high in bounds]
+    return points.join(boxes, on, "inner")
+
+
+def matched(left: DataFrame, right: DataFrame, on: Sequence[str], close: Sequence[tuple[str, str]], first: str, absolute: float = 1e-4, relative: float = 1e-5) -> DataFrame:
+    """``left`` with the first row of ``right`` (least ``first``) whose values all lie within absolute + relative * |its value|, in the same ``on``; nulls where none does.
+
+    The right side's columns come prefixed with r_. Rows of ``left`` that repeat become one.
+    """
+    r = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns))
+    near = [F.abs(F.col(a).cast("double") - F.col(f"r_{b}").cast("double")) <= absolute + relative * F.abs(F.col(f"r_{b}").cast("double")) for a, b in close]
+    met = left.join(r, [*(F.col(k) == F.col(f"r_{k}") for k in on), *near], "left")
+    least = F.min(F.when(F.col(f"r_{first}").isNotNull(), F.struct(f"r_{first}", *(c for c in r.columns if c != f"r_{first}"))))
+    return met.groupBy(*left.columns).agg(least.alias("m")).select(*left.columns, *(F.col(f"m.{c}").alias(c) for c in r.columns))
