@@ -97,12 +97,12 @@ def dense_ids(particles: DataFrame, order: Sequence[str], event: str = "event_id
 
 
 def first_last_steps(steps: DataFrame, instance: Sequence[str] = ("event_id", "inst_id"), time: str = "t", tie: str = "step_id", keep: Sequence[str] = ("x", "y", "z")) -> DataFrame:
-    """First and last step of each instance by time: of its allowed steps (``allowed``), of all its steps if it has none of those. Showers (``is_shower``) have no last."""
+    """First and last step of each instance by time, then by ``tie`` (``keep``: further columns of them): of its allowed steps (``allowed``), of all its steps if it has none of those. Showers (``is_shower``) have no last."""
     at = F.struct(F.col(time), F.col(tie), *keep)
     last = F.struct(F.col(time), (-F.col(tie)).alias("m"), F.col(tie), *keep)
     ok = F.coalesce(F.col("allowed"), F.lit(False))
     g = steps.groupBy(*instance).agg(F.coalesce(F.min(F.when(ok, at)), F.min(at)).alias("f"), F.coalesce(F.max(F.when(ok, last)), F.max(last)).alias("l"), F.max("is_shower").alias("s"))
-    return g.select(*instance, *(F.col(f"f.{c}").alias(f"first_{c}") for c in (time, *keep)), *(F.when(~F.col("s"), F.col(f"l.{c}")).alias(f"last_{c}") for c in (time, *keep)))
+    return g.select(*instance, *(F.col(f"f.{c}").alias(f"first_{c}") for c in (time, tie, *keep)), *(F.when(~F.col("s"), F.col(f"l.{c}")).alias(f"last_{c}") for c in (time, tie, *keep)))
 
 
 def converted_end_momenta(tracks: DataFrame, event: str = "event_id") -> DataFrame:

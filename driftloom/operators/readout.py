@@ -22,16 +22,16 @@ def decode_hits(groups: DataFrame, entries: DataFrame, keys: Sequence[str], orde
     :param groups: keys, ``group_no`` (order of the groups), ``group_id``, ``group_size``, ``center_py``, ``center_pz``, ``center_times``, ``peak_charges``
     :param entries: keys, ``position`` (0, 1, ...), ``delta_py``, ``delta_pz``, ``delta_times``, ``fraction``
 
-    Each group owns as many entries as its size, in order. Where sizes and entries do not add up the query fails; a surplus of whole 256s is named, for sizes
+    Each group owns as many entries as its size, in order. Where sizes and entries do not add up, or positions do not count from 0, the query fails; a surplus of whole 256s is named, for sizes
     that were stored in one byte.
     """
     run = Window.partitionBy(*keys).orderBy("group_no").rowsBetween(Window.unboundedPreceding, -1)
     started = groups.withColumn("first", F.coalesce(F.sum("group_size").over(run), F.lit(0)))
-    n = entries.groupBy(*(F.col(k).alias(f"n_{k}") for k in keys)).agg(F.count(F.lit(1)).alias("entries"))
+    n = entries.groupBy(*(F.col(k).alias(f"n_{k}") for k in keys)).agg(F.count(F.lit(1)).alias("entries"), F.sum(order).alias("sum"))
     told = groups.groupBy(*keys).agg(F.sum("group_size").alias("told"))
     both = told.join(n, [F.col(k) == F.col(f"n_{k}") for k in keys], "left").withColumn("lost", F.coalesce("entries", F.lit(0)) - F.coalesce("told", F.lit(0)))
     message = F.concat(F.lit("group sizes and entries differ: "), F.when((F.col("lost") > 0) & (F.col("lost") % 256 == 0), F.concat((F.col("lost") / 256).cast("int").cast("string"), F.lit(" x 256 lost"))).otherwise(F.col("lost").cast("string")))
-    checked = both.select(*(F.col(k).alias(f"c_{k}") for k in keys), F.when(F.col("lost") != 0, F.raise_error(message).cast("boolean")).otherwise(True).alias("fits")).where("fits")
+    checked = both.select(*(F.col(k).alias(f"c_{k}") for k in keys), F.when((F.col("lost") != 0) | (F.col("sum") * 2 != F.col("entries") * (F.col("entries") - 1)), F.raise_error(message).cast("boolean")).otherwise(True).alias("fits")).where("fits")
     spread = started.where("group_size > 0").select(*keys, "group_id", "center_py", "center_pz", "center_times", "peak_charges", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("group_size") - 1)).alias("at"))
     e = entries.select(*(F.col(k).alias(f"e_{k}") for k in keys), F.col(order).cast("bigint").alias("e_at"), "delta_py", "delta_pz", "delta_times", "fraction")
     met = spread.join(e, [*(F.col(k) == F.col(f"e_{k}") for k in keys), F.col("at") == F.col("e_at")]).join(checked, [F.col(k) == F.col(f"c_{k}") for k in keys])

@@ -17,6 +17,7 @@ from ..params import Params
 from ..sources import store as S
 from ..tables import no_parent, standing, table
 from ..training import training_voxels
+from .oracle import SQL as SQL
 
 SIZE, ORIGIN = (3.0, 3.0, 3.0), (-2160.0, -2160.0, -2160.0)
 DISTANCE = 5.2
@@ -252,7 +253,7 @@ def csr_decode(spark: SparkSession, d: str) -> DataFrame:
     """Groups whose entries are coded as deltas from the group's centre: three entries each."""
     g = _groups(spark, d, "center_py", "center_pz", "center_times", "peak_charges").withColumn("group_no", F.col("group_id")).withColumn("group_size", F.lit(3).cast("bigint"))
     rank = F.row_number().over(Window.partitionBy("event_id").orderBy("group_id")) - 1
-    e = g.select("event_id", rank.alias("k"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("i")).select("event_id", (F.col("k") * 3 + F.col("i")).alias("position"), F.col("i").alias("delta_py"), (-F.col("i")).alias("delta_pz"), (F.col("i") * 2).alias("delta_times"), (F.lit(32767) - F.col("i") * 10000).alias("fraction"))
+    e = g.withColumn("k", rank).select("event_id", "k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("i")).select("event_id", (F.col("k") * 3 + F.col("i")).alias("position"), F.col("i").alias("delta_py"), (-F.col("i")).alias("delta_pz"), (F.col("i") * 2).alias("delta_times"), (F.lit(32767) - F.col("i") * 10000).alias("fraction"))
     h = readout.decode_hits(g, e, ("event_id",))
     return h.select("event_id", "group_id", "csr_pos", "py", "pz", "tick", F.round("charge", 4).alias("charge"))
 
@@ -271,14 +272,14 @@ def group_owners(spark: SparkSession, d: str) -> DataFrame:
 
 def group_reductions(spark: SparkSession, d: str) -> DataFrame:
     r = P.group_reductions(_points(spark, d, "t", "de").where("not isnan(de)"), ["event_id", "particle_id"])
-    return r.select("event_id", "particle_id", F.round("t0", 4).alias("t0"), F.round("de", 3).alias("de"))
+    return r.select("event_id", "particle_id", "t0", "de")
 
 
 def shared_energy(spark: SparkSession, d: str) -> DataFrame:
     """The energy of each particle's points, shared over them by dx."""
     p = _points(spark, d, "de", "dx").where("dx is not null and not isnan(de)").select("event_id", "particle_id", "point_id", "de", F.col("dx").cast("double").alias("charge"))
     g = p.groupBy("event_id", "particle_id").agg(F.sum(F.col("de").cast("double")).alias("de"))
-    return P.shared_energy(p.drop("de"), g, ["event_id", "particle_id"]).select("point_id", F.round("true_de", 4).alias("true_de"))
+    return P.shared_energy(p.drop("de"), g, ["event_id", "particle_id"]).select("point_id", "true_de")
 
 
 def hit_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -401,7 +402,7 @@ def contained_points(spark: SparkSession, d: str) -> DataFrame:
 def first_last_points(spark: SparkSession, d: str) -> DataFrame:
     m = _membership(spark, d).select(F.col("event_id").alias("m_e"), "id", "inst_id", "is_le")
     s = _points(spark, d, "x", "t").join(m, (F.col("event_id") == F.col("m_e")) & (F.col("particle_id") == F.col("id"))).select("event_id", "inst_id", "t", "x", F.col("point_id").alias("step_id"), (~F.col("is_le")).alias("allowed"), F.lit(False).alias("is_shower"))
-    return layout.first_last_steps(s, keep=("step_id",)).select("event_id", "inst_id", F.col("first_step_id").alias("first_point"), F.col("last_step_id").alias("last_point"))
+    return layout.first_last_steps(s, keep=("x",)).select("event_id", "inst_id", F.col("first_step_id").alias("first_point"), F.col("last_step_id").alias("last_point"))
 
 
 def dense_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -492,4 +493,3 @@ QUERIES = {
         not_merged, run_report, pitch_fit, plane_fit, residual_medians, chained_inputs, paired_entries, store_roundtrip,
     )
 }
-SQL: dict[str, str] = {}
