@@ -125,6 +125,9 @@ def mix_sources(docs: DataFrame, targets: DataFrame, doc: str = "doc_id", source
     want = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.greatest(F.coalesce(F.max("target_share"), F.lit(0.0)), F.lit(0.0)).alias("share"), F.greatest(F.coalesce(F.max("max_repeats"), F.lit(0)), F.lit(0)).alias("cap")).orderBy("source").limit(MOST_SOURCES + 1).collect()
     if len(want) > MOST_SOURCES:
         raise ValueError(f"over {MOST_SOURCES} sources")
+    if not want:
+        kind = docs.schema[doc].dataType.simpleString()
+        return Mixture(spark.createDataFrame([], f"doc_id {kind}, source string, repeats int, tokens bigint"), spark.createDataFrame([], "source string, target_share double, actual_share double, tokens bigint, documents bigint, most_repeats int, max_repeats int"))
     names = [r["source"] for r in want]
     share, cap = np.array([r["share"] for r in want]), np.array([r["cap"] for r in want], dtype=float)
     weights = fit_domains(docs, names, source, text, vocabulary)
