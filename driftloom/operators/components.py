@@ -33,7 +33,7 @@ def connected_components(pairs: DataFrame, a: str, b: str, scope: Sequence[str]
     sk = [f"s{i}" for i in range(len(scope))]
     first = F.col(a).isNotNull() & F.col(b).isNotNull()
     edges = pairs.where(first).select(*(F.col(k).alias(x) for k, x in zip(scope, sk)), F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where(" and ".join([*(f"{x} is not null" for x in sk), "u < v"])).distinct()
-    path = ws.write(edges)
+    path = ws.write(edges, sized=True)
     labels: str | None = None  # n -> label, for every node hooked so far
     link_schema = edges.select(*sk, F.col("u").alias("n"), F.col("v").alias("r")).schema
     read_links = lambda p: spark.read.schema(link_schema).parquet(p)
@@ -50,14 +50,14 @@ def connected_components(pairs: DataFrame, a: str, b: str, scope: Sequence[str]
         ends = left.select(*sk, F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(None).cast(edges.schema["u"].dataType).alias("lo"), F.col("v").alias("hi")), F.struct(F.col("v").alias("n"), F.col("u").alias("lo"), F.lit(None).cast(edges.schema["v"].dataType).alias("hi")))).alias("e"))
         picks = ends.select(*sk, "e.*").groupBy(*sk, "n").agg(F.coalesce(F.min("lo"), F.min("hi")).alias("r"), F.min("lo").isNull().alias("least"))
         # a label without a smaller neighbour whose pick picks it back is a root
-        picks_at = ws.write(picks)
+        picks_at = ws.write(picks, sized=True)
         picks = spark.read.schema(picks.schema).parquet(picks_at)
         back = met(picks, "r", picks.select(*sk, "n", "r"), "inner", "rr")
-        hook = ws.write(back.select(*sk, "n", F.when(F.col("least") & (F.col("rr") == F.col("n")), F.col("n")).otherwise(F.col("r")).alias("r")))
+        hook = ws.write(back.select(*sk, "n", F.when(F.col("least") & (F.col("rr") == F.col("n")), F.col("n")).otherwise(F.col("r")).alias("r")), sized=True)
         while True:  # pointer doubling until every label points at its root
             at = read_links(hook)
             step = met(at, "r", at, "inner", "rr").select(*sk, "n", F.col("rr").alias("r"), (F.col("rr") != F.col("r")).alias("moved"))
-            to = ws.write(step)
+            to = ws.write(step, sized=True)
             moved = spark.read.schema(step.schema).parquet(to).where("moved").limit(1).count()
             ws.drop(hook)
             hook = to
@@ -66,12 +66,12 @@ def connected_components(pairs: DataFrame, a: str, b: str, scope: Sequence[str]
         roots = read_links(hook)
         # relabel and deduplicate the edges
         again = met(met(left, "u", roots, "inner", "ru"), "v", roots, "inner", "rv").where("ru <> rv")
-        again_at = ws.write(again.select(*sk, F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct())
+        again_at = ws.write(again.select(*sk, F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), sized=True)
         if labels is None:
             labels = hook
         else:
             old = read_links(labels)
-            new = ws.write(met(old, "r", roots, "left", "rr").select(*sk, "n", F.coalesce("rr", "r").alias("r")))
+            new = ws.write(met(old, "r", roots, "left", "rr").select(*sk, "n", F.coalesce("rr", "r").alias("r")), sized=True)
             ws.drop(labels)
             ws.drop(hook)
             labels = new

@@ -53,7 +53,8 @@ def resolve_hierarchy(nodes: DataFrame, node: str, parent: str, scope: Sequence[
         return left.join(right, [F.col(x) == F.col(f"t_{x}") for x in sk] + [F.col(by) == F.col("t_n")], how)
 
     parents = base.where("p is not null").select(*sk, F.col("p").alias("n")).distinct()
-    inner = ws.keep(met(parents, "n", base.select(*sk, "n", "p"), "inner").select(*sk, "n", F.col("t_p").alias("p")))
+    # the base is packed, so its size says nothing about a broadcast
+    inner = ws.keep(met(parents.hint("merge"), "n", base.select(*sk, "n", "p"), "inner").select(*sk, "n", F.col("t_p").alias("p")), sized=True)
     top = F.col("t_n").isNull()
     begun = met(inner, "p", inner.select(*sk, "n"), "left").select(
         *sk, "n", F.coalesce("t_n", "n").alias("a"), F.when(top, 0).otherwise(1).alias("d"), top.alias("done"),
@@ -61,7 +62,7 @@ def resolve_hierarchy(nodes: DataFrame, node: str, parent: str, scope: Sequence[
     )
     state = begun.schema
     read = lambda *paths: nodes.sparkSession.read.schema(state).parquet(*paths)
-    written = [ws.write(begun)]
+    written = [ws.write(begun, sized=True)]
     while True:
         count = read(written[-1]).agg(F.count_if("done"), F.count_if(~F.col("done"))).first()
         if not count[0] or not count[1]:
@@ -69,7 +70,7 @@ def resolve_hierarchy(nodes: DataFrame, node: str, parent: str, scope: Sequence[
         mine = read(written[-1]).where("not done")
         every = read(*written).where("done").unionByName(mine)
         step = met(mine, "a", every, "inner").select(*sk, "n", F.col("t_a").alias("a"), (F.col("d") + F.col("t_d")).alias("d"), F.col("t_done").alias("done"), *([F.concat("seg", "t_seg").alias("seg")] if path else []))
-        written.append(ws.write(step))
+        written.append(ws.write(step, sized=True))
     answers = read(*written).where("done")
     if count[1]:  # the last round finished none: circles
         answers = answers.unionByName(read(written[-1]).where("not done"))

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ..store import Workspace
 
-#: The first rounds take one level each; later ones, of few records, several in one job.
-EAGER, AT_ONCE = 3, 4
+#: Rounds take one level each; once a level has FEW times fewer records than the first, several in one job.
+FEW, AT_ONCE = 8, 4
 
 
 def orphan_references(references: DataFrame, records: DataFrame, scope: Sequence[str] = ("event_id",), carry: Sequence[str] = (), holds: Mapping[str, str] | None = None, cascade: bool = True) -> DataFrame:
@@ -41,7 +41,7 @@ def orphan_references(references: DataFrame, records: DataFrame, scope: Sequence
     if cascade:
         refs = ws.keep(refs)
     direct = (
-        refs.join(known, [F.col(k) == F.col(f"k_{k}") for k in keys], "left")
+        refs.hint("merge").join(known, [F.col(k) == F.col(f"k_{k}") for k in keys], "left")
         .where("present is null or not present")
         .select(*refs.columns, F.col("target_id").alias("missing_id"), F.lit(0).alias("level"), F.col("present").isNotNull().alias("withdrawn"))
     )
@@ -49,22 +49,24 @@ def orphan_references(references: DataFrame, records: DataFrame, scope: Sequence
         return direct
     own = F.create_map(*(F.lit(x) for kv in holds.items() for x in kv))[F.col("ref_table")] if holds else F.lit(None).cast("string")
     as_key = lambda df: df.select(F.coalesce(own, F.col("ref_table")).alias("k_target_table"), *(F.col(k).alias(f"k_{k}") for k in scope), F.col("child_id").alias("k_target_id"), F.col("missing_id").alias("top"), F.col("level").alias("above"))
-    found = [ws.write(direct)]
-    schema, live, level, size = direct.schema, refs, 0, None
+    found = [ws.write(direct, sized=True)]
+    schema, live, level, size, first = direct.schema, refs, 0, None, None
     read = lambda *paths: spark.read.schema(schema).parquet(*paths)
     record = ["ref_table", *scope, "child_id"]
     while True:
         last = read(found[-1])
-        n = last.agg(F.count(F.lit(1)), F.max("level")).first()
-        if not n[0]:
+        n = last.groupBy("level").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).first()
+        if n is None:
             break
-        if level and scope and (size is None or n[0] * 4 < size):  # far fewer than before: leave the other scopes behind
-            size = n[0]
+        level, n = n["level"], n["n"]
+        first = first or n
+        last = last.where(F.col("level") == level)
+        if level and scope and (size is None or n * 2 < size):  # far fewer than before: leave the other scopes behind
+            size = n
             at = last.select(*(F.col(k).alias(f"l_{k}") for k in scope)).distinct()
             live = ws.keep(live.join(at, [F.col(k) == F.col(f"l_{k}") for k in scope], "left_semi"))
-        last = last.where(F.col("level") == n[1])
         steps = []
-        for _ in range(1 if level < EAGER else AT_ONCE):
+        for _ in range(1 if n * FEW > first else AT_ONCE):
             level += 1
             top = as_key(last).groupBy(*(f"k_{k}" for k in keys)).agg(F.min("top").alias("top"))
             last = live.join(top, [F.col(k) == F.col(f"k_{k}") for k in keys], "inner").select(*live.columns, F.col("top").alias("missing_id"), F.lit(level).alias("level"), F.lit(None).cast("boolean").alias("withdrawn"))
@@ -74,5 +76,5 @@ def orphan_references(references: DataFrame, records: DataFrame, scope: Sequence
             step = reduce(DataFrame.unionByName, steps)
             step = step.groupBy(*record, "target_table", "target_id").agg(F.min(F.struct("level", "missing_id", *carry)).alias("v"), F.lit(None).cast("boolean").alias("withdrawn")).select(*record, "target_table", "target_id", *(f"v.{c}" for c in carry), "v.missing_id", "v.level", "withdrawn")
         seen = read(*found).select(*(F.col(k).alias(f"v_{k}") for k in record))
-        found.append(ws.write(step.join(seen, [F.col(k) == F.col(f"v_{k}") for k in record], "left_anti")))
+        found.append(ws.write(step.join(seen, [F.col(k) == F.col(f"v_{k}") for k in record], "left_anti"), sized=True))
     return read(*found)

@@ -11,6 +11,7 @@ from ..operators.hierarchy import descendants, resolve_hierarchy
 from ..operators.references import orphan_references
 from ..operators.skew import skewed_totals
 from ..operators.spatial import box_outlines, near_pairs, points_in_regions
+from ..store import Workspace
 from ..tables import no_parent, standing, table
 
 DISTANCE = 5.2
@@ -91,8 +92,9 @@ def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
-    g = standing(table(spark, d, "geant4"), ["event_id", "track_id"], ["parent_track_id", "dropped", "recorded_at"])
-    p = standing(table(spark, d, "particles"), ["event_id", "id"], ["parent_id", "recorded_at"])
+    ws = Workspace(spark, "standing")  # each is both a side that refers and one that is referred to
+    g = ws.keep(standing(table(spark, d, "geant4"), ["event_id", "track_id"], ["parent_track_id", "dropped", "recorded_at"]))
+    p = ws.keep(standing(table(spark, d, "particles"), ["event_id", "id"], ["parent_id", "recorded_at"]))
     i = standing(table(spark, d, "inst_groups"), ["event_id", "group_id"], ["group_to_track", "recorded_at"])
     gone = F.coalesce("dropped", F.lit(False))
     month = F.trunc("recorded_at", "month").alias("month")

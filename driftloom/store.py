@@ -40,21 +40,23 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
-        self._paths: dict[int, list[str]] = {}
         atexit.register(self._remove, self.root)
 
-    def write(self, df: DataFrame) -> str:
+    def write(self, df: DataFrame, sized: bool = False) -> str:
+        """The path of the written table.
+
+        :param sized: plain encoding, so that the files are about as large as the rows in memory. Spark takes the size of files for the size of rows when it decides
+            on a broadcast; packed files would pass its threshold with many times the data that it allows.
+        """
         self._n += 1
         path = f"{self.root}/t{self._n}"
-        df.write.option("compression", "zstd").parquet(path)
+        plain = {"compression": "none", "parquet.enable.dictionary": "false"}
+        df.write.options(**(plain if sized else {"compression": "zstd"})).parquet(path)
         return path
 
-    def read(self, *paths: str) -> DataFrame:
-        return self.spark.read.parquet(*paths)
-
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, sized: bool = False) -> DataFrame:
         """The same rows, read from a written table with the frame's own schema."""
-        return self.spark.read.schema(df.schema).parquet(self.write(df))
+        return self.spark.read.schema(df.schema).parquet(self.write(df, sized))
 
     def drop(self, path: str) -> None:
         self._remove(path)
@@ -65,5 +67,5 @@ class Workspace:
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
         except Exception:  # the session may already be gone
-            if path.startswith("file://"):
-                shutil.rmtree(path[7:], ignore_errors=True)
+            if path.startswith(("file:", "/")):
+                shutil.rmtree(path.removeprefix("file:").replace("//", "/"), ignore_errors=True)
