@@ -84,8 +84,10 @@ def first_events(df: DataFrame, n: int, event: str = "event_id") -> DataFrame:
 
 
 def repack(spark: SparkSession, source: str, target: str, codec: str) -> None:
-    """A Parquet directory rewritten with another codec; partitions and order within files stay."""
-    spark.read.parquet(source).write.option("compression", CODECS[codec]).parquet(target)
+    """A Parquet directory rewritten with another codec; buckets and order within files stay."""
+    df = spark.read.parquet(source)
+    w = df.write.option("compression", CODECS[codec])
+    (w.partitionBy("event_bucket") if "event_bucket" in df.columns else w).parquet(target)
 
 
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:
