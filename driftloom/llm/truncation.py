@@ -184,9 +184,9 @@ def end_log_odds(docs: DataFrame, ends: DataFrame, text: str = "text", lang: str
     ws = Workspace(spark, "truncation")
     contexts = ws.keep(_contexts(ends))
     ended = ws.keep(contexts.where("trains").groupBy("model", "k", "key", "parent").agg(F.count(F.lit(1)).alias("ends")).where(F.col("ends") >= LEAST))
-    # which bits of a table of fixed size are set: what the executors need to know of the kept contexts
-    slots = ended.select(F.col("key").bitwiseAND((1 << FILTER_BITS) - 1).alias("slot")).distinct().toArrow().column(0).to_numpy()
-    on = ws.keep(_continuations(docs, text, lang, slots.astype(np.uint64)))
+    # which bits of a table of fixed size are set: what the executors need to know of the kept contexts (at most 2**FILTER_BITS numbers)
+    slots = ended.select(F.col("key").bitwiseAND((1 << FILTER_BITS) - 1).cast("int").alias("slot")).distinct().toArrow().column(0).to_numpy()
+    on = ws.keep(_continuations(docs, text, lang, slots.astype(np.uint64)), sized=True)
     on_ = on.select(F.col("key").alias("o_key"), F.col("n").alias("on"))
     out = None
     for _ in range(ROUNDS):
@@ -195,18 +195,18 @@ def end_log_odds(docs: DataFrame, ends: DataFrame, text: str = "text", lang: str
         if out is not None:
             ended = ws.keep(now.groupBy("model", "k", "key", "parent").agg(F.count(F.lit(1)).alias("ends")).where(F.col("ends") >= LEAST))
         roots = now.where("k = 1").groupBy(F.col("parent").alias("r_key")).agg(F.count(F.lit(1)).alias("r_ends"))
-        nodes = ws.keep(ended.join(on_, F.col("key") == F.col("o_key"), "left").select("model", "k", "key", "parent", "ends", F.coalesce("on", F.lit(0)).alias("on")))
+        nodes = ws.keep(ended.join(on_, F.col("key") == F.col("o_key"), "left").select("model", "k", "key", "parent", "ends", F.coalesce("on", F.lit(0)).alias("on")), sized=True)
         above = nodes.select(F.col("key").alias("p_key"), F.col("ends").alias("p_ends"), F.col("on").alias("p_on")).unionByName(
             roots.join(on_, F.col("r_key") == F.col("o_key"), "left").select(F.col("r_key").alias("p_key"), F.col("r_ends").alias("p_ends"), F.coalesce("on", F.lit(0)).alias("p_on"))
         )
         goes = (F.col("on") + 0.05) / (F.col("p_on") + 0.05 * 64)
         stops = (F.col("ends") + SMOOTH * goes) / (F.col("p_ends") + SMOOTH)
         steps = nodes.join(above, F.col("parent") == F.col("p_key")).select(F.col("key").alias("s_key"), F.log(goes / stops).alias("step"), F.log((F.col("ends") + SMOOTH) / SMOOTH).alias("leaves"))
-        met = contexts.select("id", "model", "k", "key").join(ws.keep(steps), F.col("key") == F.col("s_key"), "left")
+        met = contexts.select("id", "model", "k", "key").join(ws.keep(steps, sized=True), F.col("key") == F.col("s_key"), "left")
         per = met.groupBy("id", "model").agg(F.sum("step").alias("sum"), F.max(F.when(F.col("step").isNotNull(), F.col("k"))).alias("deep"), F.max_by("leaves", F.when(F.col("step").isNotNull(), F.col("k"))).alias("leaves"))
         # a text leaves the trie below its last context; one whose very last byte no end has leaves it at the root
         odds = F.when(F.col("deep").isNull(), F.lit(float(np.log(1000.0)))).otherwise(F.col("sum") + F.when(F.col("deep") < ORDER, F.col("leaves")).otherwise(0))
-        out = ws.keep(per.groupBy("id").agg(F.min(odds).alias("log_odds")))
+        out = ws.keep(per.groupBy("id").agg(F.min(odds).alias("log_odds")), sized=True)
     return out
 
 
