@@ -93,8 +93,15 @@ def traceable_instances(instances: DataFrame, instance: str = "inst_id", parent:
     r = ws.keep(resolve_hierarchy(instances, instance, parent, scope, path=True, carry=[visible, interaction]))
     seen = r.where(visible)
     up = seen.where("path is not null").select(*scope, F.explode("path").alias(instance))
-    # circles have no path: their visible members stay, and so do what those name as parents
-    loop = seen.where("in_loop").select(*scope, F.explode(F.array(instance, parent)).alias(instance))
+    # circles have no path: from their visible members the links are followed one by one until nothing is new
+    rings = ws.keep(r.where("in_loop").select(*(F.col(k).alias(f"c_{k}") for k in scope), F.col(instance).alias("c_i"), F.col(parent).alias("c_p")))
+    loop = ws.keep(seen.where("in_loop").select(*scope, instance))
+    last = loop
+    while not last.isEmpty():
+        named = last.join(rings, [*(F.col(k) == F.col(f"c_{k}") for k in scope), F.col(instance) == F.col("c_i")]).select(*scope, F.col("c_p").alias(instance)).distinct()
+        had = loop.select(*(F.col(k).alias(f"h_{k}") for k in scope), F.col(instance).alias("h_i"))
+        last = ws.keep(named.join(had, [*(F.col(k) == F.col(f"h_{k}") for k in scope), F.col(instance) == F.col("h_i")], "left_anti"))
+        loop = ws.keep(loop.unionByName(last))
     lit = seen.select(*(F.col(k).alias(f"l_{k}") for k in scope), F.col(interaction).alias("l_i")).distinct()
     tops = r.where("depth = 0").join(lit, [*(F.col(k) == F.col(f"l_{k}") for k in scope), F.col(interaction) == F.col("l_i")], "left_semi").select(*scope, instance)
     return up.unionByName(loop).unionByName(tops).unionByName(seen.select(*scope, instance)).distinct()

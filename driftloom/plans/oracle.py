@@ -107,4 +107,9 @@ SQL = {
     "vertex_match": f"WITH {TRK}, v AS (SELECT * FROM trk WHERE parent_track_id IS NULL) SELECT a.event_id, a.track_id, min(b.track_id) AS vertex_row FROM v a LEFT JOIN v b ON b.event_id = a.event_id AND {' AND '.join(f'abs(CAST(a.{c} AS DOUBLE) - b.{c}) <= 1e-4 + 1e-5 * abs(CAST(b.{c} AS DOUBLE))' for c in 'xyzt')} GROUP BY ALL",
     "group_parents": f"WITH RECURSIVE {PAR}, h AS (SELECT *, coalesce(sem_type IN (1, 2, 4), false) AS head FROM par), w AS (SELECT event_id, id AS s, parent_id AS n, 1 AS d FROM h WHERE head UNION ALL SELECT w.event_id, w.s, h.parent_id, w.d + 1 FROM w JOIN h ON h.event_id = w.event_id AND h.id = w.n WHERE NOT h.head AND w.d < 500), f AS (SELECT w.event_id, w.s, min(CASE WHEN h.head THEN h.id END) AS top FROM w LEFT JOIN h ON h.event_id = w.event_id AND h.id = w.n GROUP BY ALL) SELECT event_id, s AS id, coalesce(top, s) AS group_parent FROM f",
     "redirected_parents": f"WITH RECURSIVE {PAR}, h AS (SELECT *, NOT coalesce(sem_type = 5, false) AS head FROM par), w AS (SELECT event_id, id AS s, parent_id AS n, 1 AS d FROM h WHERE head UNION ALL SELECT w.event_id, w.s, h.parent_id, w.d + 1 FROM w JOIN h ON h.event_id = w.event_id AND h.id = w.n WHERE NOT h.head AND w.d < 500), f AS (SELECT w.event_id, w.s, min(CASE WHEN h.head THEN h.id END) AS top FROM w LEFT JOIN h ON h.event_id = w.event_id AND h.id = w.n GROUP BY ALL) SELECT event_id, s AS id, coalesce(top, s) AS parent_id FROM f",
+    "traceable_instances": f"""WITH RECURSIVE {PAR}, {GRP}, vis AS (SELECT DISTINCT p.event_id, p.id, p.interaction_id FROM par p JOIN grp ON grp.event_id = p.event_id AND grp.group_to_track = p.geant4_trackid WHERE group_to_track >= 0),
+ u AS (SELECT event_id, id FROM vis UNION SELECT u.event_id, q.id FROM u JOIN par c ON c.event_id = u.event_id AND c.id = u.id JOIN par q ON q.event_id = c.event_id AND q.id = c.parent_id)
+ SELECT event_id, id FROM u UNION SELECT p.event_id, p.id FROM par p LEFT JOIN par q ON q.event_id = p.event_id AND q.id = p.parent_id WHERE q.id IS NULL AND EXISTS (SELECT 1 FROM vis WHERE vis.event_id = p.event_id AND vis.interaction_id = p.interaction_id)""",
+    "plane_fit": f"""WITH {GRP}, q AS (SELECT volume, CAST(center_times AS DOUBLE) AS a, CAST(center_py AS DOUBLE) AS b, CAST(center_times AS DOUBLE) * 0.8 - CAST(center_py AS DOUBLE) * 0.25 + 3 AS y FROM grp), s AS (SELECT volume, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, covar_pop(a, a) AS saa, covar_pop(a, b) AS sab, covar_pop(b, b) AS sbb, covar_pop(a, y) AS say, covar_pop(b, y) AS sby FROM q GROUP BY volume),
+ f AS (SELECT *, (say * sbb - sby * sab) / (saa * sbb - sab * sab) AS b1, (sby * saa - say * sab) / (saa * sbb - sab * sab) AS b2 FROM s) SELECT volume, round(b1, 6) AS b1, round(b2, 6) AS b2, round(my - b1 * ma - b2 * mb, 4) AS b0, n FROM f""",
 }

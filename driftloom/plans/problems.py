@@ -196,6 +196,17 @@ SQL = {
  o AS (SELECT a.range - 1 AS di, b.range - 1 AS dj, d.range - 1 AS dk FROM range(3) a, range(3) b, range(3) d), f AS (SELECT event_id, particle_id, point_id, x, y, z, volume_id, i + di AS i, j + dj AS j, k + dk AS k FROM c, o)
  SELECT f.point_id AS point_a, c.point_id AS point_b FROM f JOIN c USING (event_id, volume_id, i, j, k) WHERE f.point_id < c.point_id AND f.particle_id <> c.particle_id AND (f.x - c.x) ** 2 + (f.y - c.y) ** 2 + (f.z - c.z) ** 2 <= 5.2 * 5.2""",
     "p1_volumes": f"WITH {_POINTS} SELECT point_id, volume_id FROM pts",
+    "p2_found": r"""WITH ok AS (SELECT file_id, producer, written_at, payload FROM file_records WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
+t AS (SELECT DISTINCT file_id, j.key, j.type, j.id, j.parent, j.path, j.fullkey, payload FROM ok, json_tree(payload) j),
+leaf AS (SELECT DISTINCT file_id, substr(fullkey, 3) AS f, CASE WHEN type = 'BOOLEAN' THEN 'boolean' WHEN type IN ('BIGINT', 'UBIGINT') THEN 'long' WHEN type = 'DOUBLE' THEN 'double' ELSE 'string' END AS k, fullkey LIKE '%[%' AS arr FROM t WHERE type NOT IN ('OBJECT', 'ARRAY', 'NULL')),
+one AS (SELECT file_id, regexp_replace(f, '\[.*$', '') AS field_name, arr, list_sort(list_distinct(list(k))) AS ks FROM leaf GROUP BY ALL),
+kind AS (SELECT file_id, field_name, arr, CASE WHEN len(ks) = 1 THEN ks[1] WHEN ks = ['double', 'long'] THEN 'double' ELSE 'string' END AS k FROM one),
+fields AS (SELECT file_id, field_name, CASE WHEN count(*) > 1 THEN 'string' ELSE any_value(CASE WHEN arr THEN 'array<' || k || '>' ELSE k END) END AS field_type FROM kind GROUP BY ALL),
+files AS (SELECT file_id, producer, lead(file_id) OVER w AS next_id, row_number() OVER w AS no FROM (SELECT DISTINCT file_id, producer, written_at FROM ok WHERE file_id IN (SELECT file_id FROM fields)) WINDOW w AS (PARTITION BY producer ORDER BY written_at, file_id)),
+new AS (SELECT file_id, field_name, field_type FROM fields JOIN files USING (file_id) WHERE no > 1), old AS (SELECT next_id AS file_id, field_name, field_type FROM fields JOIN files USING (file_id) WHERE next_id IS NOT NULL),
+d AS (SELECT coalesce(new.file_id, old.file_id) AS file_id, coalesce(new.field_name, old.field_name) AS field_name, old.field_type AS o, new.field_type AS n FROM new FULL JOIN old ON old.file_id = new.file_id AND old.field_name = new.field_name WHERE old.field_type IS DISTINCT FROM new.field_type),
+m AS (SELECT *, CASE WHEN o IS NULL OR n IS NULL THEN coalesce(o, n) END AS mt FROM d), c AS (SELECT *, count(*) FILTER (n IS NULL) OVER w AS g, count(*) FILTER (o IS NULL) OVER w AS a FROM m WINDOW w AS (PARTITION BY file_id, mt))
+SELECT file_id, field_name, CASE WHEN mt IS NULL THEN 'retyped' WHEN g = 1 AND a = 1 THEN 'renamed' WHEN n IS NULL THEN 'removed' ELSE 'added' END AS change_kind FROM c WHERE NOT (mt IS NOT NULL AND g = 1 AND a = 1 AND n IS NULL)""",
     "p3_found": f"""{_WALK} SELECT l.hierarchy, l.event_id, CAST(l.node_id AS BIGINT) AS node_id, CAST(coalesce(w.root_id, -1) AS BIGINT) AS true_root_id FROM l LEFT JOIN w USING (hierarchy, event_id, node_id) WHERE l.stored IS NULL OR l.stored <> coalesce(w.root_id, -1)""",
     "p3_paths": f"""{_WALK} SELECT l.hierarchy, l.event_id, CAST(l.node_id AS BIGINT) AS node_id, CAST(w.root_id AS BIGINT) AS root_id, w.depth, w.path, w.root_id IS NULL AS in_loop FROM l LEFT JOIN w USING (hierarchy, event_id, node_id)""",
     "p3_descendants": f"""{_WALK}, e AS (SELECT hierarchy, event_id, node_id, depth, unnest(string_split(path, '/')) AS a, unnest(range(depth + 1)) AS step FROM w)
@@ -218,4 +229,7 @@ SQL = {
  FROM (SELECT DISTINCT event_id, particle_id, point_id, de FROM points) q LEFT JOIN k ON k.event_id = q.event_id AND k.id = q.particle_id GROUP BY ALL""",
     "p6_found": r"""WITH RECURSIVE m AS (SELECT event_id, id1, id2 FROM merge_decisions WHERE regexp_matches(reason, '^\s*(mergeoutcome\.)?\s*merged\s*$', 'i') AND id1 <> id2), e AS (SELECT event_id, id1 AS u, id2 AS v FROM m UNION SELECT event_id, id2, id1 FROM m),
  r AS (SELECT DISTINCT event_id, u AS n, u AS c FROM e UNION SELECT r.event_id, e.v, r.c FROM r JOIN e ON e.event_id = r.event_id AND e.u = r.n) SELECT event_id, CAST(n AS BIGINT) AS particle_id, CAST(min(c) AS BIGINT) AS group_id FROM r GROUP BY event_id, n""",
+    "p6_markers": r"""WITH RECURSIVE m AS (SELECT event_id, id1, id2 FROM merge_decisions WHERE regexp_matches(reason, '^\s*(mergeoutcome\.)?\s*merged\s*$', 'i') AND id1 <> id2), e AS (SELECT event_id, id1 AS u, id2 AS v FROM m UNION SELECT event_id, id2, id1 FROM m),
+ r AS (SELECT DISTINCT event_id, u AS n, u AS c FROM e UNION SELECT r.event_id, e.v, r.c FROM r JOIN e ON e.event_id = r.event_id AND e.u = r.n), g AS (SELECT event_id, n, min(c) AS grp FROM r GROUP BY event_id, n), h AS (SELECT event_id, id, arg_max(frag_id, recorded_at) AS f, arg_max(inst_id, recorded_at) AS i FROM particles GROUP BY event_id, id)
+ SELECT g.event_id, CAST(g.grp AS BIGINT) AS group_id, count(*) AS members, count(*) FILTER (h.f = h.id) AS fragment_heads, count(*) FILTER (h.i = h.id) AS instance_heads, count(*) FILTER (h.id IS NULL) AS without_row FROM g LEFT JOIN h ON h.event_id = g.event_id AND h.id = g.n GROUP BY g.event_id, g.grp""",
 }
