@@ -88,16 +88,28 @@ def touching_pairs(pairs: DataFrame, state: DataFrame, points: DataFrame, distan
     return pairs.join(near, (F.col("event_id") == F.col("t_e")) & (F.least("child", "parent") == F.col("owner_a")) & (F.greatest("child", "parent") == F.col("owner_b"))).select("event_id", "child", "parent", "distance")
 
 
-def photon_decay(state: DataFrame, particles: DataFrame, points: DataFrame, params: Params) -> DataFrame:
-    """A photon's converting electrons, and photons with its own track id, join it. No contact is asked for."""
+def _photon_kids(particles: DataFrame) -> DataFrame:
+    """event_id, ``a``, ``b``, ``pair``: children a of photons b that are converting electrons (``pair``), or photons with b's own track id."""
     photons = particles.where("pdg = 22").select(F.col("event_id").alias("g_e"), F.col("id").alias("g_id"), F.col("geant4_trackid").alias("g_t"))
     kids = particles.join(photons, (F.col("event_id") == F.col("g_e")) & (F.col("parent_id") == F.col("g_id")) & (F.col("id") != F.col("g_id")))
     pair = (F.abs("pdg") == 11) & (F.col("interaction_type") == INTERACTION["conversion"]) & (F.col("parent_pdg") == 22)
     same = (F.col("pdg") == 22) & (F.col("geant4_trackid") == F.col("g_t"))
-    c = kids.where(pair | same).select("event_id", F.col("id").alias("a"), F.col("g_id").alias("b"))
+    return kids.where(pair | same).select("event_id", F.col("id").alias("a"), F.col("g_id").alias("b"), pair.alias("pair"))
+
+
+def photon_decay(state: DataFrame, particles: DataFrame, points: DataFrame, params: Params) -> DataFrame:
+    """A photon's converting electrons, and photons with its own track id, join it. No contact is asked for."""
+    c = _photon_kids(particles)
     return _with_rep(_with_rep(c, "a", state, "child"), "b", state, "parent").where("child <> parent").select("event_id", "child", "parent").distinct()
 
 
+def converted(state: DataFrame, particles: DataFrame) -> DataFrame:
+    """event_id, ``id``, ``sem_type``: low-energy representatives that hold a photon with a converting electron become showers. Pieces of a photon alone promote nothing."""
+    held = _with_rep(_photon_kids(particles).where("pair"), "b", state, "held").select(F.col("event_id").alias("c_e"), "held")
+    shower = F.lit(SEMANTIC["shower"]).cast(particles.schema["sem_type"].dataType)
+    return particles.where(F.col("sem_type") == LE).join(held, (F.col("event_id") == F.col("c_e")) & (F.col("id") == F.col("held")), "left_semi").select("event_id", "id", shower.alias("sem_type"))
+
+
 def touching_em(state: DataFrame, particles: DataFrame, points: DataFrame, params: Params) -> DataFrame:
     """A representative with pdg 11 or 22 joins the touching partition of its parent, likewise 11 or 22, of the same ancestor; neither low-energy."""
     r = _reps(state, particles).where(F.col("pdg").isin(11, 22) & (F.col("sem_type") != LE) & (F.col("parent_id") != F.col("id"))).select("event_id", F.col("id").alias("child"), "parent_id", "ancestor_id")
@@ -146,6 +158,8 @@ def homes(state: DataFrame, particles: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 RULES: dict[str, Rule] = {"photon_decay": photon_decay, "combine_le": combine_le, "absorb_le": absorb_le, "touching_em": touching_em}
+#: Rules that change the sem_type of representatives as well: what they change, before any of the rule's pairs is merged.
+PROMOTIONS: dict[Rule, Callable[[DataFrame, DataFrame], DataFrame]] = {photon_decay: converted}
 
 
 def collapse(state: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -158,12 +172,13 @@ def collapse(state: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def merge_fixpoint(particles: DataFrame, points: DataFrame, params: Params, rules: dict[str, Rule] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Fragments: (event_id, particle_id, rep_id) of every particle, and the decisions taken: event_id, child, parent, rule, pass_no.
+    """Fragments: (event_id, particle_id, rep_id, sem_type) of every particle, and the decisions taken: event_id, child, parent, rule, pass_no.
 
     :param particles: event_id, id, parent_id, ancestor_id, pdg, parent_pdg, geant4_trackid, interaction_type, sem_type; one row each
     :param points: event_id, particle_id, point_id, x, y, z
 
     Each rule sees what earlier rules of the pass merged; the size of a partition counts all its points. Particles without points take part in rules that need no contact.
+    sem_type is that of the representative, which photon_decay may make a shower (``converted``); later rules see it in ``particles``.
     """
     ws = Workspace(particles.sparkSession, "merge")
     particles, points = ws.keep(particles), ws.keep(points)
@@ -173,6 +188,11 @@ def merge_fixpoint(particles: DataFrame, points: DataFrame, params: Params, rule
     for n in range(1, params.max_passes + 1):
         merged = 0
         for name in params.rules:
+            if known[name] in PROMOTIONS:
+                raised = ws.keep(PROMOTIONS[known[name]](state, particles), sized=True)
+                if raised.count():
+                    r = raised.select(F.col("event_id").alias("r_e"), F.col("id").alias("r_i"), F.col("sem_type").alias("r_sem"))
+                    particles = ws.keep(particles.join(r, (F.col("event_id") == F.col("r_e")) & (F.col("id") == F.col("r_i")), "left").withColumn("sem_type", F.coalesce("r_sem", "sem_type")).drop("r_e", "r_i", "r_sem"))
             pairs = ws.keep(known[name](state, particles, points, params).select("event_id", "child", "parent").distinct())
             count = pairs.count()
             if count:
@@ -184,7 +204,7 @@ def merge_fixpoint(particles: DataFrame, points: DataFrame, params: Params, rule
     decisions = taken[0] if taken else pairs.select("*", F.lit("").alias("rule"), F.lit(0).alias("pass_no"))
     for t in taken[1:]:
         decisions = decisions.unionByName(t)
-    return state, decisions
+    return _sem(state, "rep_id", particles, "rep").withColumnRenamed("rep_sem_type", "sem_type"), decisions
 
 
 def partition_custom(particles: DataFrame, predicate: Callable[[Column, Column], Column], scope: Sequence[str] = ("event_id",), columns: Sequence[str] = ()) -> DataFrame:

@@ -167,6 +167,27 @@ def test_le_between_two_showers_joins_its_home(spark):
     assert {r.particle_id: r.rep_id for r in state.collect()} == {1: 1, 2: 2, 3: 2}
 
 
+def test_photon_with_conversion_becomes_a_shower(spark):
+    le = S["le_scatter"]
+    rows_ = [
+        (1, 1, None, 1, 22, 0, 1, I["primary"], le), (1, 2, 1, 1, 11, 22, 2, I["conversion"], le), (1, 3, None, 3, 11, 0, 3, I["compton"], le), (1, 4, None, 4, 13, 0, 4, I["primary"], S["track"]),
+        (2, 1, None, 1, 22, 0, 1, I["primary"], le), (2, 2, 1, 1, 11, 22, 2, I["compton"], le), (2, 4, None, 4, 13, 0, 4, I["primary"], S["track"]),
+        (3, 1, None, 1, 22, 0, 1, I["primary"], S["shower"]), (3, 2, 1, 1, 22, 22, 2, I["photon"], le), (3, 3, 2, 1, 11, 22, 3, I["conversion"], S["shower"]),
+        (4, 1, None, 1, 22, 0, 1, I["primary"], le), (4, 2, 1, 1, 22, 22, 1, I["photon"], le), (4, 4, None, 4, 13, 0, 4, I["primary"], S["track"]),
+    ]
+    at = {(1, 1): 0, (1, 2): 10, (1, 3): 0.5, (1, 4): -0.5, (2, 1): 0, (2, 2): 0.5, (2, 4): -0.5, (3, 1): 0, (3, 2): 0.5, (3, 3): 10, (4, 1): 0, (4, 2): 10, (4, 4): -0.5}
+    p = spark.createDataFrame(rows_, PART)
+    c = spark.createDataFrame([(e, i, 1000 * e + 10 * i + k, float(x), 0.1 * k, 0.0) for (e, i), x in at.items() for k in range(9 if (e, i) == (1, 3) else 1)], "event_id int, particle_id int, point_id int, x double, y double, z double")
+    state, _ = clustering.merge_fixpoint(p, c, Params(distance_threshold=0.6))
+    got = {(r.event_id, r.particle_id): (r.rep_id, r.sem_type) for r in state.collect()}
+    # converted: neither combined with the larger low-energy cloud nor absorbed by the track, but takes in what is low-energy
+    assert {k[1]: v for k, v in got.items() if k[0] == 1 and k[1] != 3} == {1: (1, S["shower"]), 2: (1, S["shower"]), 4: (4, S["track"])} and got[1, 3][0] in (1, 4)
+    # a Compton electron promotes nothing; a piece of the photon itself neither
+    assert {v for k, v in got.items() if k[0] in (2, 4)} == {(4, S["track"])}
+    # a promoted photon joins the shower it touches
+    assert {v for k, v in got.items() if k[0] == 3} == {(1, S["shower"])}
+
+
 def test_shower_instances(spark):
     rows_ = [(1, 1, None, 1, 22, 0, 1, I["photon"], S["shower"]), (1, 4, 1, 1, 11, 22, 4, I["compton"], S["shower"]), (1, 5, 1, 1, 22, 11, 5, I["photon"], S["shower"]), (1, 6, 5, 1, 11, 22, 6, I["compton"], S["le_scatter"]), (1, 7, None, 7, 11, 0, 7, I["primary"], S["le_scatter"]), (1, 8, 7, 7, 11, 11, 8, I["ionization"], S["shower"]), (1, 9, 10, 9, 11, 11, 9, I["other_shower"], S["shower"]), (1, 10, 9, 9, 11, 11, 10, I["other_shower"], S["le_scatter"])]
     f = spark.createDataFrame(rows_, PART)
