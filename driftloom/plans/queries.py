@@ -465,9 +465,9 @@ def chained_inputs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def paired_entries(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "run_events").dropDuplicates(["event_id"]).where("jaxtpc_entry >= 0")
-    one = e.groupBy("input_no", "input_event").agg(F.min("event_id").alias("event_id"), F.min("job_id").alias("job_id"), F.min("job_event").alias("job_event"))
-    rows = one.select("event_id", F.lit(None).cast("bigint").alias("job_id"), F.lit(None).cast("bigint").alias("job_event"), F.concat(F.lit("/in/f"), F.col("input_no").cast("string")).alias("source"), F.col("input_event").alias("source_event"))
+    """Every standing event that has an entry, with it: by job where given, else by a file of its own."""
+    e = standing(table(spark, d, "run_events"), ["event_id"], ["input_no", "input_event", "jaxtpc_entry", "job_id", "job_event"]).where("jaxtpc_entry >= 0")
+    rows = e.select("event_id", "job_id", "job_event", F.concat_ws("-", F.lit("/in/f"), "input_no", "event_id").alias("source"), F.col("input_event").alias("source_event"))
     return readout.paired_entries(rows, rows.select(F.col("event_id").alias("entry"), "job_id", "job_event", F.regexp_replace("source", "/in/", "/out/").alias("source"), "source_event"))
 
 

@@ -11,6 +11,7 @@ from driftloom.functions import columns as C
 from driftloom.operators import clustering, geometry, layout, points as P, readout, reports
 from driftloom.operators.genealogy import interactions, primaries, traceable_instances
 from driftloom.params import Params
+from driftloom.plans import queries
 from driftloom.sources import inputs, store as St
 from driftloom.training import batches, shards, training_voxels
 
@@ -309,3 +310,9 @@ def test_reports(spark, rows):
     assert reports.why_not_merged(d, F.lit(4), F.lit(3)).count() == 2 and reports.why_not_merged(d, F.lit(2), F.lit(1)).count() == 0
     s = reports.loader_stalls(spark.createDataFrame([(0, 1.0, 3.0), (0, 1.0, 1.0)], "epoch int, wait_s double, step_s double")).collect()[0]
     assert s.batches == 2 and abs(s.stalled - 2 / 6) < 1e-12
+
+
+def test_every_event_with_an_entry_is_paired(spark, rows, tmp_path):
+    r = [(1, 0, 0, 5, 7, 0, "2024-01-01"), (2, 0, 0, 6, 7, 1, "2024-01-01"), (3, 0, 0, 0, None, None, "2024-01-01"), (4, 0, 0, 1, None, 3, "2024-01-01"), (5, 0, 1, -1, 7, 2, "2024-01-01"), (6, 0, 1, 2, 7, 4, "2024-01-01"), (6, 0, 1, -1, 7, 4, "2024-01-02")]
+    spark.createDataFrame(r, "event_id bigint, input_no int, input_event bigint, jaxtpc_entry bigint, job_id bigint, job_event bigint, recorded_at string").withColumn("recorded_at", F.col("recorded_at").cast("timestamp")).write.parquet(str(tmp_path / "run_events.parquet"))
+    assert rows(queries.paired_entries(spark, str(tmp_path))) == [(1, 1), (2, 2), (3, 3), (4, 4)]
