@@ -181,8 +181,9 @@ def rounded_energy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ancestor_root(spark: SparkSession, d: str) -> DataFrame:
+    """The root of every track; of tracks that run in a circle or into one, the least id on the circle, without depth."""
     t = _tracks(spark, d)
-    return genealogy.true_ancestors(t, "track_id", "parent_track_id").where("depth is not null").select("event_id", "track_id", "root_id", "depth")
+    return genealogy.true_ancestors(t, "track_id", "parent_track_id").select("event_id", "track_id", "root_id", "depth")
 
 
 def resolve_orphans(spark: SparkSession, d: str) -> DataFrame:

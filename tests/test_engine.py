@@ -316,3 +316,17 @@ def test_every_event_with_an_entry_is_paired(spark, rows, tmp_path):
     r = [(1, 0, 0, 5, 7, 0, "2024-01-01"), (2, 0, 0, 6, 7, 1, "2024-01-01"), (3, 0, 0, 0, None, None, "2024-01-01"), (4, 0, 0, 1, None, 3, "2024-01-01"), (5, 0, 1, -1, 7, 2, "2024-01-01"), (6, 0, 1, 2, 7, 4, "2024-01-01"), (6, 0, 1, -1, 7, 4, "2024-01-02")]
     spark.createDataFrame(r, "event_id bigint, input_no int, input_event bigint, jaxtpc_entry bigint, job_id bigint, job_event bigint, recorded_at string").withColumn("recorded_at", F.col("recorded_at").cast("timestamp")).write.parquet(str(tmp_path / "run_events.parquet"))
     assert rows(queries.paired_entries(spark, str(tmp_path))) == [(1, 1), (2, 2), (3, 3), (4, 4)]
+
+
+def test_tracks_on_circles_have_a_root(spark, rows, tmp_path):
+    # event 1: a tree, a circle 5-7-6 with 8 and 9 running into it, a parent that is absent; event 2: a circle of two
+    up = {(1, 1): None, (1, 2): 1, (1, 3): 2, (1, 5): 7, (1, 6): 5, (1, 7): 6, (1, 8): 6, (1, 9): 8, (1, 10): 99, (1, 11): 11, (2, 1): 2, (2, 2): 1}
+    spark.createDataFrame([(e, n, u, False, 1) for (e, n), u in up.items()], "event_id bigint, track_id int, parent_track_id int, dropped boolean, recorded_at int").withColumn("recorded_at", F.timestamp_seconds("recorded_at")).write.parquet(str(tmp_path / "geant4.parquet"))
+
+    def root(e, n):
+        seen = [n]
+        while (u := up[e, seen[-1]]) is not None and u != seen[-1] and (e, u) in up and u not in seen:
+            seen.append(u)
+        return (min(seen[seen.index(u):]), None) if u in seen and u != seen[-1] else (seen[-1], len(seen) - 1)
+
+    assert rows(queries.ancestor_root(spark, str(tmp_path))) == sorted((e, n, *root(e, n)) for e, n in up)
