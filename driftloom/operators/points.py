@@ -76,12 +76,12 @@ def group_reductions(deposits: DataFrame, group: Sequence[str]) -> DataFrame:
 
 
 def shared_energy(hits: DataFrame, groups: DataFrame, group: Sequence[str], charge: str = "charge") -> DataFrame:
-    """``true_de`` of each hit: its group's energy in proportion to the size of its charge; 0 where the group has no charge. Sums are joined back, so a group of any size stays spread."""
+    """``true_de`` of each hit: its group's energy in proportion to the size of its charge; 0 where the hit or the group has no charge. Sums are joined back, so a group of any size stays spread."""
     total = hits.groupBy(*(F.col(k).alias(f"__{k}") for k in group)).agg(F.sum(F.abs(charge)).alias("__q"))
     of = groups.select(*(F.col(k).alias(f"_g_{k}") for k in group), F.col("de").alias("__de"))
     both = total.join(of, [F.col(f"__{k}") == F.col(f"_g_{k}") for k in group], "left")
     out = hits.join(both, [F.col(k) == F.col(f"__{k}") for k in group], "left")
-    return out.select(*hits.columns, F.when(F.col("__q") > 0, F.col("__de") * F.abs(charge) / F.col("__q")).otherwise(0.0).alias("true_de"))
+    return out.select(*hits.columns, F.when((F.col("__q") > 0) & F.col(charge).isNotNull(), F.col("__de") * F.abs(charge) / F.col("__q")).otherwise(0.0).alias("true_de"))
 
 
 def bounding_boxes(points: DataFrame, owner: Sequence[str] = CLOUD) -> DataFrame:

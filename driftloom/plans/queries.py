@@ -277,9 +277,10 @@ def group_reductions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shared_energy(spark: SparkSession, d: str) -> DataFrame:
-    """The energy of each particle's points, shared over them by dx."""
-    p = _points(spark, d, "de", "dx").where("dx is not null and not isnan(de)").select("event_id", "particle_id", "point_id", "de", F.col("dx").cast("double").alias("charge"))
-    g = p.groupBy("event_id", "particle_id").agg(F.sum(F.col("de").cast("double")).alias("de"))
+    """The energy of all of each particle's points, shared over them by dx: a point without dx gets 0, its energy goes to the others."""
+    number = lambda c: F.when(~F.isnan(c), F.col(c).cast("double"))
+    p = _points(spark, d, "de", "dx").select("event_id", "particle_id", "point_id", number("de").alias("de"), number("dx").alias("charge"))
+    g = p.groupBy("event_id", "particle_id").agg(F.coalesce(F.sum("de"), F.lit(0.0)).alias("de"))
     return P.shared_energy(p.drop("de"), g, ["event_id", "particle_id"]).select("point_id", "true_de")
 
 

@@ -330,3 +330,10 @@ def test_tracks_on_circles_have_a_root(spark, rows, tmp_path):
         return (min(seen[seen.index(u):]), None) if u in seen and u != seen[-1] else (seen[-1], len(seen) - 1)
 
     assert rows(queries.ancestor_root(spark, str(tmp_path))) == sorted((e, n, *root(e, n)) for e, n in up)
+
+
+def test_points_without_dx_share_their_energy(spark, tmp_path):
+    df = pts(spark, [(1, 0, 0, 0, 0, 0, 6, 1), (1, 1, 0, 0, 0, 0, 1, 3), (1, 2, 0, 0, 0, 0, 5, 9), (2, 3, 0, 0, 0, 0, 4, 9), (3, 4, 0, 0, 0, 0, float("nan"), 1), (3, 5, 0, 0, 0, 0, 2, float("nan")), (3, 6, 0, 0, 0, 0, 2, 3)])
+    df.withColumn("dx", F.when(F.col("dx") != 9, F.col("dx"))).write.parquet(str(tmp_path / "points.parquet"))
+    got = {r.point_id: r.true_de for r in queries.shared_energy(spark, str(tmp_path)).collect()}
+    assert got == {0: 3.0, 1: 9.0, 2: 0.0, 3: 0.0, 4: 1.0, 5: 0.0, 6: 3.0}
