@@ -23,7 +23,7 @@ DISTANCE = 5.2
 def _in_volumes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     volumes = box_outlines(table(spark, d, "volumes"), "volume_id", ("x_min", "x_max"), ("y_min", "y_max"), ("z_min", "z_max"))
     points = table(spark, d, "points").select(*columns, "x", "y", "z")
-    return points_in_regions(points, volumes, region="volume_id", key=columns)
+    return points_in_regions(points, volumes, region="volume_id", key=["point_id"])
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -34,7 +34,19 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_volumes(spark: SparkSession, d: str) -> DataFrame:
     """Which volume holds each point; one row per point in a volume."""
-    return _in_volumes(spark, d, "point_id").select("point_id", "volume_id").distinct()
+    return _in_volumes(spark, d, "point_id").select("point_id", "volume_id")
+
+
+#: An arrow head, as shares of a volume's width and height.
+ARROW = ((0.0, 0.125), (0.5, 0.375), (1.0, 0.0), (0.875, 0.5), (1.0, 1.0), (0.5, 0.75), (0.125, 0.875), (0.25, 0.5))
+
+
+def p1_polygons(spark: SparkSession, d: str) -> DataFrame:
+    """Which volume's arrow head, a polygon of eight slanted edges, holds each point in x and y; z is that of the volume."""
+    corner = lambda u, v: F.struct((F.col("x_min") + (F.col("x_max") - F.col("x_min")) * u).alias("x"), (F.col("y_min") + (F.col("y_max") - F.col("y_min")) * v).alias("y"))
+    arrows = table(spark, d, "volumes").select(F.col("volume_id").alias("region_id"), F.array(*(corner(u, v) for u, v in ARROW)).alias("ring"), F.col("z_min").alias("z_low"), F.col("z_max").alias("z_high"))
+    points = table(spark, d, "points").select("point_id", "x", "y", "z")
+    return points_in_regions(points, arrows, region="volume_id", key=["point_id"]).select("point_id", "volume_id")
 
 
 # ---- p2: schemas that drift
@@ -105,7 +117,7 @@ def _orphans(spark: SparkSession, d: str) -> DataFrame:
         .unionByName(i.select(*ref("inst_groups", "geant4", "group_id", F.when(F.col("group_to_track") >= 0, F.col("group_to_track")))))
     )
     records = g.select(F.lit("geant4").alias("target_table"), "event_id", F.col("track_id").alias("target_id"), (~gone).alias("present")).unionByName(p.select(F.lit("particles").alias("target_table"), "event_id", F.col("id").alias("target_id"), F.lit(True).alias("present")))
-    return orphan_references(refs, records, ("event_id",), carry=["month"])
+    return orphan_references(refs, records, ("event_id",), carry=["month"], unique=True)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -113,6 +125,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return direct.select("ref_table", "event_id", F.col("child_id").cast("bigint").alias("child_id"), F.col("missing_id").cast("bigint").alias("missing_id"))
 
 
+def p4_orphans(spark: SparkSession, d: str) -> DataFrame:
+    """Every orphaned reference with its level: 0 where its own target is missing, above where that of a record on the way up is."""
+    return _orphans(spark, d).select("ref_table", "event_id", "child_id", "target_id", "missing_id", "level", "withdrawn")
+
+
 def p4_periods(spark: SparkSession, d: str) -> DataFrame:
     """Orphans per table and month of recorded_at: direct ones, of them with a withdrawn target, and inherited ones."""
     o = _orphans(spark, d)
@@ -177,7 +194,7 @@ def p6_markers(spark: SparkSession, d: str) -> DataFrame:
     return g.join(heads, (F.col("event_id") == F.col("e")) & (F.col("particle_id") == F.col("id")), "left").groupBy("event_id", F.col("group_id").cast("bigint").alias("group_id")).agg(F.count(F.lit(1)).alias("members"), F.count_if("frag").alias("fragment_heads"), F.count_if("inst").alias("instance_heads"), F.count_if(F.col("id").isNull()).alias("without_row"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_volumes, p2_found, p2_table, p2_versions, p3_found, p3_paths, p3_descendants, p4_found, p4_periods, p5_found, p5_particles, p5_sem_types, p6_found, p6_markers)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_volumes, p1_polygons, p2_found, p2_table, p2_versions, p3_found, p3_paths, p3_descendants, p4_found, p4_orphans, p4_periods, p5_found, p5_particles, p5_sem_types, p6_found, p6_markers)}
 
 _TRACKS = """g AS (SELECT 'geant4' AS hierarchy, event_id, track_id AS node_id, CASE WHEN parent_track_id >= 0 AND parent_track_id <> track_id THEN parent_track_id END AS parent_id, root_track_id AS stored, gone, seen_at
  FROM (SELECT event_id, track_id, arg_max(parent_track_id, recorded_at) AS parent_track_id, arg_max(root_track_id, recorded_at) AS root_track_id, arg_max(dropped, recorded_at) AS gone, max(recorded_at) AS seen_at FROM geant4 GROUP BY event_id, track_id)),
@@ -191,11 +208,19 @@ w AS (SELECT hierarchy, event_id, node_id, node_id AS root_id, 0 AS depth, CAST(
 
 _POINTS = "pts AS (SELECT DISTINCT event_id, particle_id, point_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z, volume_id FROM points JOIN volumes ON x >= x_min AND x < x_max AND y >= y_min AND y < y_max AND z >= z_min AND z < z_max WHERE NOT isnan(x) AND NOT isnan(y) AND NOT isnan(z))"
 
+_REFERENCES = f"""{_TRACKS}, i AS (SELECT event_id, group_id, arg_max(group_to_track, recorded_at) AS t, max(recorded_at) AS seen_at FROM inst_groups GROUP BY event_id, group_id),
+ refs AS (SELECT hierarchy AS ref_table, hierarchy AS target, event_id, node_id AS child, parent_id AS par, seen_at FROM g WHERE NOT gone AND parent_id IS NOT NULL UNION ALL SELECT hierarchy, hierarchy, event_id, node_id, parent_id, seen_at FROM p WHERE parent_id IS NOT NULL UNION ALL SELECT 'inst_groups', 'geant4', event_id, group_id, t, seen_at FROM i WHERE t >= 0),
+ recs AS (SELECT hierarchy AS target, event_id, node_id, gone FROM g UNION ALL SELECT hierarchy, event_id, node_id, gone FROM p),
+ d AS (SELECT refs.*, recs.gone IS NOT NULL AS withdrawn FROM refs LEFT JOIN recs ON recs.target = refs.target AND recs.event_id = refs.event_id AND recs.node_id = refs.par WHERE recs.gone IS NULL OR recs.gone)"""
+
 SQL = {
     "p1_found": f"""WITH {_POINTS}, c AS (SELECT *, CAST(floor(x / 5.2) AS BIGINT) AS i, CAST(floor(y / 5.2) AS BIGINT) AS j, CAST(floor(z / 5.2) AS BIGINT) AS k FROM pts),
  o AS (SELECT a.range - 1 AS di, b.range - 1 AS dj, d.range - 1 AS dk FROM range(3) a, range(3) b, range(3) d), f AS (SELECT event_id, particle_id, point_id, x, y, z, volume_id, i + di AS i, j + dj AS j, k + dk AS k FROM c, o)
  SELECT f.point_id AS point_a, c.point_id AS point_b FROM f JOIN c USING (event_id, volume_id, i, j, k) WHERE f.point_id < c.point_id AND f.particle_id <> c.particle_id AND (f.x - c.x) ** 2 + (f.y - c.y) ** 2 + (f.z - c.z) ** 2 <= 5.2 * 5.2""",
     "p1_volumes": f"WITH {_POINTS} SELECT point_id, volume_id FROM pts",
+    "p1_polygons": f"""WITH pts AS (SELECT DISTINCT point_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z FROM points WHERE NOT isnan(x) AND NOT isnan(y) AND NOT isnan(z)), c(i, u, v) AS (VALUES {', '.join(f'({i}, CAST({u} AS DOUBLE), CAST({v} AS DOUBLE))' for i, (u, v) in enumerate(ARROW))}),
+ k AS (SELECT volume_id, i, x_min + (x_max - x_min) * u AS x, y_min + (y_max - y_min) * v AS y, z_min, z_max FROM volumes, c), e AS (SELECT a.volume_id, a.z_min, a.z_max, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM k a JOIN k b ON b.volume_id = a.volume_id AND b.i = (a.i + 1) % {len(ARROW)})
+ SELECT point_id, volume_id FROM pts JOIN e ON z >= z_min AND z < z_max AND (y1 <= y) <> (y2 <= y) AND CASE WHEN x1 = x2 THEN x1 ELSE x1 + (y - y1) * (x2 - x1) / (y2 - y1) END > x GROUP BY point_id, volume_id HAVING count(*) % 2 = 1""",
     "p2_found": r"""WITH ok AS (SELECT file_id, producer, written_at, payload FROM file_records WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
 t AS (SELECT DISTINCT file_id, j.key, j.type, j.id, j.parent, j.path, j.fullkey, payload FROM ok, json_tree(payload) j),
 leaf AS (SELECT DISTINCT file_id, substr(fullkey, 3) AS f, CASE WHEN type = 'BOOLEAN' THEN 'boolean' WHEN type IN ('BIGINT', 'UBIGINT') THEN 'long' WHEN type = 'DOUBLE' THEN 'double' ELSE 'string' END AS k, fullkey LIKE '%[%' AS arr FROM t WHERE type NOT IN ('OBJECT', 'ARRAY', 'NULL')),
@@ -215,10 +240,9 @@ SELECT file_id, field_name, CASE WHEN mt IS NULL THEN 'retyped' WHEN g = 1 AND a
  SELECT hierarchy AS ref_table, event_id, CAST(node_id AS BIGINT) AS child_id, CAST(parent_id AS BIGINT) AS missing_id FROM g WHERE NOT gone AND parent_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM g q WHERE NOT q.gone AND q.event_id = g.event_id AND q.node_id = g.parent_id)
  UNION ALL SELECT hierarchy, event_id, CAST(node_id AS BIGINT), CAST(parent_id AS BIGINT) FROM p WHERE parent_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM p q WHERE q.event_id = p.event_id AND q.node_id = p.parent_id)
  UNION ALL SELECT 'inst_groups', event_id, CAST(group_id AS BIGINT), CAST(t AS BIGINT) FROM i WHERE t >= 0 AND NOT EXISTS (SELECT 1 FROM g q WHERE NOT q.gone AND q.event_id = i.event_id AND q.node_id = i.t)""",
-    "p4_periods": f"""WITH RECURSIVE {_TRACKS}, i AS (SELECT event_id, group_id, arg_max(group_to_track, recorded_at) AS t, max(recorded_at) AS seen_at FROM inst_groups GROUP BY event_id, group_id),
- refs AS (SELECT hierarchy AS ref_table, hierarchy AS target, event_id, node_id AS child, parent_id AS par, seen_at FROM g WHERE NOT gone AND parent_id IS NOT NULL UNION ALL SELECT hierarchy, hierarchy, event_id, node_id, parent_id, seen_at FROM p WHERE parent_id IS NOT NULL UNION ALL SELECT 'inst_groups', 'geant4', event_id, group_id, t, seen_at FROM i WHERE t >= 0),
- recs AS (SELECT hierarchy AS target, event_id, node_id, gone FROM g UNION ALL SELECT hierarchy, event_id, node_id, gone FROM p),
- d AS (SELECT refs.*, recs.gone IS NOT NULL AS withdrawn FROM refs LEFT JOIN recs ON recs.target = refs.target AND recs.event_id = refs.event_id AND recs.node_id = refs.par WHERE recs.gone IS NULL OR recs.gone),
+    "p4_orphans": f"""WITH RECURSIVE {_REFERENCES}, w AS (SELECT ref_table, event_id, child, par, par AS missing, 0 AS lev, withdrawn FROM d UNION ALL SELECT r.ref_table, r.event_id, r.child, r.par, w.missing, w.lev + 1, NULL FROM refs r JOIN w ON w.ref_table = r.target AND w.event_id = r.event_id AND w.child = r.par)
+ SELECT ref_table, event_id, child AS child_id, par AS target_id, missing AS missing_id, lev AS level, withdrawn FROM w""",
+    "p4_periods": f"""WITH RECURSIVE {_REFERENCES},
  w AS (SELECT ref_table, event_id, child, seen_at, 0 AS lev, withdrawn FROM d UNION SELECT r.ref_table, r.event_id, r.child, r.seen_at, 1, false FROM refs r JOIN w ON w.ref_table = r.target AND w.event_id = r.event_id AND w.child = r.par)
  SELECT ref_table, strftime(seen_at, '%Y-%m') AS month, count(*) FILTER (lev = 0) AS direct, count(*) FILTER (withdrawn) AS withdrawn, count(*) FILTER (lev > 0) AS inherited FROM w GROUP BY ALL""",
     "p5_found": """WITH s AS (SELECT event_id, id, any_value(sem_type) AS sem_type, coalesce(any_value(CASE WHEN len(pc_offsets) = 2 THEN pc_offsets[2] - pc_offsets[1] END), 0) AS n FROM particles GROUP BY event_id, id), t AS (SELECT event_id, sum(n) AS a FROM s GROUP BY event_id)

@@ -75,6 +75,7 @@ def test_resolve_orphans(spark):
     assert {tuple(r)[1:] for r in resolve_orphans(p).collect()} == {(1, 1, 1), (2, 1, 1), (3, 2, 1)}
 
 
+RECS = "target_table string, event_id bigint, target_id int, present boolean"
 REFS = "ref_table string, event_id bigint, child_id int, target_table string, target_id int, month string, level int"
 
 
@@ -89,6 +90,52 @@ def test_orphans_direct_and_inherited(spark):
     assert got == want
 
 
+def brute_orphans(refs, recs):
+    """(reference, missing, level) of every orphaned reference, by walking level by level."""
+    there = {r[:3] for r in recs if r[3]}
+    refs = {r for r in refs if r[4] is not None}
+    out, level_of, n = {}, {}, 0
+    for r in refs:
+        if r[1] is None or (r[3], r[1], r[4]) not in there:
+            out[r] = (r[4], 0)
+            if r[1] is not None:
+                k = (r[0], r[1], r[2])
+                level_of[k] = (0, min(level_of.get(k, (0, r[4]))[1], r[4]))
+    while True:
+        new = {}
+        for r in refs - set(out):
+            above = level_of.get((r[3], r[1], r[4]))
+            if above and above[0] == n:
+                out[r] = (above[1], n + 1)
+                k = (r[0], r[1], r[2])
+                if k not in level_of:
+                    new[k] = min(new.get(k, (n + 1, above[1])), (n + 1, above[1]))
+        if not new:
+            return out
+        level_of |= new
+        n += 1
+
+
+def test_records_with_several_references(spark):
+    few = [("t", 1, 11, "t", 90, "m", 1), ("t", 1, 12, "t", 11, "m", 1), ("t", 1, 13, "t", 11, "m", 1), ("t", 1, 13, "t", 12, "m", 1), ("t", 1, 14, "t", 13, "m", 1), ("t", 1, 12, "t", 11, "m", 1)]
+    recs = [("t", 1, i, True) for i in (11, 12, 13, 14)]
+    for others in (0, 40):
+        more = [("t", 2, i, "t", 1000 + i, "m", 1) for i in range(others)]
+        out = orphan_references(spark.createDataFrame(few + more, REFS), spark.createDataFrame(recs, RECS), carry=["month"]).where("event_id = 1").collect()
+        assert sorted((r.child_id, r.target_id, r.missing_id, r.level) for r in out) == [(11, 90, 90, 0), (12, 11, 90, 1), (13, 11, 90, 1), (13, 12, 90, 2), (14, 13, 90, 2)]
+
+
+def test_random_references(spark):
+    rng = random.Random(11)
+    recs = [("t", e, i, rng.random() < 0.95) for e in range(4) for i in range(60) if rng.random() < 0.95] + [("u", e, i, True) for e in range(4) for i in range(20)]
+    refs = [("t", e, i, "t", rng.randint(0, 65) if rng.random() < 0.2 else i - 1 if rng.random() < 0.9 else None, "m", 1) for e in range(4) for i in range(60) for _ in range(rng.choice([1, 1, 1, 2]))]
+    refs += [("u", e, rng.randint(0, 19), rng.choice(["t", "u"]), rng.randint(0, 25), "m", 1) for e in range(4) for _ in range(30)] + [("g", e, i, "u", rng.randint(0, 25), "m", 1) for e in range(4) for i in range(30)] + [("t", None, 3, "t", 4, "m", 1)]
+    out = orphan_references(spark.createDataFrame(refs, REFS), spark.createDataFrame(recs, RECS), carry=["month"]).collect()
+    got = {(r.ref_table, r.event_id, r.child_id, r.target_table, r.target_id, r.month): (r.missing_id, r.level) for r in out}
+    want = {r[:6]: v for r, v in brute_orphans(set(refs), recs).items()}
+    assert len(out) == len(got) and got == want
+
+
 def test_orphans_empty(spark):
     out = orphan_references(spark.createDataFrame([], REFS), spark.createDataFrame([], "target_table string, event_id bigint, target_id int, present boolean"))
     assert out.count() == 0
