@@ -5,14 +5,17 @@ Fragments: a fixpoint of merge rules. The state is one table (event, particle, r
 a child's parents, and the accepted pairs collapse to components with the top of each chain as representative. Points never move; membership is
 a join. Passes repeat until no rule merges anything.
 
-A rule is a function (state, particles, points, params) -> pairs, so users can add their own.
+A rule is a function (state, particles, points, params) -> pairs, so users can add their own; a column ``outcome`` tells which pairs were merged and why others
+that it tried were not (without it all are merged).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..enums import INTERACTION, SEMANTIC
@@ -22,9 +25,12 @@ from .components import connected_components
 from .genealogy import nearest_marked
 from .hierarchy import resolve_hierarchy
 from .points import cells
-from .spatial import near_pairs, standoff, touching
+from .skew import running
+from .spatial import standoff, touching
 
 LE = SEMANTIC["le_scatter"]
+#: Outcomes of a pair that a rule tried, by the names that decisions go by. Fixed values.
+MERGED, APART, TAKEN = "MERGED", "NOT_TOUCHING", "ALREADY_MERGED_WITH_OTHER"
 Rule = Callable[[DataFrame, DataFrame, DataFrame, Params], DataFrame]
 
 
@@ -32,10 +38,22 @@ Rule = Callable[[DataFrame, DataFrame, DataFrame, Params], DataFrame]
 
 
 def cloud_components(points: DataFrame, eps: float, point: str = "point_id", owner: Sequence[str] = ("event_id", "particle_id")) -> DataFrame:
-    """owner, ``point``, ``component`` (its least point id): points within ``eps`` of each other, directly or in chains; a lone point is its own component."""
-    pairs = near_pairs(points.select(*owner, point, "x", "y", "z"), eps, point, None, owner)
-    linked = connected_components(pairs, "point_a", "point_b", (), "p", "component")
-    return points.select(*owner, point).distinct().join(linked, F.col(point) == F.col("p"), "left").select(*owner, point, F.coalesce("component", point).alias("component"))
+    """owner, ``point``, ``component`` (its least point id): points within ``eps`` of each other, directly or in chains; a lone point is its own component.
+
+    Points of one small cell, of which no two are more than ``eps`` apart, are one node, named by its least point; near points of different cells are folded to links of cells in the task that finds them, so a dense cloud
+    has no more links than pairs of neighbouring cells. Points with a null or NaN coordinate are lone.
+    """
+    ws = Workspace(points.sparkSession, "clouds")
+    own = [f"o{i}" for i in range(len(owner))]
+    side = eps / 3**0.5 * (1 - 1e-9)
+    p = points.select(*(F.col(k).alias(x) for k, x in zip(owner, own)), F.col(point).alias("id"), "x", "y", "z", *(F.floor(F.col(a).cast("double") / side).alias(f"g{a}") for a in "xyz"))
+    good = p.where(" and ".join(f"abs({a}) < double('infinity')" for a in "xyz"))
+    held = good.groupBy(*(F.col(k).alias(f"h{k}") for k in (*own, "gx", "gy", "gz"))).agg(F.min("id").alias("node"))
+    named = ws.keep(good.join(held, [F.col(k) == F.col(f"h{k}") for k in (*own, "gx", "gy", "gz")]).select(*own, "id", "node", "x", "y", "z"))
+    links = touching(named, eps, "id", "node", own)
+    linked = connected_components(links, "owner_a", "owner_b", (), "n", "component")
+    cells_ = named.select("id", "node").distinct().join(linked, F.col("node") == F.col("n"), "left").select(F.col("id").alias("c_id"), F.coalesce("component", "node").alias("component"))
+    return points.select(*owner, point).distinct().join(cells_, F.col(point) == F.col("c_id"), "left").select(*owner, point, F.coalesce("component", point).alias("component"))
 
 
 def defragment(points: DataFrame, particles: DataFrame, params: Params, point: str = "point_id", event: str = "event_id") -> tuple[DataFrame, DataFrame]:
@@ -52,9 +70,8 @@ def defragment(points: DataFrame, particles: DataFrame, params: Params, point: s
     sizes = parts.groupBy(event, "particle_id", "component").agg(F.count(F.lit(1)).alias("n"))
     split = sizes.groupBy(event, "particle_id").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select(F.col(event).alias("s_e"), F.col("particle_id").alias("s_p"))
     small = sizes.where(F.col("n") <= params.min_pc_size).join(split, (F.col(event) == F.col("s_e")) & (F.col("particle_id") == F.col("s_p")), "left_semi")
-    # numbered per event: pieces folded to one row per event first, so that the window sees pieces, not points
     top = particles.groupBy(F.col(event).alias("t_e")).agg(F.max("id").alias("top"))
-    numbered = small.withColumn("no", F.row_number().over(Window.partitionBy(event).orderBy("particle_id", "component"))).join(top, F.col(event) == F.col("t_e"))
+    numbered = running(small, (event,), ["particle_id", "component"], {"no": F.lit(1)}).join(top, F.col(event) == F.col("t_e"))
     pieces = ws.keep(numbered.select(event, (F.col("top") + F.col("no")).cast("int").alias("new_id"), "particle_id", "component", F.col("n").alias("points")))
     to = pieces.select(F.col(event).alias("n_e"), F.col("particle_id").alias("n_p"), F.col("component").alias("n_c"), "new_id")
     all_ = points.select(event, "particle_id", point).join(parts.select(F.col(point).alias("c_p"), "component"), F.col(point) == F.col("c_p"), "left")
@@ -114,19 +131,33 @@ def touching_em(state: DataFrame, particles: DataFrame, points: DataFrame, param
     """A representative with pdg 11 or 22 joins the touching partition of its parent, likewise 11 or 22, of the same ancestor; neither low-energy."""
     r = _reps(state, particles).where(F.col("pdg").isin(11, 22) & (F.col("sem_type") != LE) & (F.col("parent_id") != F.col("id"))).select("event_id", F.col("id").alias("child"), "parent_id", "ancestor_id")
     c = _sem(_with_rep(r, "parent_id", state, "parent"), "parent", particles, "q", ("pdg", "sem_type", "ancestor_id")).where(F.col("q_pdg").isin(11, 22) & (F.col("q_sem_type") != LE) & (F.col("q_ancestor_id") == F.col("ancestor_id")) & (F.col("child") != F.col("parent")))
-    return touching_pairs(c.select("event_id", "child", "parent").distinct(), state, points, params.distance_threshold).drop("distance")
-
-
-def _le_contacts(state: DataFrame, particles: DataFrame, points: DataFrame, distance: float) -> DataFrame:
-    """Touching partitions (a < b) of which at least one is low-energy, with their sem_types."""
-    owned = _with_rep(points.select("event_id", "particle_id", "point_id", "x", "y", "z"), "particle_id", state, "rep_id")
-    near = touching(owned, distance, "point_id", "rep_id", ("event_id",))
+    tried = Workspace(points.sparkSession, "showers").keep(c.select("event_id", "child", "parent").distinct())
+    met = touching_pairs(tried, state, points, params.distance_threshold).select(F.col("event_id").alias("m_e"), F.col("child").alias("m_c"), F.col("parent").alias("m_p"))
+    return tried.join(met, (F.col("event_id") == F.col("m_e")) & (F.col("child") == F.col("m_c")) & (F.col("parent") == F.col("m_p")), "left").select("event_id", "child", "parent", F.when(F.col("m_c").isNotNull(), MERGED).otherwise(APART).alias("outcome"))
+
+
+def _le_contacts(state: DataFrame, particles: DataFrame, points: DataFrame, distance: float, both: bool) -> DataFrame:
+    """Touching partitions (a < b) of which at least one (``both``: each) is low-energy, with their sem_types. Only low-energy points, and others in cells that those reach, are compared."""
+    ws = Workspace(points.sparkSession, "contacts")
+    owned = _sem(_with_rep(points.select("event_id", "particle_id", "point_id", "x", "y", "z"), "particle_id", state, "rep_id"), "rep_id", particles, "r").select("event_id", "rep_id", "point_id", "x", "y", "z", (F.col("r_sem_type") == LE).alias("le"))
+    if both:
+        rows = owned.where("le")
+    else:
+        owned = ws.keep(owned)
+        wide = 4 * distance
+        reached = owned.where("le").where(" and ".join(f"abs({a}) < double('infinity')" for a in "xyz")).select(F.col("event_id").alias("c_e"), "x", "y", "z")
+        for a in "xyz":
+            v = F.col(a).cast("double")
+            reached = reached.withColumn(f"c_{a}", F.explode(F.sequence(F.floor((v - distance * (1 + 1e-9)) / wide), F.floor((v + distance * (1 + 1e-9)) / wide))))
+        reached = reached.select("c_e", "c_x", "c_y", "c_z").distinct()
+        rows = owned.where("le").unionByName(owned.where("not le").join(reached, [F.col("event_id") == F.col("c_e"), *(F.floor(F.col(a).cast("double") / wide) == F.col(f"c_{a}") for a in "xyz")], "left_semi"))
+    near = touching(rows, distance, "point_id", "rep_id", ("event_id",))
     return _sem(_sem(near, "owner_a", particles, "a"), "owner_b", particles, "b").where((F.col("a_sem_type") == LE) | (F.col("b_sem_type") == LE))
 
 
 def combine_le(state: DataFrame, particles: DataFrame, points: DataFrame, params: Params) -> DataFrame:
     """Touching low-energy partitions merge; the one with more points, then of lower id, survives."""
-    both = _le_contacts(state, particles, points, params.distance_threshold).where((F.col("a_sem_type") == LE) & (F.col("b_sem_type") == LE))
+    both = _le_contacts(state, particles, points, params.distance_threshold, True)
     n = _with_rep(points.select("event_id", "particle_id"), "particle_id", state, "r").groupBy("event_id", "r").agg(F.count(F.lit(1)).alias("n"))
     size = lambda by, name: n.select(F.col("event_id").alias(f"{name}_e"), F.col("r").alias(f"{name}_r"), F.col("n").alias(name))
     c = both.join(size("owner_a", "na"), (F.col("event_id") == F.col("na_e")) & (F.col("owner_a") == F.col("na_r"))).join(size("owner_b", "nb"), (F.col("event_id") == F.col("nb_e")) & (F.col("owner_b") == F.col("nb_r")))
@@ -138,10 +169,11 @@ def absorb_le(state: DataFrame, particles: DataFrame, points: DataFrame, params:
     """Each low-energy partition joins one touching other partition: that of its nearest ancestor outside itself if among them, else the nearest (then of lower id)."""
     ws = Workspace(points.sparkSession, "absorb")
     le_a = F.col("a_sem_type") == LE
-    c = ws.keep(_le_contacts(state, particles, points, params.distance_threshold).where(F.col("a_sem_type") != F.col("b_sem_type")).select("event_id", F.when(le_a, F.col("owner_a")).otherwise(F.col("owner_b")).alias("child"), F.when(le_a, F.col("owner_b")).otherwise(F.col("owner_a")).alias("parent"), "distance"))
+    c = ws.keep(_le_contacts(state, particles, points, params.distance_threshold, False).where(F.col("a_sem_type") != F.col("b_sem_type")).select("event_id", F.when(le_a, F.col("owner_a")).otherwise(F.col("owner_b")).alias("child"), F.when(le_a, F.col("owner_b")).otherwise(F.col("owner_a")).alias("parent"), "distance"))
     home = homes(state, particles, c.select("event_id", "child").distinct()).select(F.col("event_id").alias("h_e"), F.col("child").alias("h_c"), "home")
     met = c.join(home, (F.col("event_id") == F.col("h_e")) & (F.col("child") == F.col("h_c")), "left")
-    return met.groupBy("event_id", "child").agg(F.min(F.struct((~F.coalesce(F.col("parent") == F.col("home"), F.lit(False))).alias("other"), "distance", "parent")).alias("m")).select("event_id", "child", F.col("m.parent").alias("parent"))
+    took = met.groupBy(F.col("event_id").alias("k_e"), F.col("child").alias("k_c")).agg(F.min(F.struct((~F.coalesce(F.col("parent") == F.col("home"), F.lit(False))).alias("other"), "distance", "parent"))["parent"].alias("took"))
+    return c.join(took, (F.col("event_id") == F.col("k_e")) & (F.col("child") == F.col("k_c"))).select("event_id", "child", "parent", F.when(F.col("parent") == F.col("took"), MERGED).otherwise(TAKEN).alias("outcome"))
 
 
 def homes(state: DataFrame, particles: DataFrame, reps: DataFrame) -> DataFrame:
@@ -171,8 +203,18 @@ def collapse(state: DataFrame, pairs: DataFrame) -> DataFrame:
     return state.join(new, (F.col("event_id") == F.col("n_e")) & (F.col("rep_id") == F.col("n_r")), "left").select("event_id", "particle_id", F.coalesce("top", "rep_id").alias("rep_id"))
 
 
-def merge_fixpoint(particles: DataFrame, points: DataFrame, params: Params, rules: dict[str, Rule] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Fragments: (event_id, particle_id, rep_id, sem_type) of every particle, and the decisions taken: event_id, child, parent, rule, pass_no.
+class Fragments(NamedTuple):
+    """What ``merge_fixpoint`` gives."""
+
+    state: DataFrame
+    decisions: DataFrame
+    passes: int
+    converged: bool
+
+
+def merge_fixpoint(particles: DataFrame, points: DataFrame, params: Params, rules: dict[str, Rule] | None = None) -> Fragments:
+    """Fragments. ``state``: (event_id, particle_id, rep_id, sem_type) of every particle; ``decisions``: event_id, child, parent, rule, pass_no, ``outcome`` of every pair of partitions that a rule tried;
+    ``converged``: the last pass merged nothing (false: ``max_passes`` ended it while pairs were still merging).
 
     :param particles: event_id, id, parent_id, ancestor_id, pdg, parent_pdg, geant4_trackid, interaction_type, sem_type; one row each
     :param points: event_id, particle_id, point_id, x, y, z
@@ -180,31 +222,46 @@ def merge_fixpoint(particles: DataFrame, points: DataFrame, params: Params, rule
     Each rule sees what earlier rules of the pass merged; the size of a partition counts all its points. Particles without points take part in rules that need no contact.
     sem_type is that of the representative, which photon_decay may make a shower (``converted``); later rules see it in ``particles``.
     """
-    ws = Workspace(particles.sparkSession, "merge")
+    spark = particles.sparkSession
+    ws = Workspace(spark, "merge")
     particles, points = ws.keep(particles), ws.keep(points)
     state = ws.keep(particles.select("event_id", F.col("id").alias("particle_id"), F.col("id").alias("rep_id")))
     known = RULES | (rules or {})
-    taken: list[DataFrame] = []
-    for n in range(1, params.max_passes + 1):
-        merged = 0
+    tried: list[DataFrame] = []
+    n, merged = 0, 1
+    while n < params.max_passes and merged:
+        n, merged = n + 1, 0
         for name in params.rules:
             if known[name] in PROMOTIONS:
-                raised = ws.keep(PROMOTIONS[known[name]](state, particles), sized=True)
-                if raised.count():
-                    r = raised.select(F.col("event_id").alias("r_e"), F.col("id").alias("r_i"), F.col("sem_type").alias("r_sem"))
+                raised = PROMOTIONS[known[name]](state, particles)
+                at, some = ws.count(raised, sized=True)
+                if some["rows"]:
+                    r = spark.read.schema(raised.schema).parquet(at).select(F.col("event_id").alias("r_e"), F.col("id").alias("r_i"), F.col("sem_type").alias("r_sem"))
                     particles = ws.keep(particles.join(r, (F.col("event_id") == F.col("r_e")) & (F.col("id") == F.col("r_i")), "left").withColumn("sem_type", F.coalesce("r_sem", "sem_type")).drop("r_e", "r_i", "r_sem"))
-            pairs = ws.keep(known[name](state, particles, points, params).select("event_id", "child", "parent").distinct())
-            count = pairs.count()
-            if count:
-                state = ws.keep(collapse(state, pairs))
-                taken.append(pairs.select("*", F.lit(name).alias("rule"), F.lit(n).alias("pass_no")))
-                merged += count
-        if not merged:
-            break
-    decisions = taken[0] if taken else pairs.select("*", F.lit("").alias("rule"), F.lit(0).alias("pass_no"))
-    for t in taken[1:]:
-        decisions = decisions.unionByName(t)
-    return _sem(state, "rep_id", particles, "rep").withColumnRenamed("rep_sem_type", "sem_type"), decisions
+            proposed = known[name](state, particles, points, params)
+            if "outcome" not in proposed.columns:
+                proposed = proposed.withColumn("outcome", F.lit(MERGED))
+            proposed = proposed.select("event_id", "child", "parent", "outcome").distinct()
+            at, some = ws.count(proposed, merged=F.col("outcome") == MERGED)
+            pairs = spark.read.schema(proposed.schema).parquet(at)
+            if some["rows"]:
+                tried.append(pairs.select("event_id", "child", "parent", F.lit(name).alias("rule"), F.lit(n).alias("pass_no"), "outcome"))
+            if some["merged"]:
+                state = ws.keep(collapse(state, pairs.where(F.col("outcome") == MERGED)))
+                merged += some["merged"]
+    decisions = reduce(DataFrame.unionByName, tried) if tried else state.limit(0).select("event_id", F.col("particle_id").alias("child"), F.col("rep_id").alias("parent"), F.lit("").alias("rule"), F.lit(0).alias("pass_no"), F.lit("").alias("outcome"))
+    return Fragments(_sem(state, "rep_id", particles, "rep").withColumnRenamed("rep_sem_type", "sem_type"), decisions, n, not merged)
+
+
+def partition_once(candidates: DataFrame, points: DataFrame, distance: float) -> tuple[DataFrame, DataFrame]:
+    """One pass over particles, without representatives: groups of candidate pairs (event_id, child, parent) whose own clouds touch (event_id, ``particle_id``, ``group_id``), and the pairs with their ``outcome``."""
+    ws = Workspace(points.sparkSession, "once")
+    tried = ws.keep(candidates.where("child <> parent").select("event_id", "child", "parent").distinct())
+    alone = tried.select("event_id", F.explode(F.array("child", "parent")).alias("particle_id")).distinct().withColumn("rep_id", F.col("particle_id"))
+    met = ws.keep(touching_pairs(tried, alone, points, distance).select("event_id", "child", "parent"))
+    had = met.select(F.col("event_id").alias("m_e"), F.col("child").alias("m_c"), F.col("parent").alias("m_p"))
+    told = tried.join(had, (F.col("event_id") == F.col("m_e")) & (F.col("child") == F.col("m_c")) & (F.col("parent") == F.col("m_p")), "left").select("event_id", "child", "parent", F.when(F.col("m_c").isNotNull(), MERGED).otherwise(APART).alias("outcome"))
+    return connected_components(met, "child", "parent", ("event_id",), "particle_id", "group_id"), told
 
 
 def partition_custom(particles: DataFrame, predicate: Callable[[Column, Column], Column], scope: Sequence[str] = ("event_id",), columns: Sequence[str] = ()) -> DataFrame:
@@ -238,10 +295,8 @@ def merge_showers(fragments: DataFrame, members: DataFrame) -> DataFrame:
     climbs = b.where("up is not null").select(F.col("event_id").alias("c_e"), F.col("id").alias("c_id"))
     b = b.join(climbs, (F.col("event_id") == F.col("c_e")) & (F.col("up") == F.col("c_id")), "left").withColumn("up", F.when(F.col("second") & (F.abs("q_pdg") == 22) & F.col("c_id").isNull(), None).otherwise(F.col("up"))).select("event_id", "id", "able", "up")
     b = ws.keep(b)
-    r = ws.keep(resolve_hierarchy(b, "id", "up", ("event_id",), path=True, carry=["able"], unique=True))
-    able = b.where("able").select(F.col("event_id").alias("a_e"), F.col("id").alias("a_id"))
-    steps = r.where("path is not null").select("event_id", "id", F.posexplode("path").alias("at", "anc")).join(able, (F.col("event_id") == F.col("a_e")) & (F.col("anc") == F.col("a_id")))
-    heads = steps.groupBy("event_id", "id").agg(F.min_by("anc", "at").alias("head"))
+    r = ws.keep(resolve_hierarchy(b, "id", "up", ("event_id",), path=False, carry=["able"], unique=True, mark="able"))
+    heads = r.where("topmost is not null").select("event_id", "id", F.col("topmost").alias("head"))
     loops = r.where("in_loop").select("event_id", "id", "up", "able")
     rings = connected_components(loops.where("up is not null"), "id", "up", ("event_id",), "id", "ring")
     ring_able = rings.join(loops.select(F.col("event_id").alias("l_e"), F.col("id").alias("l_id"), "able"), (F.col("event_id") == F.col("l_e")) & (F.col("id") == F.col("l_id")))
@@ -286,6 +341,11 @@ def absorbed_deltas(members: DataFrame, particles: DataFrame) -> DataFrame:
     return _sem(both, "own", particles, "o").where(F.col("o_sem_type").isin(SEMANTIC["track"], SEMANTIC["michel"], SEMANTIC["delta"])).select("event_id", "id")
 
 
+def partitions_by_sem_type(state: DataFrame) -> DataFrame:
+    """event_id, ``sem_type`` of the representative, ``partitions``, ``particles``: the partitions of a state (event_id, particle_id, rep_id, sem_type) by what their representative is; null is a type."""
+    return state.groupBy("event_id", "sem_type").agg(F.count_if(F.col("particle_id") == F.col("rep_id")).alias("partitions"), F.count(F.lit(1)).alias("particles"))
+
+
 def partition_stats(members: DataFrame, group: str = "rep_id", event: str = "event_id") -> DataFrame:
     """Per event: partitions, mean, median and greatest size, and how many have 1, 2-5, 6-10, 11-20 and more members."""
     n = members.groupBy(event, group).agg(F.count(F.lit(1)).alias("n"))

@@ -33,7 +33,7 @@ def connected_components(pairs: DataFrame, a: str, b: str, scope: Sequence[str]
     sk = [f"s{i}" for i in range(len(scope))]
     first = F.col(a).isNotNull() & F.col(b).isNotNull()
     edges = pairs.where(first).select(*(F.col(k).alias(x) for k, x in zip(scope, sk)), F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where(" and ".join([*(f"{x} is not null" for x in sk), "u < v"])).distinct()
-    path = ws.write(edges, sized=True)
+    path, n = ws.count(edges, sized=True)
     labels: str | None = None  # n -> label, for every node hooked so far
     link_schema = edges.select(*sk, F.col("u").alias("n"), F.col("v").alias("r")).schema
     read_links = lambda p: spark.read.schema(link_schema).parquet(p)
@@ -42,10 +42,8 @@ def connected_components(pairs: DataFrame, a: str, b: str, scope: Sequence[str]
         right = links.select(*(F.col(x).alias(f"t_{x}") for x in sk), F.col("n").alias(f"n_{as_}"), F.col("r").alias(as_))
         return left.join(right, [*(F.col(x) == F.col(f"t_{x}") for x in sk), F.col(by) == F.col(f"n_{as_}")], how).drop(*(f"t_{x}" for x in sk), f"n_{as_}")
 
-    while True:
+    while n["rows"]:
         left = spark.read.schema(edges.schema).parquet(path)
-        if left.isEmpty():
-            break
         # the smallest edge of a label: below it if it has a smaller neighbour, else to its smallest greater one
         ends = left.select(*sk, F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(None).cast(edges.schema["u"].dataType).alias("lo"), F.col("v").alias("hi")), F.struct(F.col("v").alias("n"), F.col("u").alias("lo"), F.lit(None).cast(edges.schema["v"].dataType).alias("hi")))).alias("e"))
         picks = ends.select(*sk, "e.*").groupBy(*sk, "n").agg(F.coalesce(F.min("lo"), F.min("hi")).alias("r"), F.min("lo").isNull().alias("least"))
@@ -57,16 +55,15 @@ def connected_components(pairs: DataFrame, a: str, b: str, scope: Sequence[str]
         while True:  # pointer doubling until every label points at its root
             at = read_links(hook)
             step = met(at, "r", at, "inner", "rr").select(*sk, "n", F.col("rr").alias("r"), (F.col("rr") != F.col("r")).alias("moved"))
-            to = ws.write(step, sized=True)
-            moved = spark.read.schema(step.schema).parquet(to).where("moved").limit(1).count()
+            to, turned = ws.count(step, sized=True, moved=F.col("moved"))
             ws.drop(hook)
             hook = to
-            if not moved:
+            if not turned["moved"]:
                 break
         roots = read_links(hook)
         # relabel and deduplicate the edges
         again = met(met(left, "u", roots, "inner", "ru"), "v", roots, "inner", "rv").where("ru <> rv")
-        again_at = ws.write(again.select(*sk, F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), sized=True)
+        again_at, n = ws.count(again.select(*sk, F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), sized=True)
         if labels is None:
             labels = hook
         else:

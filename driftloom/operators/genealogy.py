@@ -15,24 +15,27 @@ EVENT = ("event_id",)
 
 
 def loop_heads(nodes: DataFrame, node: str, parent: str, scope: Sequence[str] = EVENT) -> DataFrame:
-    """For nodes that run in circles or into one: scope, ``node``, ``head``, the least id on the circle. Rounds of doubling as many as the logarithm of their number."""
+    """For nodes that run in circles or into one: scope, ``node``, ``head``, the least id on the circle. Rounds of doubling as many as the logarithm of the most such nodes that a scope has."""
     ws = Workspace(nodes.sparkSession, "loops")
-    state = ws.keep(nodes.select(*scope, F.col(node).alias("n"), F.col(parent).alias("a"), F.col(parent).alias("low")))
-    for _ in range(max(1, state.count()).bit_length()):
+    state = ws.keep(nodes.select(*scope, F.col(node).alias("n"), F.col(parent).alias("a"), F.col(parent).alias("low")), sized=True)
+    most = state.groupBy(*scope).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if not most:
+        return state.select(*scope, F.col("n").alias(node), F.col("low").alias("head"))
+    for _ in range(int(most).bit_length()):
         up = state.select(*(F.col(k).alias(f"t_{k}") for k in scope), F.col("n").alias("t_n"), F.col("a").alias("t_a"), F.col("low").alias("t_low"))
-        state = ws.keep(state.join(up, [*(F.col(k) == F.col(f"t_{k}") for k in scope), F.col("a") == F.col("t_n")]).select(*scope, "n", F.col("t_a").alias("a"), F.least("low", "t_low").alias("low")))
+        state = ws.keep(state.join(up, [*(F.col(k) == F.col(f"t_{k}") for k in scope), F.col("a") == F.col("t_n")]).select(*scope, "n", F.col("t_a").alias("a"), F.least("low", "t_low").alias("low")), sized=True)
     # every pointer is on its circle now, and what follows it is the whole circle
     up = state.select(*(F.col(k).alias(f"t_{k}") for k in scope), F.col("n").alias("t_n"), F.col("low").alias("head"))
     return state.join(up, [*(F.col(k) == F.col(f"t_{k}") for k in scope), F.col("a") == F.col("t_n")]).select(*scope, F.col("n").alias(node), "head")
 
 
-def true_ancestors(nodes: DataFrame, node: str, parent: str, scope: Sequence[str] = EVENT) -> DataFrame:
-    """scope, ``node``, ``parent``, ``root_id``, ``depth``: the last node on the way up. Of a circle, the least id on it (depth null)."""
+def true_ancestors(nodes: DataFrame, node: str, parent: str, scope: Sequence[str] = EVENT, carry: Sequence[str] = ()) -> DataFrame:
+    """scope, ``node``, ``parent``, carry, ``root_id``, ``depth``: the last node on the way up. Of a circle, the least id on it (depth null)."""
     ws = Workspace(nodes.sparkSession, "ancestors")
-    r = ws.keep(resolve_hierarchy(nodes, node, parent, scope, path=False))
+    r = ws.keep(resolve_hierarchy(nodes, node, parent, scope, path=False, carry=carry))
     heads = loop_heads(r.where("in_loop"), node, parent, scope).select(*(F.col(k).alias(f"h_{k}") for k in scope), F.col(node).alias("h_n"), "head")
     met = r.join(heads, [*(F.col(k) == F.col(f"h_{k}") for k in scope), F.col(node) == F.col("h_n")], "left")
-    return met.select(*scope, node, parent, F.coalesce("root_id", "head").alias("root_id"), "depth")
+    return met.select(*scope, node, parent, *carry, F.coalesce("root_id", "head").alias("root_id"), "depth")
 
 
 def nearest_marked(nodes: DataFrame, node: str, parent: str, marked: str, scope: Sequence[str] = EVENT, own: bool = False) -> DataFrame:
@@ -68,18 +71,24 @@ def parent_values(nodes: DataFrame, node: str, parent: str, values: Sequence[str
 
 
 def interactions(nodes: DataFrame, vertices: DataFrame, node: str, parent: str, scope: Sequence[str] = EVENT) -> DataFrame:
-    """scope, ``node``, ``interaction_id``: that of the first vertex at the start (x, y, z, t) of the root, for all of its tree; else of the nearest ancestor that starts at one."""
+    """scope, ``node``, ``interaction_id``: that of the first vertex at the start (x, y, z, t) of the node's root, for the whole tree; null where the root starts at none.
+
+    Only roots are matched: a node further down that happens to start at a vertex changes nothing, as the walked root, and not a stored one, is what counts. Of a circle the least id is the root.
+    """
     ws = Workspace(nodes.sparkSession, "interactions")
-    base = ws.keep(nodes.select(*scope, node, parent, "x", "y", "z", "t"))
-    at = matched(base, vertices, scope, [(c, c) for c in "xyzt"], "vertex_row").select(*scope, node, parent, F.col("r_interaction_id").alias("own"))
-    at = ws.keep(at)
-    root = true_ancestors(at, node, parent, scope).select(*(F.col(k).alias(f"a_{k}") for k in scope), F.col(node).alias("a_n"), "root_id")
-    own = at.where("own is not null").select(*(F.col(k).alias(f"o_{k}") for k in scope), F.col(node).alias("o_n"), F.col("own").alias("o_own"))
-    near = nearest_marked(at.withColumn("has", F.col("own").isNotNull()), node, parent, "has", scope, own=True).select(*(F.col(k).alias(f"b_{k}") for k in scope), F.col(node).alias("b_n"), "nearest")
-    met = at.select(*scope, node).join(root, [*(F.col(k) == F.col(f"a_{k}") for k in scope), F.col(node) == F.col("a_n")]).join(near, [*(F.col(k) == F.col(f"b_{k}") for k in scope), F.col(node) == F.col("b_n")])
-    by_root = met.join(own, [*(F.col(k) == F.col(f"o_{k}") for k in scope), F.col("root_id") == F.col("o_n")], "left").select(*scope, node, "nearest", F.col("o_own").alias("of_root"))
-    own2 = own.select(*(F.col(f"o_{k}").alias(f"p_{k}") for k in scope), F.col("o_n").alias("p_n"), F.col("o_own").alias("p_own"))
-    return by_root.join(own2, [*(F.col(k) == F.col(f"p_{k}") for k in scope), F.col("nearest") == F.col("p_n")], "left").select(*scope, node, F.coalesce("of_root", "p_own").alias("interaction_id"))
+    base = nodes.select(*scope, F.col(node).alias("n"), F.col(parent).alias("p"), "x", "y", "z", "t")
+    root = ws.keep(true_ancestors(base, "n", "p", scope, carry=["x", "y", "z", "t"]))
+    tops = root.where("n = root_id").select(*(F.col(k).alias(f"o_{k}") for k in scope), F.col("n").alias("o_n"), "x", "y", "z", "t")
+    at = matched(tops, vertices.select(*(F.col(k).alias(f"o_{k}") for k in scope), "vertex_row", "interaction_id", "x", "y", "z", "t"), [f"o_{k}" for k in scope], [(c, c) for c in "xyzt"], "vertex_row")
+    own = at.select(*(f"o_{k}" for k in scope), "o_n", F.col("r_interaction_id").alias("interaction_id"))
+    return root.join(own, [*(F.col(k) == F.col(f"o_{k}") for k in scope), F.col("root_id") == F.col("o_n")], "left").select(*scope, F.col("n").alias(node), "interaction_id")
+
+
+def children(nodes: DataFrame, chosen: DataFrame, node: str, parent: str, scope: Sequence[str] = EVENT) -> DataFrame:
+    """scope, ``node``, ``child``: the direct children of the chosen (scope, ``node``)."""
+    c = chosen.select(*(F.col(k).alias(f"c_{k}") for k in scope), F.col(node).alias("c_n")).distinct()
+    kids = nodes.where(F.col(parent) != F.col(node)).join(c, [*(F.col(k) == F.col(f"c_{k}") for k in scope), F.col(parent) == F.col("c_n")], "left_semi")
+    return kids.select(*scope, F.col(parent).alias(node), F.col(node).alias("child"))
 
 
 def trace(resolved: DataFrame, which: Column) -> DataFrame:
@@ -121,6 +130,21 @@ def genealogy_issues(particles: DataFrame, node: str = "id", parent: str = "pare
     return met.select(*scope, F.col("n").alias(node), F.explode(codes).alias("code"))
 
 
+def issue_chains(issues: DataFrame, particles: DataFrame, node: str = "id", parent: str = "parent_id", scope: Sequence[str] = EVENT, most: int = 12) -> DataFrame:
+    """The issues with ``chain``: the ids from the node up to its root, joined by arrows, at most ``most`` of them (then an ellipsis); of a circle the node's own id and its parent's."""
+    r = resolve_hierarchy(particles, node, parent, scope, path=True).select(*(F.col(k).alias(f"r_{k}") for k in scope), F.col(node).alias("r_n"), F.col(parent).alias("r_p"), "path")
+    met = issues.join(r, [*(F.col(k) == F.col(f"r_{k}") for k in scope), F.col(node) == F.col("r_n")], "left")
+    up = F.coalesce(F.reverse("path"), F.array_compact(F.array("r_n", "r_p")))
+    more = (F.size("path") > most) | F.col("path").isNull()
+    return met.select(*issues.columns, F.concat(F.array_join(F.slice(up, 1, most).cast("array<string>"), " <- "), F.when(more, " <- ...").otherwise("")).alias("chain"))
+
+
+def refused(issues: DataFrame, code: str = "code") -> DataFrame:
+    """The issues, as an error: a plan that reads this fails where there is any, with its code and row."""
+    bad = F.raise_error(F.concat(F.lit("genealogy is broken: "), F.to_json(F.struct(*issues.columns)))).cast("boolean")
+    return issues.where(F.coalesce(bad, F.lit(True)))
+
+
 def primaries(tracks: DataFrame, table: DataFrame | None = None, scope: Sequence[str] = EVENT) -> tuple[DataFrame, DataFrame]:
     """Tracks with ``is_primary`` (listed in the table, or without one: parent -1), and the mismatches as rows: scope, ``track_id``, ``code``."""
     alone = F.coalesce(F.col("parent_track_id"), F.lit(-1)) == -1

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..store import Workspace
 
 
-def resolve_hierarchy(nodes: DataFrame, node: str, parent: str, scope: Sequence[str] = (), path: bool = True, carry: Sequence[str] = (), unique: bool = False) -> DataFrame:
+def resolve_hierarchy(nodes: DataFrame, node: str, parent: str, scope: Sequence[str] = (), path: bool = True, carry: Sequence[str] = (), unique: bool = False, mark: str | None = None) -> DataFrame:
     """Root, depth and path of every node.
 
     :param nodes: one row per node; ``parent`` null or the node itself means that the node is a root
@@ -28,7 +28,8 @@ def resolve_hierarchy(nodes: DataFrame, node: str, parent: str, scope: Sequence[
     :param path: whether to build ``path``, an array from the root down to the node
     :param carry: further columns to keep
     :param unique: the caller knows that there is one row per scope and id, which saves a shuffle
-    :return: scope, ``node``, ``parent``, carry, ``root_id``, ``depth``, ``in_loop`` and, if asked for, ``path``
+    :param mark: a boolean column; adds ``topmost``, the marked node nearest to the root among the node and those above it (null: none, or circles)
+    :return: scope, ``node``, ``parent``, carry, ``root_id``, ``depth``, ``in_loop`` and, if asked for, ``path`` and ``topmost``
 
     A parent that is not a node of the scope ends the walk: the node is a root. A node whose links run in circles, or lead into a
     circle, has ``in_loop`` true and null root, depth and path. A row whose node id or scope is null is kept: it is nobody's parent
@@ -39,13 +40,13 @@ def resolve_hierarchy(nodes: DataFrame, node: str, parent: str, scope: Sequence[
     sk = [f"s{i}" for i in range(len(scope))]
     ck = [f"c{i}" for i in range(len(carry))]
     base = nodes.select(
-        *(F.col(k).alias(x) for k, x in zip(scope, sk)), F.col(node).alias("n"), F.when(F.col(parent).eqNullSafe(F.col(node)), None).otherwise(F.col(parent)).alias("p"), *(F.col(k).alias(x) for k, x in zip(carry, ck))
+        *(F.col(k).alias(x) for k, x in zip(scope, sk)), F.col(node).alias("n"), F.when(F.col(parent).eqNullSafe(F.col(node)), None).otherwise(F.col(parent)).alias("p"), *(F.col(k).alias(x) for k, x in zip(carry, ck)), *([F.coalesce(F.col(mark), F.lit(False)).alias("mk")] if mark else [])
     )
+    mk = ["mk"] if mark else []
     if not unique:
-        one = base.where("n is not null").groupBy(*sk, "n").agg(F.min(F.struct("p", *ck)).alias("v")).select(*sk, "n", "v.*")
+        one = base.where("n is not null").groupBy(*sk, "n").agg(F.min(F.struct("p", *ck, *mk)).alias("v")).select(*sk, "n", "v.*")
         base = one.unionByName(base.where("n is null"))
     base = ws.keep(base)
-    extra = ["seg"] if path else []
 
     def met(left: DataFrame, by: str, right: DataFrame, how: str) -> DataFrame:
         """``left`` with the row of ``right`` for its node ``by``, prefixed with t_."""
@@ -54,25 +55,25 @@ def resolve_hierarchy(nodes: DataFrame, node: str, parent: str, scope: Sequence[
 
     parents = base.where("p is not null").select(*sk, F.col("p").alias("n")).distinct()
     # the base is packed, so its size says nothing about a broadcast
-    inner = ws.keep(met(parents.hint("merge"), "n", base.select(*sk, "n", "p"), "inner").select(*sk, "n", F.col("t_p").alias("p")), sized=True)
+    inner = ws.keep(met(parents.hint("merge"), "n", base.select(*sk, "n", "p", *mk), "inner").select(*sk, "n", F.col("t_p").alias("p"), *(F.col(f"t_{c}").alias(c) for c in mk)), sized=True)
     top = F.col("t_n").isNull()
-    begun = met(inner, "p", inner.select(*sk, "n"), "left").select(
+    begun = met(inner, "p", inner.select(*sk, "n", *mk), "left").select(
         *sk, "n", F.coalesce("t_n", "n").alias("a"), F.when(top, 0).otherwise(1).alias("d"), top.alias("done"),
         *([F.when(top, F.slice(F.array("n"), 1, 0)).otherwise(F.array("t_n")).alias("seg")] if path else []),
+        *(["mk", F.when(F.col("t_mk"), F.col("t_n")).alias("up")] if mark else []),
     )
     state = begun.schema
     read = lambda *paths: nodes.sparkSession.read.schema(state).parquet(*paths)
-    written = [ws.write(begun, sized=True)]
-    while True:
-        count = read(written[-1]).agg(F.count_if("done"), F.count_if(~F.col("done"))).first()
-        if not count[0] or not count[1]:
-            break
+    first, count = ws.count(begun, sized=True, done=F.col("done"))
+    written = [first]
+    while 0 < count["done"] < count["rows"]:
         mine = read(written[-1]).where("not done")
         every = read(*written).where("done").unionByName(mine)
-        step = met(mine, "a", every, "inner").select(*sk, "n", F.col("t_a").alias("a"), (F.col("d") + F.col("t_d")).alias("d"), F.col("t_done").alias("done"), *([F.concat("seg", "t_seg").alias("seg")] if path else []))
-        written.append(ws.write(step, sized=True))
+        step = met(mine, "a", every, "inner").select(*sk, "n", F.col("t_a").alias("a"), (F.col("d") + F.col("t_d")).alias("d"), F.col("t_done").alias("done"), *([F.concat("seg", "t_seg").alias("seg")] if path else []), *(["mk", F.coalesce("t_up", "up").alias("up")] if mark else []))
+        at, count = ws.count(step, sized=True, done=F.col("done"))
+        written.append(at)
     answers = read(*written).where("done")
-    if count[1]:  # the last round finished none: circles
+    if count["rows"] and not count["done"]:  # the last round finished none: circles
         answers = answers.unionByName(read(written[-1]).where("not done"))
     has, loop = F.col("t_n").isNotNull(), ~F.col("t_done")
     return met(base, "p", answers, "left").select(
@@ -81,6 +82,7 @@ def resolve_hierarchy(nodes: DataFrame, node: str, parent: str, scope: Sequence[
         F.when(has & loop, None).when(has, F.col("t_d") + 1).otherwise(0).alias("depth"),
         (has & loop).alias("in_loop"),
         *([F.when(has & loop, None).when(has, F.concat(F.reverse("t_seg"), F.array("p", "n"))).otherwise(F.array("n")).alias("path")] if path else []),
+        *([F.when(has & loop, None).otherwise(F.coalesce(F.when(has, F.coalesce("t_up", F.when(F.col("t_mk"), F.col("p")))), F.when(F.col("mk"), F.col("n")))).alias("topmost")] if mark else []),
     )
 
 

@@ -1,4 +1,4 @@
-"""Storage order, rows and ranges of an event's output, and the checks on them. Windows are per event over rows that were folded to particles first where that is possible."""
+"""Storage order, rows and ranges of an event's output, and the checks on them. Running sums over an event are range partitioned (``running``), so an event may hold any share of the rows."""
 
 from __future__ import annotations
 
@@ -8,15 +8,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .genealogy import nearest_marked, true_ancestors
+from .skew import running
 
 ORDER = ("interaction_id", "inst_id", "is_le", "frag_id", "particle_id")
 
 
 def fenceposts(counts: DataFrame, keys: Sequence[str], order: Sequence[str], n: str = "n") -> DataFrame:
     """``start`` and ``end`` of each row's slice when slices of ``n`` follow each other within ``keys`` in ``order``."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = counts.withColumn("end", F.sum(n).over(w))
-    return out.withColumn("start", F.col("end") - F.col(n))
+    return running(counts, keys, order, {"end": F.col(n)}).withColumn("start", F.col("end") - F.col(n))
 
 
 def storage_ranges(particles: DataFrame, event: str = "event_id") -> DataFrame:
@@ -36,18 +35,35 @@ def group_spans(ranges: DataFrame, group: Sequence[str], check: bool = True) ->
     return out.select(*group, F.coalesce("start", F.lit(-1)).alias("start"), F.coalesce("end", F.lit(-1)).alias("end"), F.coalesce("le_start", "end", F.lit(-1)).alias("le_start"))
 
 
+def running_base(sizes: DataFrame, event: str = "event_id", n: str = "n", width: int = 4096) -> DataFrame:
+    """``b_e``, ``base``: how many rows the events before each one have. In two levels: sums over ranges of ``width`` events first, so that no window sees more than ``width`` rows, or a row per range."""
+    s = sizes.select(F.col(event).alias("b_e"), F.col(n).alias("b_n"), F.floor(F.col(event) / width).alias("block"))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = s.groupBy("block").agg(F.sum("b_n").alias("all")).select(F.col("block").alias("of"), F.coalesce(F.sum("all").over(before().orderBy("block")), F.lit(0)).alias("ahead"))
+    inside = s.withColumn("base", F.coalesce(F.sum("b_n").over(before("block").orderBy("b_e")), F.lit(0)))
+    return inside.join(blocks, F.col("block") == F.col("of")).select("b_e", (F.col("base") + F.col("ahead")).alias("base"))
+
+
 def absolute(ranges: DataFrame, sizes: DataFrame, columns: Sequence[str], event: str = "event_id") -> DataFrame:
-    """Ranges within an event as ranges in the file, events in order of id; -1 stays. ``sizes``: event, ``n``. The running sum is over one row per event."""
-    base = fenceposts(sizes, (), (event,)).select(F.col(event).alias("b_e"), F.col("start").alias("base")) if sizes.columns else sizes
-    met = ranges.join(base, F.col(event) == F.col("b_e"))
+    """Ranges within an event as ranges in the file, events in order of id; -1 stays. ``sizes``: event, ``n``, one row per event."""
+    met = ranges.join(running_base(sizes, event), F.col(event) == F.col("b_e"))
     return met.select(*(F.when(F.col(c) >= 0, F.col(c) + F.col("base")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in ranges.columns))
 
 
+def relative(ranges: DataFrame, sizes: DataFrame, columns: Sequence[str], event: str = "event_id") -> DataFrame:
+    """What ``absolute`` does, undone: ranges in the file as ranges within their event."""
+    met = ranges.join(running_base(sizes, event), F.col(event) == F.col("b_e"))
+    return met.select(*(F.when(F.col(c) >= 0, F.col(c) - F.col("base")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in ranges.columns))
+
+
 def overlaps(ranges: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
     """Neighbouring ranges that overlap: keys, ``label``, ``next_label``, ``start``, ``end``, ``next_start``. Empty and absent ones do not count."""
-    w = Window.partitionBy(*keys).orderBy("start", "end", label)
-    n = ranges.where("start >= 0 and end > start").withColumns({"next_start": F.lead("start").over(w), "next_label": F.lead(label).over(w)})
-    return n.where("next_start < end").select(*keys, label, "next_label", "start", "end", "next_start")
+    full = ranges.where("start >= 0 and end > start").select(*keys, F.col(label).alias("lab"), "start", "end").withColumns({f"m_{c}": -F.col(c) for c in ("start", "end", "lab")})
+    # backwards, so that the last range seen before is the next one
+    n = running(full, keys, ["m_start", "m_end", "m_lab"], {"no": F.lit(1)})
+    nxt = n.select(*(F.col(k).alias(f"x_{k}") for k in keys), (F.col("no") + 1).alias("x_no"), F.col("lab").alias("next_label"), F.col("start").alias("next_start"))
+    met = n.join(nxt, [*(F.col(k).eqNullSafe(F.col(f"x_{k}")) for k in keys), F.col("no") == F.col("x_no")])
+    return met.where("next_start < end").select(*keys, F.col("lab").alias(label), "next_label", "start", "end", "next_start")
 
 
 def stored_rows(particles: DataFrame, keep: DataFrame | None = None, event: str = "event_id") -> DataFrame:
@@ -80,17 +96,17 @@ def group_parents(particles: DataFrame, head: str, event: str = "event_id") -> D
 
 
 def self_markers(membership: DataFrame) -> DataFrame:
-    """``frag_id``/``inst_id`` as files hold them: the own id on the head's row, else -1; and how many members each head has (-1 on others)."""
+    """``frag_id``/``inst_id`` as files hold them: the own id on the head's row, else -1; and how many members each head has (-1 on others). Members are counted by a hash aggregate that combines first."""
     out = membership
     for k in ("frag", "inst"):
-        w = Window.partitionBy("event_id", f"{k}_id")
-        out = out.withColumn(f"{k}_merge_count", F.when(F.col(f"{k}_id") == F.col("id"), F.count(F.lit(1)).over(w)).otherwise(-1))
+        n = membership.groupBy(F.col("event_id").alias("n_e"), F.col(f"{k}_id").alias("n_g")).agg(F.count(F.lit(1)).alias("n"))
+        out = out.join(n, (F.col("event_id") == F.col("n_e")) & (F.col("id") == F.col("n_g")) & (F.col(f"{k}_id") == F.col("id")), "left").withColumn(f"{k}_merge_count", F.coalesce("n", F.lit(-1))).drop("n_e", "n_g", "n")
     return out.withColumns({f"{k}_id": F.when(F.col(f"{k}_id") == F.col("id"), F.col("id")).otherwise(-1) for k in ("frag", "inst")})
 
 
 def dense_ids(particles: DataFrame, order: Sequence[str], event: str = "event_id") -> DataFrame:
     """Ids from 0 in list order per event, with parents and ancestors mapped along; those that are absent become the particle itself."""
-    n = particles.withColumn("new_id", F.row_number().over(Window.partitionBy(event).orderBy(*order)) - 1)
+    n = running(particles, (event,), order, {"new_id": F.lit(1)}).withColumn("new_id", (F.col("new_id") - 1).cast("int"))
     ref = lambda p: n.select(F.col(event).alias(f"{p}_e"), F.col("id").alias(f"{p}_i"), F.col("new_id").alias(f"{p}_n"))
     met = n.join(ref("p"), (F.col(event) == F.col("p_e")) & (F.col("parent_id") == F.col("p_i")), "left").join(ref("a"), (F.col(event) == F.col("a_e")) & (F.col("ancestor_id") == F.col("a_i")), "left")
     return met.select(event, F.col("id").alias("old_id"), F.col("new_id").alias("id"), F.coalesce("p_n", "new_id").alias("parent_id"), F.coalesce("a_n", "new_id").alias("ancestor_id"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import entry_charge
+from .skew import running
 
 
 def association_owner(slices: DataFrame, event: str = "event_id") -> DataFrame:
@@ -25,8 +26,7 @@ def decode_hits(groups: DataFrame, entries: DataFrame, keys: Sequence[str], orde
     Each group owns as many entries as its size, in order. Where sizes and entries do not add up, or positions do not count from 0, the query fails; a surplus of whole 256s is named, for sizes
     that were stored in one byte.
     """
-    run = Window.partitionBy(*keys).orderBy("group_no").rowsBetween(Window.unboundedPreceding, -1)
-    started = groups.withColumn("first", F.coalesce(F.sum("group_size").over(run), F.lit(0)))
+    started = running(groups, keys, ["group_no"], {"first": F.col("group_size")}).withColumn("first", F.col("first") - F.coalesce("group_size", F.lit(0)))
     n = entries.groupBy(*(F.col(k).alias(f"n_{k}") for k in keys)).agg(F.count(F.lit(1)).alias("entries"), F.sum(order).alias("sum"))
     told = groups.groupBy(*keys).agg(F.sum("group_size").alias("told"))
     both = told.join(n, [F.col(k) == F.col(f"n_{k}") for k in keys], "left").withColumn("lost", F.coalesce("entries", F.lit(0)) - F.coalesce("told", F.lit(0)))
@@ -40,8 +40,8 @@ def decode_hits(groups: DataFrame, entries: DataFrame, keys: Sequence[str], orde
 
 def decode_deltas(rows: DataFrame, keys: Sequence[str], order: str, values: dict[str, str], starts: dict[str, Column | int]) -> DataFrame:
     """Running sums of deltas: keys, ``order`` and for each output name start + the sum of its delta column up to the row, in 64 bits."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select(*keys, order, *((F.sum(F.col(c).cast("bigint")).over(w) + starts[n]).alias(n) for n, c in values.items()))
+    ran = running(rows.select(*keys, order, *(F.col(c).cast("bigint").alias(f"d_{n}") for n, c in values.items())), keys, [order], {n: F.col(f"d_{n}") for n in values})
+    return ran.select(*keys, order, *((F.col(n) + starts[n]).alias(n) for n in values))
 
 
 def on_sensor(hits: DataFrame, pixels: DataFrame, keys: Sequence[str], pixel: Sequence[str] = ("py", "pz", "tick"), threshold: float | None = None, keep_off: bool = False) -> DataFrame:
@@ -98,8 +98,7 @@ def contained(positions: DataFrame, ranges: DataFrame, keys: Sequence[str], at:
     """positions with the ``label`` of the range [start, end) that holds them, null if none: an as-of walk over both in order, without a range join. Ranges of one key do not overlap."""
     p = positions.select(*keys, F.col(at).cast("bigint").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("stop"), F.lit(None).cast(ranges.schema[label].dataType).alias("lab"))
     r = ranges.where("end > start").select(*keys, F.col("start").cast("bigint").alias("at"), F.lit(0).alias("kind"), F.col("end").cast("bigint").alias("stop"), F.col(label).alias("lab"))
-    w = Window.partitionBy(*keys).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    last = p.unionByName(r).withColumn("last", F.last(F.when(F.col("kind") == 0, F.struct("stop", "lab")), True).over(w))
+    last = running(p.unionByName(r), keys, ["at", "kind"], lasts={"last": F.when(F.col("kind") == 0, F.struct("stop", "lab"))})
     return last.where("kind = 1").select(*keys, F.col("at").alias(at), F.when(F.col("at") < F.col("last.stop"), F.col("last.lab")).alias(label))
 
 
@@ -117,7 +116,7 @@ def paired_entries(events: DataFrame, entries: DataFrame) -> DataFrame:
 
 def zipped(left: DataFrame, right: DataFrame, keys: Sequence[str], left_order: str, right_order: str) -> DataFrame:
     """The k-th row of each key with the k-th of the other side: full outer, so that surplus rows show as nulls. Right columns come prefixed with z_."""
-    number = lambda df, o: df.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(o)))
+    number = lambda df, o: running(df, keys, [o], {"__k": F.lit(1)})
     r = number(right, right_order)
     r = r.select(*(F.col(c).alias(f"z_{c}") for c in r.columns))
     return number(left, left_order).join(r, [*(F.col(k) == F.col(f"z_{k}") for k in keys), F.col("__k") == F.col("z___k")], "full").drop("__k", "z___k")

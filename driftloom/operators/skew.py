@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import Workspace
+
 FOLDS = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 STITCHES = FOLDS | {"count": F.sum}
 
@@ -47,3 +49,27 @@ def skewed_totals(rows: DataFrame, keys: Sequence[str], order: Sequence[str], fo
     if unique:
         ranges = ranges.dropDuplicates([*keys, *order])
     return stitched(boundary_states(ranges, keys, folds), keys, folds)
+
+
+def running(rows: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None) -> DataFrame:
+    """``rows`` with running values within ``keys`` in ``order``, up to and with each row, though a key's rows may be more than one task should hold.
+
+    :param sums: by name, what is summed (nulls add nothing)
+    :param lasts: by name, of what the last value that is not null is taken
+
+    Rows are range partitioned by keys and order, each partition runs through its own stretch, and what the stretches before it come to is joined on. Equal keys and order are in any order
+    among each other. Null keys are a key; an empty table gives an empty result.
+    """
+    sums, lasts = sums or {}, lasts or {}
+    ws = Workspace(rows.sparkSession, "running")
+    laid = rows.withColumns({**{f"__s_{k}": c for k, c in sums.items()}, **{f"__l_{k}": c for k, c in lasts.items()}}).repartitionByRange(*keys, *order)
+    laid = ws.keep(laid.withColumn("__part", F.spark_partition_id()))  # written, so that a row keeps its partition whoever reads it
+    local = Window.partitionBy("__part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    at = F.struct(*order)
+    states = laid.groupBy("__part", *keys).agg(F.count(F.lit(1)).alias("__n"), *(F.sum(f"__s_{k}").alias(f"__s_{k}") for k in sums), *(F.max_by(f"__l_{k}", F.when(F.col(f"__l_{k}").isNotNull(), at)).alias(f"__l_{k}") for k in lasts))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    prior = states.select(F.col("__part").alias("__p"), *(F.col(k).alias(f"__p_{i}") for i, k in enumerate(keys)), *(F.sum(f"__s_{k}").over(before).alias(f"__b_{k}") for k in sums), *(F.last(f"__l_{k}", True).over(before).alias(f"__e_{k}") for k in lasts))
+    ran = laid.select(*rows.columns, "__part", *(F.sum(f"__s_{k}").over(local).alias(f"__s_{k}") for k in sums), *(F.last(f"__l_{k}", True).over(local).alias(f"__l_{k}") for k in lasts))
+    met = ran.join(prior, [F.col("__part") == F.col("__p"), *(F.col(k).eqNullSafe(F.col(f"__p_{i}")) for i, k in enumerate(keys))])
+    zero = F.lit(0)
+    return met.select(*(c for c in rows.columns if c not in {*sums, *lasts}), *((F.coalesce(f"__b_{k}", zero) + F.coalesce(f"__s_{k}", zero)).alias(k) for k in sums), *(F.coalesce(f"__l_{k}", f"__e_{k}").alias(k) for k in lasts))

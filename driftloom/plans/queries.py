@@ -12,7 +12,7 @@ from ..enums import INTERACTION, SEMANTIC
 from ..functions import columns as C
 from ..operators import clustering, genealogy, geometry, layout, points as P, readout, reports
 from ..operators.components import connected_components
-from ..operators.spatial import in_boxes, matched, near_pairs, standoff, touching
+from ..operators.spatial import box_outlines, matched, points_in_regions, standoff, touching
 from ..params import Params
 from ..sources import store as S
 from ..tables import no_parent, standing, table
@@ -54,9 +54,15 @@ def _merged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _membership(spark: SparkSession, d: str) -> DataFrame:
-    """event_id, id, frag_id, inst_id, sem_type, interaction_id, is_le: instances are the trees of the genealogy's top levels as stored ancestors."""
+    """event_id, id, parent_id, frag_id, inst_id, sem_type, interaction_id, is_le: a low-energy particle is in the fragment of its parent where that is not low-energy itself, others head one of their own;
+    instances are the fragments of one stored ancestor. All but the ids are those of the fragment's head."""
     p = _particles(spark, d, "sem_type", "interaction_id", "ancestor_id")
-    return p.select("event_id", "id", "parent_id", F.col("id").alias("frag_id"), F.coalesce("ancestor_id", "id").alias("inst_id"), "sem_type", "interaction_id", F.coalesce(F.col("sem_type") == SEMANTIC["le_scatter"], F.lit(False)).alias("is_le"))
+    le = lambda c: F.coalesce(F.col(c) == SEMANTIC["le_scatter"], F.lit(False))
+    up = p.select(F.col("event_id").alias("u_e"), F.col("id").alias("u_id"), F.col("sem_type").alias("u_sem"), F.col("interaction_id").alias("u_inter"), F.col("ancestor_id").alias("u_anc")).where(~le("u_sem"))
+    m = p.join(up, (F.col("event_id") == F.col("u_e")) & (F.col("parent_id") == F.col("u_id")) & le("sem_type"), "left")
+    held = F.col("u_id").isNotNull()
+    of = lambda own, its: F.when(held, F.col(its)).otherwise(F.col(own))
+    return m.select("event_id", "id", "parent_id", of("id", "u_id").alias("frag_id"), F.coalesce(of("ancestor_id", "u_anc"), of("id", "u_id")).alias("inst_id"), of("sem_type", "u_sem").alias("sem_type"), of("interaction_id", "u_inter").alias("interaction_id"), (~held & le("sem_type")).alias("is_le"))
 
 
 # ---- points
@@ -141,7 +147,14 @@ def _geometry() -> dict:
 
 def _placed(spark: SparkSession, d: str) -> DataFrame:
     g = _groups(spark, d, "center_py", "center_pz", "center_times", "peak_charges")
-    return g.join(F.broadcast(table(spark, d, "volumes")), F.col("volume") == F.col("volume_id"))
+    return g.join(table(spark, d, "volumes"), F.col("volume") == F.col("volume_id"))
+
+
+def _held(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Points with the volume that holds them, and its columns."""
+    boxes = box_outlines(table(spark, d, "volumes"), "volume_id", ("x_min", "x_max"), ("y_min", "y_max"), ("z_min", "z_max"))
+    held = points_in_regions(table(spark, d, "points").select("event_id", "particle_id", "point_id", *columns), boxes, region="v", key=["point_id"])
+    return held.join(table(spark, d, "volumes"), F.col("v") == F.col("volume_id")).drop("v")
 
 
 def drift_to_xyz(spark: SparkSession, d: str) -> DataFrame:
@@ -152,7 +165,7 @@ def drift_to_xyz(spark: SparkSession, d: str) -> DataFrame:
 
 def window_truncation(spark: SparkSession, d: str) -> DataFrame:
     """Per volume: points that would be read out before the window, and after it."""
-    held = in_boxes(_points(spark, d, "x", "y", "z", "t"), F.broadcast(table(spark, d, "volumes")), [("x", "x_min", "x_max"), ("y", "y_min", "y_max"), ("z", "z_min", "z_max")])
+    held = _held(spark, d, "x", "y", "z", "t")
     tick = C.wanted_tick(F.col("x").cast("double"), F.col("t").cast("double"), _geometry())
     return held.groupBy("volume_id").agg(F.count(F.lit(1)).alias("points"), F.count_if(tick < 0).alias("before"), F.count_if(tick > 2000).alias("after"))
 
@@ -251,10 +264,12 @@ def sensor_mask(spark: SparkSession, d: str) -> DataFrame:
 
 
 def csr_decode(spark: SparkSession, d: str) -> DataFrame:
-    """Groups whose entries are coded as deltas from the group's centre: three entries each."""
-    g = _groups(spark, d, "center_py", "center_pz", "center_times", "peak_charges").withColumn("group_no", F.col("group_id")).withColumn("group_size", F.lit(3).cast("bigint"))
-    rank = F.row_number().over(Window.partitionBy("event_id").orderBy("group_id")) - 1
-    e = g.withColumn("k", rank).select("event_id", "k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("i")).select("event_id", (F.col("k") * 3 + F.col("i")).alias("position"), F.col("i").alias("delta_py"), (-F.col("i")).alias("delta_pz"), (F.col("i") * 2).alias("delta_times"), (F.lit(32767) - F.col("i") * 10000).alias("fraction"))
+    """Groups of one to four entries, coded as deltas from the group's centre; sizes, deltas and fractions follow from the centres."""
+    g = _groups(spark, d, "center_py", "center_pz", "center_times", "peak_charges").withColumn("group_no", F.col("group_id")).withColumn("group_size", F.pmod(F.col("center_pz").cast("bigint"), F.lit(4)) + 1)
+    first = F.coalesce(F.sum("group_size").over(Window.partitionBy("event_id").orderBy("group_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    e = g.withColumn("k", first).select("event_id", "k", "center_py", "center_times", F.explode(F.sequence(F.lit(0), (F.col("group_size") - 1).cast("int"))).alias("i"))
+    mixed = lambda c, by, of: F.pmod(F.col(c).cast("int") + F.col("i") * by, F.lit(of)) - of // 2
+    e = e.select("event_id", (F.col("k") + F.col("i")).alias("position"), mixed("center_py", 7, 23).alias("delta_py"), mixed("center_times", 5, 31).alias("delta_pz"), mixed("center_py", 11, 61).alias("delta_times"), (mixed("center_times", 4099, 65535)).alias("fraction"))
     h = readout.decode_hits(g, e, ("event_id",))
     return h.select("event_id", "group_id", "csr_pos", "py", "pz", "tick", F.round("charge", 4).alias("charge"))
 
@@ -266,7 +281,7 @@ def sensor_delta_decode(spark: SparkSession, d: str) -> DataFrame:
 
 def group_owners(spark: SparkSession, d: str) -> DataFrame:
     """The particle of most points of each (volume, 100 mm slab of z): a group over many particles."""
-    p = in_boxes(_points(spark, d, "x", "y", "z"), F.broadcast(table(spark, d, "volumes")), [("x", "x_min", "x_max"), ("y", "y_min", "y_max"), ("z", "z_min", "z_max")])
+    p = _held(spark, d, "x", "y", "z")
     rows = p.select("event_id", (F.col("volume_id") * 100 + F.floor((F.col("z") + 2200) / 100)).alias("group_id"), "particle_id")
     return readout.owners(rows, "majority").select("event_id", "group_id", "owner", "straddled")
 
@@ -286,10 +301,9 @@ def shared_energy(spark: SparkSession, d: str) -> DataFrame:
 
 def hit_labels(spark: SparkSession, d: str) -> DataFrame:
     g = _groups(spark, d)
-    p = _particles(spark, d, "geant4_trackid", "sem_type", "ancestor_id")
+    p = _particles(spark, d, "geant4_trackid")
     own = g.join(p.select(F.col("event_id").alias("p_e"), "geant4_trackid", F.col("id").alias("owner")), (F.col("event_id") == F.col("p_e")) & (F.col("group_to_track") == F.col("geant4_trackid"))).groupBy("event_id", "group_id").agg(F.min("owner").alias("owner"))
-    m = p.select("event_id", F.col("id").alias("particle_id"), F.col("id").alias("frag_id"), F.coalesce("ancestor_id", "id").alias("inst_id"), F.coalesce(F.col("sem_type") == 5, F.lit(False)).alias("is_le"))
-    return readout.hit_labels(g.select("event_id", "group_id"), own, m)
+    return readout.hit_labels(g.select("event_id", "group_id"), own, _membership(spark, d).withColumnRenamed("id", "particle_id"))
 
 
 # ---- proximity and clustering
@@ -337,8 +351,7 @@ def photon_decay(spark: SparkSession, d: str) -> DataFrame:
 def merge_fixpoint(spark: SparkSession, d: str) -> DataFrame:
     """Fragments by all rules, to the fixpoint."""
     p = _particles(spark, d, "ancestor_id", "pdg", "parent_pdg", "geant4_trackid", "interaction_type", "sem_type").withColumn("sem_type", F.coalesce("sem_type", F.lit(6)))
-    state, _ = clustering.merge_fixpoint(p, _clean(spark, d), Params())
-    return state
+    return clustering.merge_fixpoint(p, _clean(spark, d), Params()).state
 
 
 def shower_instances(spark: SparkSession, d: str) -> DataFrame:
@@ -347,9 +360,9 @@ def shower_instances(spark: SparkSession, d: str) -> DataFrame:
 
 
 def absorbed_deltas(spark: SparkSession, d: str) -> DataFrame:
-    m = _merged(spark, d)
-    p = m.withColumn("sem_type", F.coalesce("sem_type", F.lit(6)))
-    return clustering.absorbed_deltas(p.select("event_id", F.col("id").alias("particle_id"), F.col("frag_id").alias("rep_id")), p)
+    """Low-energy particles in the fragment of their parent, taken as deltas by origin where their id is even."""
+    p = _particles(spark, d, "sem_type").withColumns({"sem_type": F.coalesce("sem_type", F.lit(6)), "interaction_type": F.when(F.col("id") % 2 == 0, INTERACTION["delta"]).otherwise(INTERACTION["compton"])})
+    return clustering.absorbed_deltas(_membership(spark, d).select("event_id", F.col("id").alias("particle_id"), F.col("frag_id").alias("rep_id")), p)
 
 
 def nearest_standoff(spark: SparkSession, d: str) -> DataFrame:
@@ -440,16 +453,21 @@ def run_report(spark: SparkSession, d: str) -> DataFrame:
     return r.select("metric", "least", F.round("mean", 6).alias("mean"), "most", "events")
 
 
+def _with_track(spark: SparkSession, d: str) -> DataFrame:
+    """Readout groups with the start of their track: pixel, tick, and where the charge came from."""
+    both, _ = readout.attach_tracks(_groups(spark, d, "center_py", "center_times"), _tracks(spark, d, "x", "y", "t").select("event_id", "track_id", "x", "y", "t"))
+    return both
+
+
 def pitch_fit(spark: SparkSession, d: str) -> DataFrame:
-    """Line through pixel number and position per volume."""
-    g = _placed(spark, d).select("volume", "center_py", (F.col("y_min") + (F.col("center_py") + 0.5) * 4.0).alias("y"))
-    f = geometry.line_fit(g, ["volume"], "center_py", "y")
+    """Line through pixel number and position of the track, per volume."""
+    f = geometry.line_fit(_with_track(spark, d), ["volume"], "center_py", "track_y")
     return f.select("volume", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"), "n")
 
 
 def plane_fit(spark: SparkSession, d: str) -> DataFrame:
-    g = _placed(spark, d).select("volume", F.col("center_times").alias("a"), F.col("center_py").alias("b"), (F.col("center_times") * 0.8 - F.col("center_py") * 0.25 + 3 + F.col("center_pz") * 0.0).alias("y"))
-    f = geometry.plane_fit(g, ["volume"], "a", "b", "y")
+    """Position of the track by tick and start time, per volume."""
+    f = geometry.plane_fit(_with_track(spark, d), ["volume"], "center_times", "track_t", "track_x")
     return f.select("volume", F.round("b1", 6).alias("b1"), F.round("b2", 6).alias("b2"), F.round("b0", 4).alias("b0"), "n")
 
 
@@ -474,14 +492,16 @@ def paired_entries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def store_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Groups written to an event store, repacked with another codec, and compared: no row differs."""
+    """Groups written to an event store, repacked with another codec, and compared: rows on either side, and rows that differ."""
     from ..store import Workspace
 
     ws = Workspace(spark, "roundtrip")
     g = _groups(spark, d, "peak_charges")
     S.write_table(g, ws.root, "groups", ["group_id"], buckets=4)
     S.repack(spark, f"{ws.root}/groups", f"{ws.root}/packed", "gzip")
-    return S.differences(spark.read.parquet(f"{ws.root}/packed").select(*g.columns), g)
+    back = spark.read.parquet(f"{ws.root}/packed").select(*g.columns)
+    one = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("what"), "n")
+    return one(g, "given").unionByName(one(back, "read")).unionByName(one(S.differences(back, g), "different"))
 
 
 QUERIES = {

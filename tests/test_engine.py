@@ -156,7 +156,7 @@ def cloud(spark, **at):
 def test_le_chain_merges_and_largest_wins(spark):
     p = spark.createDataFrame([(1, i, None, i, 11, 0, i, I["compton"], S["le_scatter"]) for i in (1, 2, 3)], PART)
     c = cloud(spark, p1=[(0, 0, 0)], p2=[(0.05, 0, 0)] * 3, p3=[(0.1, 0, 0)] * 2)
-    state, decisions = clustering.merge_fixpoint(p, c, Params(distance_threshold=0.06))
+    state, decisions, _, done = clustering.merge_fixpoint(p, c, Params(distance_threshold=0.06))
     assert {r.particle_id: r.rep_id for r in state.collect()} == {1: 2, 2: 2, 3: 2}
     assert {r.rule for r in decisions.collect()} == {"combine_le"}
 
@@ -164,7 +164,7 @@ def test_le_chain_merges_and_largest_wins(spark):
 def test_le_between_two_showers_joins_its_home(spark):
     p = spark.createDataFrame([(1, 1, None, 1, 13, 0, 1, I["primary"], S["track"]), (1, 2, None, 2, 11, 0, 2, I["primary"], S["shower"]), (1, 3, 2, 2, 11, 11, 3, I["ionization"], S["le_scatter"])], PART)
     c = cloud(spark, p1=[(0, 0, 0)], p2=[(2.0, 0, 0)], p3=[(0.9, 0, 0)])
-    state, _ = clustering.merge_fixpoint(p, c, Params(distance_threshold=1.5))
+    state, *_ = clustering.merge_fixpoint(p, c, Params(distance_threshold=1.5))
     assert {r.particle_id: r.rep_id for r in state.collect()} == {1: 1, 2: 2, 3: 2}
 
 
@@ -179,7 +179,7 @@ def test_photon_with_conversion_becomes_a_shower(spark):
     at = {(1, 1): 0, (1, 2): 10, (1, 3): 0.5, (1, 4): -0.5, (2, 1): 0, (2, 2): 0.5, (2, 4): -0.5, (3, 1): 0, (3, 2): 0.5, (3, 3): 10, (4, 1): 0, (4, 2): 10, (4, 4): -0.5}
     p = spark.createDataFrame(rows_, PART)
     c = spark.createDataFrame([(e, i, 1000 * e + 10 * i + k, float(x), 0.1 * k, 0.0) for (e, i), x in at.items() for k in range(9 if (e, i) == (1, 3) else 1)], "event_id int, particle_id int, point_id int, x double, y double, z double")
-    state, _ = clustering.merge_fixpoint(p, c, Params(distance_threshold=0.6))
+    state, *_ = clustering.merge_fixpoint(p, c, Params(distance_threshold=0.6))
     got = {(r.event_id, r.particle_id): (r.rep_id, r.sem_type) for r in state.collect()}
     # converted: neither combined with the larger low-energy cloud nor absorbed by the track, but takes in what is low-energy
     assert {k[1]: v for k, v in got.items() if k[0] == 1 and k[1] != 3} == {1: (1, S["shower"]), 2: (1, S["shower"]), 4: (4, S["track"])} and got[1, 3][0] in (1, 4)

@@ -27,10 +27,18 @@ def test_polygons_with_many_edges(spark):
     want = {(i, r) for i, x, y, z in pts for r, ring in rings.items() if len(ring) > 2 and x is not None and not math.isnan(y) and math.isfinite(x) and (r != 1 or -1 <= z < 1) and inside(x, y, ring)}
     df = spark.createDataFrame(pts, "point_id int, x double, y double, z double")
     for strip in (None, 0.7, 50.0):
-        got = points_in_regions(df, outlines, key=("point_id",), strip=strip)
-        assert {(r.point_id, r.region_id) for r in got.collect()} == want
-    with pytest.raises(ValueError):
-        points_in_regions(df, outlines, strip=50.0)
+        for key in (("point_id",), ()):
+            got = [(r.point_id, r.region_id) for r in points_in_regions(df.unionByName(df), outlines, key=key, strip=strip).collect()]
+            assert set(got) == want and len(got) == len(want)
+
+
+def test_repeated_points_count_once(spark):
+    ring = [{"x": 10 * math.cos(2 * math.pi * k / 64), "y": 10 * math.sin(2 * math.pi * k / 64)} for k in range(64)]
+    disc = spark.createDataFrame([(1, ring, None, None), (2, [{"x": float("nan"), "y": 0.0}] * 4, None, None), (3, None, None, None), (4, ring, None, None), (4, [{"x": c["x"] / 2, "y": c["y"] / 2} for c in ring], None, None)], "region_id int, ring array<struct<x:double,y:double>>, z_low double, z_high double")
+    pts = spark.createDataFrame([(1, 0.3, 0.2, "a"), (1, 0.3, 0.2, "b"), (2, 9.9, 9.9, "a"), (3, 7.0, 0.0, "a"), (None, 1.0, 1.0, "a"), (None, 2.0, 7.0, "a")], "id int, x double, y double, region_id string")
+    for strip in (0.2, 5.0, 20.0):
+        got = sorted((str(r.id), r.region_id) for r in points_in_regions(pts, disc, z=None, key=("id",), strip=strip).collect())
+        assert got == [("1", 1), ("3", 1), ("3", 4), ("None", 1), ("None", 1), ("None", 4)]
 
 
 def test_shared_faces_belong_to_one_box(spark):
@@ -57,8 +65,8 @@ def brute(pts, d):
 def test_near_pairs(spark):
     pts = cloud()
     df = spark.createDataFrame(pts + pts[:50], "event_id int, cell int, point_id int, x double, y double, z double").withColumnRenamed("cell", "o")
-    for cell in (None, 5.0, 100.0):
-        got = near_pairs(df, 5.0, "point_id", "o", ("event_id",), cell=cell)
+    for cell, split in ((None, 512), (5.0, 512), (100.0, 3), (None, 1), (5.0, 0)):
+        got = near_pairs(df, 5.0, "point_id", "o", ("event_id",), cell=cell, split=split)
         assert {(r.point_a, r.point_b) for r in got.collect()} == brute(pts, 5.0)
     assert got.count() == len(brute(pts, 5.0))
     assert near_pairs(df.limit(0), 5.0, "point_id", "o", ("event_id",)).count() == 0
@@ -80,3 +88,9 @@ def test_first_match_within_tolerance(spark, rows):
     right = spark.createDataFrame([(1, 1, 100.001), (1, 0, 100.0005), (1, 2, 3.0)], "e int, row int, x double")
     got = matched(left, right, ["e"], [("x", "x")], "row")
     assert {(r.id, r.r_row) for r in got.collect()} == {(5, 0), (6, None)}
+    rng = random.Random(4)
+    a = [(rng.randint(0, 1), i, rng.choice([0.0, 5e-5, -1e-4, rng.uniform(-3000, 3000), rng.uniform(-1, 1), None, NAN])) for i in range(200)]
+    b = [(rng.randint(0, 1), j, v + rng.choice([0.0, 1e-4, -9e-5, 2e-4, 1e-5 * v, -1.1e-5 * v])) for j, v in enumerate(x[2] for x in a if x[2] is not None and x[2] == x[2])]
+    want = {(e, i): min([j for f, j, w in b if f == e and v is not None and abs(v - w) <= 1e-4 + 1e-5 * abs(w)], default=None) for e, i, v in a}
+    got = matched(spark.createDataFrame(a, "e int, id int, x double"), spark.createDataFrame(b, "e int, row int, x double"), ["e"], [("x", "x")], "row")
+    assert {(r.e, r.id): r.r_row for r in got.collect()} == want
