@@ -40,14 +40,14 @@ def interaction_type(primary: Column, pdg: Column, parent_pdg: Column, process:
     )
 
 
-def semantic_type(kind: Column, pdg: Column, parent_pdg: Column, extent: Column, least: int) -> Column:
-    """The semantic type code. Tracks and deltas of exactly ``least`` cells are large, showers and nuclei of that extent are small. Photon-like kinds of other than electrons and photons, and unknown kinds, are errors."""
+def semantic_type(kind: Column, pdg: Column, parent_pdg: Column, extent: Column, least: int, strict: bool = True) -> Column:
+    """The semantic type code. Tracks and deltas of exactly ``least`` cells are large, showers and nuclei of that extent are small. Photon-like kinds of other than electrons and photons, and unknown or null kinds, are errors; not ``strict``: unknown."""
     t, s = INTERACTION, SEMANTIC
     light = F.abs(pdg).isin(11, 22)
     small = extent < least
     large = extent > least
     le = F.lit(s["le_scatter"])
-    wrong = F.raise_error(F.concat(F.lit("no semantic type for interaction type "), kind.cast("string"), F.lit(", pdg "), pdg.cast("string"))).cast("int")
+    wrong = F.lit(s["unknown"]) if not strict else F.raise_error(F.concat(F.lit("no semantic type for interaction type "), kind.cast("string"), F.lit(", pdg "), pdg.cast("string"))).cast("int")
     return (
         F.when(kind == t["invalid"], s["unknown"])
         .when(kind == t["track"], F.when(small, le).otherwise(s["track"]))

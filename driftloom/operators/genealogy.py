@@ -101,19 +101,31 @@ def traceable_instances(instances: DataFrame, instance: str = "inst_id", parent:
     ws = Workspace(instances.sparkSession, "traceable")
     r = ws.keep(resolve_hierarchy(instances, instance, parent, scope, path=True, carry=[visible, interaction]))
     seen = r.where(visible)
-    up = seen.where("path is not null").select(*scope, F.explode("path").alias(instance))
-    # circles have no path: from their visible members the links are followed one by one until nothing is new
-    rings = ws.keep(r.where("in_loop").select(*(F.col(k).alias(f"c_{k}") for k in scope), F.col(instance).alias("c_i"), F.col(parent).alias("c_p")))
-    loop = ws.keep(seen.where("in_loop").select(*scope, instance))
-    last = loop
-    while not last.isEmpty():
-        named = last.join(rings, [*(F.col(k) == F.col(f"c_{k}") for k in scope), F.col(instance) == F.col("c_i")]).select(*scope, F.col("c_p").alias(instance)).distinct()
-        had = loop.select(*(F.col(k).alias(f"h_{k}") for k in scope), F.col(instance).alias("h_i"))
-        last = ws.keep(named.join(had, [*(F.col(k) == F.col(f"h_{k}") for k in scope), F.col(instance) == F.col("h_i")], "left_anti"))
-        loop = ws.keep(loop.unionByName(last))
     lit = seen.select(*(F.col(k).alias(f"l_{k}") for k in scope), F.col(interaction).alias("l_i")).distinct()
     tops = r.where("depth = 0").join(lit, [*(F.col(k) == F.col(f"l_{k}") for k in scope), F.col(interaction) == F.col("l_i")], "left_semi").select(*scope, instance)
-    return up.unionByName(loop).unionByName(tops).unionByName(seen.select(*scope, instance)).distinct()
+    return with_ancestors(r, seen.select(*scope, instance), instance, parent, scope).unionByName(tops).distinct()
+
+
+def with_ancestors(resolved: DataFrame, seeds: DataFrame, node: str, parent: str, scope: Sequence[str] = EVENT) -> DataFrame:
+    """scope, ``node``, distinct: the seeds and all their ancestors. In and below circles, which have no path, the links are followed one by one until nothing is new.
+
+    :param resolved: as ``resolve_hierarchy`` gives it, with paths
+    """
+    ws = Workspace(resolved.sparkSession, "ancestors")
+    chosen = seeds.select(*(F.col(k).alias(f"s_{k}") for k in scope), F.col(node).alias("s_n")).distinct()
+    at = ws.keep(resolved.join(chosen, [*(F.col(k) == F.col(f"s_{k}") for k in scope), F.col(node) == F.col("s_n")], "left_semi").select(*scope, node, "path", "in_loop"))
+    up = at.where("path is not null").select(*scope, F.explode("path").alias(node))
+    rings = ws.keep(resolved.where("in_loop").select(*(F.col(k).alias(f"c_{k}") for k in scope), F.col(node).alias("c_n"), F.col(parent).alias("c_p")))
+    path, n = ws.count(at.where("in_loop").select(*scope, node))
+    schema = at.select(*scope, node).schema
+    found = [path]
+    while n["rows"]:
+        last = resolved.sparkSession.read.schema(schema).parquet(found[-1])
+        had = resolved.sparkSession.read.schema(schema).parquet(*found).select(*(F.col(k).alias(f"h_{k}") for k in scope), F.col(node).alias("h_n"))
+        named = last.join(rings, [*(F.col(k) == F.col(f"c_{k}") for k in scope), F.col(node) == F.col("c_n")]).select(*scope, F.col("c_p").alias(node)).distinct()
+        path, n = ws.count(named.join(had, [*(F.col(k) == F.col(f"h_{k}") for k in scope), F.col(node) == F.col("h_n")], "left_anti"))
+        found.append(path)
+    return up.unionByName(resolved.sparkSession.read.schema(schema).parquet(*found)).distinct()
 
 
 def genealogy_issues(particles: DataFrame, node: str = "id", parent: str = "parent_id", ancestor: str = "ancestor_id", interaction: str = "interaction_id", scope: Sequence[str] = EVENT) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .genealogy import nearest_marked, true_ancestors
+from ..store import Workspace
+from .genealogy import nearest_marked, true_ancestors, with_ancestors
 from .skew import running
 
 ORDER = ("interaction_id", "inst_id", "is_le", "frag_id", "particle_id")
@@ -75,10 +76,10 @@ def stored_rows(particles: DataFrame, keep: DataFrame | None = None, event: str
 
     own = particles.where((F.col("n") > 0) | (F.col("frag_id") == F.col("id")) | (F.col("inst_id") == F.col("id"))).select(event, "id")
     ids = own if keep is None else own.unionByName(keep.select(event, "id"))
-    seen = ids.select(F.col(event).alias("k_e"), F.col("id").alias("k_id")).distinct()
-    r = resolve_hierarchy(particles, "id", "parent_id", (event,), path=True)
-    up = r.join(seen, (F.col(event) == F.col("k_e")) & (F.col("id") == F.col("k_id")), "left_semi").select(event, F.explode(F.coalesce("path", F.array("id"))).alias("id"))
-    return up.distinct()
+    r = Workspace(particles.sparkSession, "rows").keep(resolve_hierarchy(particles, "id", "parent_id", (event,), path=True))
+    return with_ancestors(r, ids.select(event, "id"), "id", "parent_id", (event,)).join(
+        particles.select(F.col(event).alias("k_e"), F.col("id").alias("k_id")), (F.col(event) == F.col("k_e")) & (F.col("id") == F.col("k_id")), "left_semi"
+    )
 
 
 def redirected(particles: DataFrame, event: str = "event_id") -> DataFrame:
@@ -112,6 +113,22 @@ def dense_ids(particles: DataFrame, order: Sequence[str], event: str = "event_id
     return met.select(event, F.col("id").alias("old_id"), F.col("new_id").alias("id"), F.coalesce("p_n", "new_id").alias("parent_id"), F.coalesce("a_n", "new_id").alias("ancestor_id"))
 
 
+def interaction_table(rows: DataFrame, spans: DataFrame, vertices: DataFrame | None = None, event: str = "event_id") -> DataFrame:
+    """The interactions that a stored row belongs to, numbered from 0 in each event: event, ``interaction_id``, ``vertex_id`` (the number before), ``part_start``, ``part_end`` (its rows), ``pc_start``, ``pc_end`` (its points; -1 where all
+    of them went to another interaction's groups), and the columns of ``vertices`` (event, ``vertex_row``, ...).
+
+    :param rows: event, ``interaction_id``, ``row_no`` of the stored rows; :param spans: event, ``interaction_id`` (of the points' group), ``start``, ``end``
+    """
+    live = rows.where("interaction_id >= 0").groupBy(event, F.col("interaction_id").alias("vertex_id")).agg(F.min("row_no").alias("part_start"), (F.max("row_no") + 1).alias("part_end"))
+    numbered = running(live, (event,), ["vertex_id"], {"no": F.lit(1)}).withColumn("interaction_id", (F.col("no") - 1).cast("int")).drop("no")
+    s = spans.select(F.col(event).alias("s_e"), F.col("interaction_id").alias("s_i"), "start", "end")
+    out = numbered.join(s, (F.col(event) == F.col("s_e")) & (F.col("vertex_id") == F.col("s_i")), "left").select(event, "interaction_id", "vertex_id", "part_start", "part_end", F.coalesce("start", F.lit(-1)).alias("pc_start"), F.coalesce("end", F.lit(-1)).alias("pc_end"))
+    if vertices is None:
+        return out
+    v = vertices.select(F.col(event).alias("v_e"), F.col("vertex_row").alias("v_r"), *(c for c in vertices.columns if c not in (event, "vertex_row", *out.columns)))
+    return out.join(v, (F.col(event) == F.col("v_e")) & (F.col("vertex_id") == F.col("v_r")), "left").drop("v_e", "v_r")
+
+
 def first_last_steps(steps: DataFrame, instance: Sequence[str] = ("event_id", "inst_id"), time: str = "t", tie: str = "step_id", keep: Sequence[str] = ("x", "y", "z")) -> DataFrame:
     """First and last step of each instance by time, then by ``tie`` (``keep``: further columns of them): of its allowed steps (``allowed``), of all its steps if it has none of those. Showers (``is_shower``) have no last."""
     at = F.struct(F.col(time), F.col(tie), *keep)

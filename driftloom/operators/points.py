@@ -30,11 +30,12 @@ def cells(points: DataFrame, size: Sequence[float], origin: Sequence[float] | No
     return good.withColumns({f"v{a}": cell(F.col(a), s, F.col(f"o{a}")) for a, s in zip("xyz", size)})
 
 
-def voxelize(points: DataFrame, size: Sequence[float], origin: Sequence[float] | None, owner: Sequence[str] = CLOUD) -> DataFrame:
-    """One point per owner and occupied cell, at its centre: t least, de and dx summed, ``n`` points. Every point snaps, also of clouds in which no two share a cell."""
+def voxelize(points: DataFrame, size: Sequence[float], origin: Sequence[float] | None, owner: Sequence[str] = CLOUD, point: str | None = None) -> DataFrame:
+    """One point per owner and occupied cell, at its centre: t least, de and dx summed, ``n`` points; with ``point`` also the least of that column, an id for the voxel. Every point snaps, also of clouds in which no two share a cell."""
     c = cells(points, size, origin, owner)
-    v = c.groupBy(*owner, "vx", "vy", "vz", "ox", "oy", "oz").agg(F.min("t").alias("t"), F.sum(F.col("de").cast("double")).alias("de"), F.sum(F.col("dx").cast("double")).alias("dx"), F.count(F.lit(1)).alias("n"))
-    return v.select(*owner, "vx", "vy", "vz", *(centre(F.col(f"v{a}"), s, F.col(f"o{a}")).alias(a) for a, s in zip("xyz", size)), "t", "de", "dx", "n")
+    least = [F.min(point).alias(point)] if point else []
+    v = c.groupBy(*owner, "vx", "vy", "vz", "ox", "oy", "oz").agg(F.min("t").alias("t"), F.sum(F.col("de").cast("double")).alias("de"), F.sum(F.col("dx").cast("double")).alias("dx"), F.count(F.lit(1)).alias("n"), *least)
+    return v.select(*owner, "vx", "vy", "vz", *(centre(F.col(f"v{a}"), s, F.col(f"o{a}")).alias(a) for a, s in zip("xyz", size)), "t", "de", "dx", "n", *([point] if point else []))
 
 
 def voxmap(points: DataFrame, size: Sequence[float], origin: Sequence[float] | None, point: str = "point_id", owner: Sequence[str] = CLOUD) -> DataFrame:

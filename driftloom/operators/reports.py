@@ -39,3 +39,9 @@ def decision_summary(decisions: DataFrame, by: Sequence[str] = ("stage", "pass_n
 def loader_stalls(batches: DataFrame) -> DataFrame:
     """Per epoch of a loader's log (epoch, wait_s, step_s): batches, seconds waited, and the share of time that the consumer waited."""
     return batches.groupBy("epoch").agg(F.count(F.lit(1)).alias("batches"), F.sum("wait_s").alias("wait_s"), (F.sum("wait_s") / (F.sum("wait_s") + F.sum("step_s"))).alias("stalled"))
+
+
+def write_decisions(decisions: DataFrame, path: str) -> None:
+    """Every decision as a line of JSON, and their summary per rule, pass and outcome beside them: ``path``/decisions and ``path``/summary."""
+    decisions.write.mode("errorifexists").json(f"{path}/decisions")
+    decisions.groupBy("rule", "pass_no", "outcome").agg(F.count(F.lit(1)).alias("pairs")).write.mode("errorifexists").json(f"{path}/summary")

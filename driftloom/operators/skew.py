@@ -73,3 +73,17 @@ def running(rows: DataFrame, keys: Sequence[str], order: Sequence[str], sums: di
     met = ran.join(prior, [F.col("__part") == F.col("__p"), *(F.col(k).eqNullSafe(F.col(f"__p_{i}")) for i, k in enumerate(keys))])
     zero = F.lit(0)
     return met.select(*(c for c in rows.columns if c not in {*sums, *lasts}), *((F.coalesce(f"__b_{k}", zero) + F.coalesce(f"__s_{k}", zero)).alias(k) for k in sums), *(F.coalesce(f"__l_{k}", f"__e_{k}").alias(k) for k in lasts))
+
+
+def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str, value: str, strict: bool = False) -> DataFrame:
+    """``left`` with the ``value`` of the latest row of ``right`` of its keys that is not later (``strict``: that is earlier), null if none, as ``value``; and when that was, as ``since``. No range join: one run over both in order.
+
+    Of right rows with equal keys and time the one with the greatest value counts. Null keys match each other.
+    """
+    kept = [c for c in left.columns if c not in keys and c != left_at]
+    r = right.groupBy(*keys, F.col(right_at).alias("__at")).agg(F.max(value).alias("__v"))
+    a = left.select(*keys, F.col(left_at).alias("__at"), F.lit(0 if strict else 1).alias("__kind"), F.struct(*(kept or [left_at])).alias("__kept"), F.lit(None).cast(r.schema["__v"].dataType).alias("__v"))
+    b = r.select(*keys, F.col("__at").cast(a.schema["__at"].dataType), F.lit(1 if strict else 0).alias("__kind"), F.lit(None).cast(a.schema["__kept"].dataType).alias("__kept"), "__v")
+    right_kind = 1 if strict else 0
+    ran = running(a.unionByName(b), keys, ["__at", "__kind"], lasts={"__last": F.when(F.col("__kind") == right_kind, F.struct("__v", "__at"))})
+    return ran.where(F.col("__kind") != right_kind).select(*keys, F.col("__at").alias(left_at), *(F.col(f"__kept.{c}").alias(c) for c in kept), F.col("__last.__v").alias(value), F.col("__last.__at").alias("since"))

@@ -17,6 +17,8 @@ class Params:
     rules: tuple[str, ...] = ("photon_decay", "combine_le", "absorb_le", "touching_em")
     max_passes: int = 10
     include_le: bool = True
+    drop_le: bool = False
+    traceable: bool = True
 
     @classmethod
     def pixel(cls) -> Params:

@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS = 256
-CODECS = {"none": "uncompressed", "gzip": "gzip", "lz4": "lz4", "zstd": "zstd", "snappy": "snappy"}
+#: What a codec is called in Parquet; names that only other formats have stand for the nearest fast one.
+CODECS = {"none": "uncompressed", "gzip": "gzip", "lz4": "lz4", "zstd": "zstd", "snappy": "snappy", "lzf": "snappy", "blosc_lz4": "lz4"}
+#: The version of the layout that this engine writes, and those that it reads.
+VERSION, READABLE = "4.1", ("4.0", "4.1")
 
 
 def bucket(event: Column | str = "event_id", buckets: int = BUCKETS) -> Column:
@@ -32,6 +35,13 @@ class EventStore:
     def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
         self.spark, self.root, self.buckets = spark, root, buckets
 
+    def version(self) -> str:
+        """The layout's version; a store of another version, or without one, is refused."""
+        row = self.spark.read.json(f"{self.root}/meta").where("name = 'version'").select("value").first()
+        if row is None or row["value"] not in READABLE:
+            raise ValueError(f"layout {row['value'] if row else 'unknown'}: this engine reads {', '.join(READABLE)}")
+        return row["value"]
+
     def table(self, name: str, events: Sequence[int] | None = None) -> DataFrame:
         df = self.spark.read.parquet(f"{self.root}/{name}")
         if events is not None:
@@ -48,6 +58,66 @@ class EventStore:
         return g if le is None else g.where(F.col("is_le") == le)
 
 
+    def hit_labels(self, events: Sequence[int] | None = None) -> DataFrame:
+        return self.table("hit_labels", events)
+
+    def group_owners(self, events: Sequence[int] | None = None) -> DataFrame:
+        return self.table("groups", events)
+
+    def issues(self, events: Sequence[int] | None = None) -> DataFrame:
+        return self.table("issues", events)
+
+    def sources(self, events: Sequence[int] | None = None) -> DataFrame:
+        return self.table("events", events)
+
+    def interaction_of(self, events: Sequence[int] | None = None) -> DataFrame:
+        """The particles with the columns of their interaction, null where they have none."""
+        return interaction_of(self.table("particles", events), self.table("interactions", events))
+
+    def __len__(self) -> int:
+        """The number of events."""
+        return self.event_ids().count()
+
+    def __getitem__(self, i: int) -> dict[str, DataFrame]:
+        """The tables of the i-th event by id; negative numbers count from the end."""
+        n = len(self)
+        if not -n <= i < n:
+            raise IndexError(i)
+        ids = self.event_ids().orderBy("event_id")
+        event = ids.offset(i % n).limit(1).first()["event_id"]
+        return {t: self.table(t, [event]) for t in self.tables()}
+
+    def __iter__(self):
+        """The events' tables one by one, in the order of their ids."""
+        for r in self.event_ids().orderBy("event_id").toLocalIterator():
+            yield {t: self.table(t, [r["event_id"]]) for t in self.tables()}
+
+    def __enter__(self) -> EventStore:
+        return self
+
+    def __exit__(self, *_) -> None:
+        pass
+
+    def tables(self) -> list[str]:
+        """The names of the tables by event that the store has."""
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(self.root)
+        found = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+        return sorted(f.getPath().getName() for f in found if f.isDirectory() and f.getPath().getName() != "meta")
+
+
+def write_meta(spark: SparkSession, root: str, parameters: dict[str, object]) -> None:
+    """The layout's version and the run's parameters, as JSON lines of ``name`` and ``value``."""
+    rows = [("version", VERSION), *((k, str(v)) for k, v in sorted(parameters.items()))]
+    spark.createDataFrame(rows, "name string, value string").coalesce(1).write.mode("errorifexists").json(f"{root}/meta")
+
+
+def interaction_of(particles: DataFrame, interactions: DataFrame) -> DataFrame:
+    """Particles with the columns of their interaction (event_id, interaction_id), prefixed with i_; null where they have none."""
+    i = interactions.select(*(F.col(c).alias(f"i_{c}") for c in interactions.columns))
+    return particles.join(i, (F.col("event_id") == F.col("i_event_id")) & (F.col("interaction_id") == F.col("i_interaction_id")), "left").drop("i_event_id", "i_interaction_id")
+
+
 def points_with_groups(points: DataFrame, membership: DataFrame, level: str) -> DataFrame:
     """Points with ``group_id`` at a level (-1 where the particle has no membership) and ``is_le``."""
     col = {"particle": "id", "frag": "frag_id", "inst": "inst_id"}[level]
@@ -83,6 +153,22 @@ def first_events(df: DataFrame, n: int, event: str = "event_id") -> DataFrame:
     return df.where(F.col(event) <= bound) if bound is not None else df.limit(0)
 
 
+def repack_store(spark: SparkSession, source: str, target: str, codec: str | None = None, tables: Sequence[str] | None = None) -> dict[str, str]:
+    """A store's tables (by default all) rewritten, and the codec of each: the one named, or, without one, gzip for what is packed otherwise now and lz4 for what is gzip. The rows are compared afterwards; any difference is an error."""
+    done = {}
+    for t in tables or EventStore(spark, source).tables():
+        to = codec
+        if to is None:
+            files = spark.read.parquet(f"{source}/{t}").inputFiles()
+            held = inspect_compression(spark, files).groupBy("codec").agg(F.sum("packed").alias("n")).orderBy(F.desc("n")).first()
+            to = "lz4" if held is not None and held["codec"] == "GZIP" else "gzip"
+        repack(spark, f"{source}/{t}", f"{target}/{t}", to)
+        if not differences(spark.read.parquet(f"{source}/{t}"), spark.read.parquet(f"{target}/{t}")).isEmpty():
+            raise ValueError(f"{t}: rows differ after repacking")
+        done[t] = to
+    return done
+
+
 def repack(spark: SparkSession, source: str, target: str, codec: str) -> None:
     """A Parquet directory rewritten with another codec; buckets and order within files stay."""
     df = spark.read.parquet(source)

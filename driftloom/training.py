@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,16 +27,34 @@ def shards(events: DataFrame, world: int, rank: int, epoch: int = 0) -> DataFram
     return events.where(F.pmod(F.xxhash64("event_id", F.lit(epoch)), F.lit(world)) == rank)
 
 
-def batches(voxels: DataFrame, columns: list[str]) -> Iterator[tuple[int, pa.Table]]:
-    """Events one by one as Arrow tables, without padding; streamed partition by partition, never the whole set at once."""
-    held: list[pa.Table] = []
+def write_shards(voxels: DataFrame, columns: list[str], path: str, shards: int) -> None:
+    """Voxels of whole events in ``shards`` parts, each sorted by event, for ``batches``: one shuffle by shard, nothing through the driver."""
+    part = F.pmod(F.xxhash64("event_id"), F.lit(shards)).cast("int")
+    laid = voxels.select("event_id", *columns, part.alias("shard")).repartition(shards, "shard").sortWithinPartitions("shard", "event_id")
+    laid.write.mode("errorifexists").partitionBy("shard").parquet(path)
+
+
+def batches(path: str, columns: list[str], shard: int | None = None, rows: int = 65_536) -> Iterator[tuple[int, pa.Table]]:
+    """Events of written shards (one, or all in turn) one by one as Arrow tables, without padding. Record batches are streamed from the files, so memory holds one event and one batch."""
+    import pyarrow.dataset as ds
+
+    root = path.removeprefix("file://")
+    held: list[pa.RecordBatch] = []
     now = None
-    ordered = voxels.select("event_id", *columns).repartition("event_id").sortWithinPartitions("event_id")
-    for row in ordered.toLocalIterator(prefetchPartitions=True):
-        if now is not None and row["event_id"] != now:
-            yield now, pa.Table.from_pylist(held)
-            held = []
-        now = row["event_id"]
-        held.append(row.asDict())
+    files = sorted(ds.dataset(root, partitioning="hive").files)
+    for name in files:
+        if shard is not None and f"/shard={shard}/" not in name:
+            continue
+        for b in ds.dataset(name).to_batches(columns=["event_id", *columns], batch_size=rows, use_threads=False):
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+            for a, e in zip(edges, edges[1:]):
+                if e == a:
+                    continue
+                if now is not None and ids[a] != now:
+                    yield now, pa.Table.from_batches(held)
+                    held = []
+                now = int(ids[a])
+                held.append(b.slice(a, e - a))
     if now is not None:
-        yield now, pa.Table.from_pylist(held)
+        yield now, pa.Table.from_batches(held)

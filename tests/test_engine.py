@@ -13,7 +13,7 @@ from driftloom.operators.genealogy import interactions, primaries, traceable_ins
 from driftloom.params import Params
 from driftloom.plans import queries
 from driftloom.sources import inputs, store as St
-from driftloom.training import batches, shards, training_voxels
+from driftloom.training import batches, shards, training_voxels, write_shards
 
 POINT = "event_id int, particle_id int, point_id int, x float, y float, z float, t float, de float, dx float"
 
@@ -44,7 +44,7 @@ def test_truth_voxel_takes_the_earliest_step(spark):
     assert (r.x, r.y, r.z, r.t, r.de, r.p) == (1.5, 1.5, 1.5, 3.0, 3.0, 80) and abs(r.dx - 0.06) < 1e-6
 
 
-def test_contested_voxel(spark):
+def test_contested_voxel(spark, tmp_path):
     df = pts(spark, [(1, 0, 1, 1, 1, 1, 3, 1), (2, 1, 1, 1, 1, 2, 4, 1), (3, 2, 1, 1, 1, 0, 8, 1)])
     m = spark.createDataFrame([(1, 1, 10, S["shower"], 0, False), (1, 2, 20, S["shower"], 0, False), (1, 3, 30, S["le_scatter"], 0, True)], "event_id int, id int, inst_id int, sem_type int, interaction_id int, is_le boolean")
     r = training_voxels(df, m).collect()
@@ -52,7 +52,9 @@ def test_contested_voxel(spark):
     r = training_voxels(df, m, include_le=False).collect()
     assert r[0].energy == 7.0
     assert training_voxels(df, m.limit(0)).collect()[0].inst_id == -1
-    got = dict(batches(training_voxels(df, m).select("event_id", "x", "energy"), ["x", "energy"]))
+    out = str(tmp_path / "shards")
+    write_shards(training_voxels(df, m), ["x", "energy"], out, 2)
+    got = dict(batches(out, ["x", "energy"]))
     assert got[1].num_rows == 1
     e = spark.range(100).select(F.col("id").alias("event_id"))
     assert sorted(x.event_id for k in range(3) for x in shards(e, 3, k, epoch=2).collect()) == list(range(100))
@@ -231,7 +233,8 @@ def test_genealogy(spark, rows):
     assert rows(wrong.select("track_id", "code")) == [(2, "parentless_not_primary"), (3, "primary_with_parent"), (9, "primary_not_in_particles")]
     n = spark.createDataFrame([(1, 1, None, 0.0), (1, 2, 1, 5.0), (1, 3, None, 9.0), (1, 4, 3, 2.0), (1, 5, 4, 7.0)], "event_id int, id int, parent int, x double").selectExpr("*", "0d as y", "0d as z", "0d as t")
     v = spark.createDataFrame([(1, 0, 77, 0.0), (1, 1, 88, 2.0)], "event_id int, vertex_row int, interaction_id int, x double").selectExpr("*", "0d as y", "0d as z", "0d as t")
-    assert rows(interactions(n, v, "id", "parent").select("id", "interaction_id")) == [(1, 77), (2, 77), (3, None), (4, 88), (5, 88)]
+    # 4 starts at a vertex but is no root: only roots are matched
+    assert rows(interactions(n, v, "id", "parent").select("id", "interaction_id")) == [(1, 77), (2, 77), (3, None), (4, None), (5, None)]
     i = spark.createDataFrame([(1, 1, None, False, 0), (1, 2, 1, False, 0), (1, 3, 2, True, 0), (1, 4, None, False, 0), (1, 5, None, False, 1), (1, 6, 4, False, 0)], "event_id int, inst_id int, parent_inst int, visible boolean, interaction_id int")
     assert rows(traceable_instances(i).select("inst_id")) == [(1,), (2,), (3,), (4,)]
 
