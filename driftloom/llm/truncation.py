@@ -1,8 +1,8 @@
 """Texts that stop before their end: a backward character n-gram model of ends against continuations.
 
 Two distributions of the characters before a position are compared, read backwards: before the end of a text, and before any other position (where a text
-goes on). Both are tries of contexts of up to ``ORDER`` bytes, per language and pooled over all (a language may be labelled wrongly), with counts over every
-position of every text. A context is kept where at least ``LEAST`` ends have it; beyond it an end is as likely as its parent allows. The
+goes on). Both are tries of contexts of up to ``ORDER`` characters, per language and pooled over all (a language may be labelled wrongly), with counts over every
+position of every text. A context is kept where at least ``LEAST`` ends, and one in 1 / ``LEAST_SHARE`` of all ends, have it; beyond it an end is as likely as its parent allows. The
 log odds of a text are those of its final context, continuation against end, by the model that explains its end best.
 
 Ends that were cut are among the counted ends, so texts under suspicion do not train: those whose length is one that its source has far more
@@ -10,8 +10,8 @@ often than its neighbours (a field limit, in characters or bytes, a block size,
 leaves out the ends that the first one held for cut. Notes
 that a feed appends after such a cut are learned: a suffix that nearly all texts of one such length share and others lack; it is taken off first.
 
-The threshold is per source and length class: the share of cut texts in each is fitted by expectation maximization on the histogram of log odds,
-and a text is reported where being cut is likelier than not.
+The threshold is per language and column (the text of one source): the share of cut texts in each is fitted by expectation maximization on the histogram of log odds. How
+a suspicious length shifts the odds is fitted with it, per source: how common that length is among cut texts against whole ones. A text is reported where being cut is likelier than not.
 """
 
 from __future__ import annotations
@@ -19,25 +19,33 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..store import Workspace
 
 ORDER, LEAST, SMOOTH = 16, 2, 1.0
-TAIL, NOTE, FILTER_BITS = 64, 40, 23
-#: A length is suspicious with at least SPIKE texts, SPIKE times as many as lengths around it on average.
-SPIKE, BLOCK, TOP = 8, 1024, 0.96
+#: A context is kept with at least this share of all ends: at most ORDER * 2 / LEAST_SHARE contexts (3.2 million) are ever kept, however many texts there are.
+LEAST_SHARE = 1e-5
+#: Characters of a text's end that are looked at for a note at first; more, where a note may be longer.
+TAIL = 64
+#: A length is suspicious with RATIO times as many texts as lengths around it on average, and SURE nats of evidence (Poisson) that this is no chance.
+RATIO, SURE = 8, 12.0
+#: A length is also suspicious as a multiple of a BLOCK, or within the last part (above TOP) of a source's lengths.
+BLOCK, TOP = 1024, 0.96
+#: A note is shared by SHARED of the texts of its length, at least NOTED of them, and ends at most RARE of the source's other texts.
+SHARED, NOTED, RARE = 0.8, 8, 0.1
 #: Rounds of training; an end with log odds of CLEAN or more trains no further round.
 ROUNDS, CLEAN = 2, 2.5
-#: Bounds of the fitted share of cut texts in a class: small classes prove neither none nor all.
-LOW, HIGH = 1e-3, 0.99
+#: Bounds of the fitted share of cut texts: few texts prove neither none nor all. A language is worth PRIOR texts of its source's share.
+LOW, HIGH, PRIOR = 1e-3, 0.99, 20.0
 _MUL, _ADD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x632BE59BD9B4E019)
 
 
-def _mix(h: np.ndarray, byte: np.ndarray) -> np.ndarray:
-    h = (h ^ (byte.astype(np.uint64) + _ADD)) * _MUL
+def _mix(h: np.ndarray, char: np.ndarray) -> np.ndarray:
+    h = (h ^ (char.astype(np.uint64) + _ADD)) * _MUL
     return h ^ (h >> np.uint64(29))
 
 
@@ -53,41 +61,69 @@ def _keyed(h: np.ndarray, lang: np.ndarray) -> np.ndarray:
     return k ^ (k >> np.uint64(31))
 
 
-def lengths_of(docs: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def _characters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def lengths_of(docs: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", tail: int = TAIL) -> DataFrame:
     """``doc_id``, ``lang``, ``source``, ``chars``, ``bytes``, ``tail`` (the last characters) and a hash of the text."""
     t = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(doc).alias("doc_id"), F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.length(t).alias("chars"), F.octet_length(t).alias("bytes"), F.right(t, F.lit(TAIL)).alias("tail"), F.xxhash64(t).alias("same"))
+    return docs.select(F.col(doc).alias("doc_id"), F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.length(t).alias("chars"), F.octet_length(t).alias("bytes"), F.right(t, F.lit(tail)).alias("tail"), F.xxhash64(t).alias("same"))
+
+
+def _unlikely(n: Column, expected: Column) -> Column:
+    """``n`` texts where about ``expected`` should be: RATIO times as many, and by more than chance."""
+    m = expected + 0.05
+    return (n >= RATIO * expected) & (n > m) & (n * F.log(n / m) - (n - m) >= SURE)
 
 
 def suspicious_lengths(ends: DataFrame) -> DataFrame:
-    """``source``, ``kind`` (chars, bytes, block, top), ``at``, ``texts``: lengths that a source has far too often. Copies of one text count once."""
-    one = ends.where("chars > 0").groupBy("source", "same").agg(F.first("chars").alias("chars"), F.first("bytes").alias("bytes"))
+    """``source``, ``kind`` (chars, bytes, block, top), ``at``, ``texts``: lengths that a source has far too often. Copies of one text count once. All is derived from the number of texts by length."""
+    one = ends.where("chars > 0").groupBy("source", "same").agg(F.first("chars").cast("bigint").alias("chars"), F.first("bytes").cast("bigint").alias("bytes"))
+    ws = Workspace(ends.sparkSession, "lengths")
+    n = ws.keep(one.groupBy("source", "chars", "bytes").agg(F.count(F.lit(1)).alias("texts")))
     found = []
     for kind in ("chars", "bytes"):
-        n = one.groupBy("source", F.col(kind).cast("bigint").alias("at")).agg(F.count(F.lit(1)).alias("texts"))
-        near = Window.partitionBy("source", "bin")
+        by = n.groupBy("source", F.col(kind).alias("at")).agg(F.sum("texts").alias("texts"))
         # the average count per length, of the lengths within a bin of about 20 %
-        binned = n.withColumn("bin", F.floor(F.log("at") / 0.2)).withColumn("around", (F.sum("texts").over(near) - F.col("texts")) / (F.exp(F.col("bin") * 0.2) * 0.22 + 1))
-        found.append(binned.where((F.col("texts") >= SPIKE) & (F.col("texts") >= SPIKE * F.col("around"))).select("source", F.lit(kind).alias("kind"), "at", "texts"))
-    block = one.groupBy("source").agg(F.count_if((F.col("bytes") % BLOCK == 0) | (F.col("chars") % BLOCK == 0)).alias("texts"), F.count(F.lit(1)).alias("all"), F.max("chars").alias("top"))
-    found.append(block.where((F.col("texts") >= SPIKE) & (F.col("texts") * BLOCK >= SPIKE * F.col("all"))).select("source", F.lit("block").alias("kind"), F.lit(BLOCK).cast("bigint").alias("at"), "texts"))
-    top = one.join(block.select(F.col("source").alias("s"), "top"), F.col("source") == F.col("s"))
-    share = top.groupBy("source", "top").agg(F.count_if(F.col("chars") >= TOP * F.col("top")).alias("texts"), F.count_if((F.col("chars") < TOP * F.col("top")) & (F.col("chars") >= TOP * TOP * TOP * TOP * F.col("top"))).alias("below"))
-    found.append(share.where((F.col("texts") >= SPIKE) & (F.col("texts") >= SPIKE * F.greatest(F.col("below") / 3, F.lit(0.5)))).select("source", F.lit("top").alias("kind"), F.ceil(F.col("top") * TOP).alias("at"), "texts"))
+        binned = by.withColumn("bin", F.floor(F.log("at") / 0.2))
+        near = binned.groupBy(F.col("source").alias("b_s"), F.col("bin").alias("b_b")).agg(F.sum("texts").alias("in_bin"))
+        met = binned.join(near, (F.col("source") == F.col("b_s")) & (F.col("bin") == F.col("b_b"))).withColumn("around", (F.col("in_bin") - F.col("texts")) / (F.exp(F.col("bin") * 0.2) * 0.22 + 1))
+        found.append(met.where(_unlikely(F.col("texts"), F.col("around"))).select("source", F.lit(kind).alias("kind"), "at", "texts"))
+    block = n.groupBy("source").agg(F.coalesce(F.sum(F.when((F.col("bytes") % BLOCK == 0) | (F.col("chars") % BLOCK == 0), F.col("texts"))), F.lit(0)).alias("texts"), F.sum("texts").alias("all"), F.max("chars").alias("top"))
+    block = ws.keep(block)
+    found.append(block.where(_unlikely(F.col("texts"), F.col("all") / BLOCK)).select("source", F.lit("block").alias("kind"), F.lit(BLOCK).cast("bigint").alias("at"), "texts"))
+    top = n.join(block.select(F.col("source").alias("s"), "top"), F.col("source") == F.col("s"))
+    within = lambda low, high: F.coalesce(F.sum(F.when((F.col("chars") >= low * F.col("top")) & (F.col("chars") < high), F.col("texts"))), F.lit(0))
+    share = top.groupBy("source", "top").agg(within(TOP, F.lit(1 << 62)).alias("texts"), within(TOP**4, TOP * F.col("top")).alias("below"))
+    found.append(share.where(_unlikely(F.col("texts"), F.col("below") / 3)).select("source", F.lit("top").alias("kind"), F.ceil(F.col("top") * TOP).alias("at"), "texts"))
     return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
 
 
 def learned_notes(ends: DataFrame, spikes: DataFrame) -> DataFrame:
-    """``source``, ``at``, ``note``: what nearly all texts of a suspicious length in characters end with, and hardly any of other lengths."""
-    at = spikes.where("kind = 'chars'").select(F.col("source").alias("s"), "at")
-    texts = ends.join(at, (F.col("source") == F.col("s")) & (F.col("chars") == F.col("at"))).groupBy("source", "at", "same").agg(F.first("tail").alias("tail"))
-    suffixes = texts.select("source", "at", "tail", F.explode(F.sequence(F.lit(1), F.lit(NOTE))).alias("k")).groupBy("source", "at", "k", F.right("tail", F.col("k")).alias("note")).agg(F.count(F.lit(1)).alias("n"))
-    of = texts.groupBy(F.col("source").alias("s"), F.col("at").alias("a")).agg(F.count(F.lit(1)).alias("all"))
-    shared = suffixes.join(of, (F.col("source") == F.col("s")) & (F.col("at") == F.col("a"))).where("n >= 0.8 * all").groupBy("source", "at").agg(F.max_by("note", "k").alias("note"), F.max("k").alias("k")).where(F.col("k") < NOTE)
+    """``source``, ``kind`` (chars, bytes), ``at``, ``note``, ``k`` (its length): what nearly all texts of a suspicious length end with, and hardly any other of the source. The longest such suffix of the ``tail``."""
+    ws = Workspace(ends.sparkSession, "notes")
+    at = spikes.where(F.col("kind").isin("chars", "bytes")).select(F.col("source").alias("s"), "kind", "at")
+    texts = ends.join(at, (F.col("source") == F.col("s")) & (F.col("at") == F.when(F.col("kind") == "chars", F.col("chars")).otherwise(F.col("bytes")))).groupBy("source", "kind", "at", "same").agg(F.first("tail").alias("tail"))
+    texts = ws.keep(texts)
+    group = ["source", "kind", "at"]
+    of = texts.groupBy(*(F.col(k).alias(f"a_{k}") for k in group)).agg(F.count(F.lit(1)).alias("all")).where(F.col("all") >= NOTED)
+
+    def longest(tails: DataFrame, lengths: Column) -> DataFrame:
+        """group, ``note``, ``k``: the longest shared suffix among the given lengths."""
+        suffixes = tails.select(*group, "tail", F.explode(lengths).alias("k")).where("k <= length(tail)").groupBy(*group, "k", F.right("tail", F.col("k")).alias("note")).agg(F.count(F.lit(1)).alias("n"))
+        return suffixes.join(of, [F.col(k) == F.col(f"a_{k}") for k in group]).where(F.col("n") >= SHARED * F.col("all")).groupBy(*group).agg(F.max_by("note", "k").alias("note"), F.max("k").alias("k"))
+
+    # shared suffixes of any length are suffixes of each other: first by doubling, then in between
+    rough = ws.keep(longest(texts, F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.pow(F.lit(2), i).cast("int"))).select(*(F.col(k).alias(f"r_{k}") for k in group), F.col("k").alias("from")))
+    near = texts.join(rough, [F.col(k) == F.col(f"r_{k}") for k in group]).withColumn("lengths", F.sequence(F.col("from"), F.col("from") * 2 - 1)).select(*group, "tail", "lengths")
+    shared = ws.keep(longest(near, F.col("lengths")))
     # a natural end of file is common at other lengths too
-    other = ends.where("chars > 0").join(shared.select(F.col("at").alias("o_at"), "note", F.col("source").alias("o_source")).distinct(), (F.col("source") == F.col("o_source")) & (F.col("chars") != F.col("o_at")), "inner")
-    rare = other.groupBy("o_source", "o_at").agg(F.avg(F.endswith(F.col("tail"), F.col("note")).cast("int")).alias("often"))
-    return shared.join(rare, (F.col("source") == F.col("o_source")) & (F.col("at") == F.col("o_at")), "left").where("often is null or often < 0.1").select("source", "at", "note")
+    notes = shared.select(F.col("source").alias("o_source"), "note").distinct()
+    own = shared.select(F.col("source").alias("w_s"), F.col("kind").alias("w_k"), F.col("at").alias("w_at"))
+    others = ends.where("chars > 0").join(own, (F.col("source") == F.col("w_s")) & (F.col("w_at") == F.when(F.col("w_k") == "chars", F.col("chars")).otherwise(F.col("bytes"))), "left_anti")
+    rare = others.join(notes, F.col("source") == F.col("o_source")).groupBy("o_source", F.col("note").alias("o_note")).agg(F.avg(F.endswith(F.col("tail"), F.col("note")).cast("int")).alias("often"))
+    return shared.join(rare, (F.col("source") == F.col("o_source")) & (F.col("note") == F.col("o_note")), "left").where(F.col("often").isNull() | (F.col("often") < RARE)).select(*group, "note", "k")
 
 
 def _contexts(ends: DataFrame) -> DataFrame:
@@ -97,12 +133,12 @@ def _contexts(ends: DataFrame) -> DataFrame:
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = b.num_rows
-            tails = np.zeros((n, ORDER), dtype=np.uint8)
+            tails = np.zeros((n, ORDER), dtype=np.uint32)
             size = np.zeros(n, dtype=np.int64)
             for i, t in enumerate(b.column(3).to_pylist()):
-                e = t.encode()[-ORDER:]
+                e = _characters(t[-ORDER:])
                 size[i] = len(e)
-                tails[i, : len(e)] = np.frombuffer(e, dtype=np.uint8)[::-1]
+                tails[i, : len(e)] = e[::-1]
             lang = np.array([_lang_key(x) for x in b.column(2).to_pylist()], dtype=np.uint64)
             h = np.zeros(n, dtype=np.uint64)
             last = [np.zeros(n, dtype=np.uint64), _keyed(h, lang)]
@@ -119,15 +155,23 @@ def _contexts(ends: DataFrame) -> DataFrame:
     return ends.select("id", "trains", "lang", "tail").mapInArrow(keys, f"id {kind}, trains boolean, model int, k int, key bigint, parent bigint")
 
 
-def _continuations(docs: DataFrame, text: str, lang: str, keys: np.ndarray) -> DataFrame:
+def _slots(kept: DataFrame, contexts: int) -> np.ndarray:
+    """A table of bits, packed, with one set for each kept key: what the executors need to know of the contexts, to pass over the others. Sixteen bits a context, gathered in pieces of 4 KB, so at most 8 MB, as their number is bounded."""
+    bits = max(16, int(16 * contexts).bit_length())
+    v = F.col("key").bitwiseAND((1 << bits) - 1) + 1
+    pieces = kept.groupBy(F.bitmap_bucket_number(v).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(v)).alias("bits")).toArrow()
+    packed = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    for at, b in zip(pieces.column(0).to_pylist(), pieces.column(1).to_pylist()):
+        packed[(at - 1) * 4096 : (at - 1) * 4096 + len(b)] = np.frombuffer(b, dtype=np.uint8)
+    return packed
+
+
+def _continuations(docs: DataFrame, text: str, lang: str, packed: np.ndarray) -> DataFrame:
     """``key``, ``n``: how often each kept context stands before a position where a text goes on, over all positions of all texts; and the roots."""
-    mask = np.uint64((1 << FILTER_BITS) - 1)
-    bits = np.zeros(1 << FILTER_BITS, dtype=bool)
-    bits[(keys & mask).astype(np.int64)] = True
-    packed = np.packbits(bits)  # at most 1 MB, whatever the corpus
+    mask = np.uint64(len(packed) * 8 - 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = np.unpackbits(packed).view(bool)
+        kept = np.unpackbits(packed, bitorder="little").view(bool)
         sums: dict[int, int] = {}
 
         def add(found: np.ndarray) -> None:
@@ -136,10 +180,10 @@ def _continuations(docs: DataFrame, text: str, lang: str, keys: np.ndarray) -> D
                     sums[k] = sums.get(k, 0) + n
 
         for b in batches:
-            by: dict[str, list[bytes]] = {}
+            by: dict[str, list[str]] = {}
             for t, lg in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if t:
-                    by.setdefault(lg or "", []).append(t.encode())
+                    by.setdefault(lg or "", []).append(t)
             for lg, texts in by.items():
                 key, group, size = _lang_key(lg), [], 0
                 for j, t in enumerate(texts):
@@ -147,8 +191,8 @@ def _continuations(docs: DataFrame, text: str, lang: str, keys: np.ndarray) -> D
                     size += len(t)
                     if size < 1 << 20 and j < len(texts) - 1:
                         continue
-                    gap = b"\0" * ORDER
-                    flat = np.frombuffer(gap + gap.join(group) + gap, dtype=np.uint8)
+                    gap = "\0" * ORDER
+                    flat = _characters(gap + gap.join(group) + gap)
                     goes_on = flat != 0
                     goes_on[:-1] &= flat[1:] != 0  # not before an end
                     at = np.flatnonzero(goes_on)
@@ -158,9 +202,9 @@ def _continuations(docs: DataFrame, text: str, lang: str, keys: np.ndarray) -> D
                     sums[root] = sums.get(root, 0) + len(at)
                     h = np.zeros(len(at), dtype=np.uint64)
                     for k in range(ORDER):
-                        byte = flat[at - k]
-                        h = _mix(h, byte)
-                        hit = kept[(h & mask).astype(np.int64)] & (byte != 0)
+                        char = flat[at - k]
+                        h = _mix(h, char)
+                        hit = kept[(h & mask).astype(np.int64)] & (char != 0)
                         at, h = at[hit], h[hit]
                         if not len(at):
                             break
@@ -183,17 +227,19 @@ def end_log_odds(docs: DataFrame, ends: DataFrame, text: str = "text", lang: str
     spark = docs.sparkSession
     ws = Workspace(spark, "truncation")
     contexts = ws.keep(_contexts(ends))
-    ended = ws.keep(contexts.where("trains").groupBy("model", "k", "key", "parent").agg(F.count(F.lit(1)).alias("ends")).where(F.col("ends") >= LEAST))
-    # which bits of a table of fixed size are set: what the executors need to know of the kept contexts (at most 2**FILTER_BITS numbers)
-    slots = ended.select(F.col("key").bitwiseAND((1 << FILTER_BITS) - 1).cast("int").alias("slot")).distinct().toArrow().column(0).to_numpy()
-    on = ws.keep(_continuations(docs, text, lang, slots.astype(np.uint64)), sized=True)
+    whole = contexts.where("trains and model = 0 and k = 1").count()
+    least = max(LEAST, int(np.ceil(whole * LEAST_SHARE)))
+    ended = contexts.where("trains").groupBy("model", "k", "key", "parent").agg(F.count(F.lit(1)).alias("ends")).where(F.col("ends") >= least)
+    at, n = ws.count(ended)
+    ended = spark.read.schema(ended.schema).parquet(at)
+    on = ws.keep(_continuations(docs, text, lang, _slots(ended, n["rows"])), sized=True)
     on_ = on.select(F.col("key").alias("o_key"), F.col("n").alias("on"))
     out = None
     for _ in range(ROUNDS):
         # ends that the last round held for cut train no longer; contexts only become fewer, so the continuations stay as counted
         now = contexts.where("trains") if out is None else contexts.where("trains").join(out.where(F.col("log_odds") < CLEAN).select(F.col("id").alias("c_id")), F.col("id") == F.col("c_id"), "left_semi")
         if out is not None:
-            ended = ws.keep(now.groupBy("model", "k", "key", "parent").agg(F.count(F.lit(1)).alias("ends")).where(F.col("ends") >= LEAST))
+            ended = ws.keep(now.groupBy("model", "k", "key", "parent").agg(F.count(F.lit(1)).alias("ends")).where(F.col("ends") >= least))
         roots = now.where("k = 1").groupBy(F.col("parent").alias("r_key")).agg(F.count(F.lit(1)).alias("r_ends"))
         nodes = ws.keep(ended.join(on_, F.col("key") == F.col("o_key"), "left").select("model", "k", "key", "parent", "ends", F.coalesce("on", F.lit(0)).alias("on")), sized=True)
         above = nodes.select(F.col("key").alias("p_key"), F.col("ends").alias("p_ends"), F.col("on").alias("p_on")).unionByName(
@@ -210,22 +256,37 @@ def end_log_odds(docs: DataFrame, ends: DataFrame, text: str = "text", lang: str
     return out
 
 
-def fit_share(odds: np.ndarray, weight: np.ndarray) -> float:
-    """The share of cut texts, by expectation maximization; odds: log likelihood ratios, cut against whole."""
-    share = 0.2
-    for _ in range(200):
-        p = 1 / (1 + np.exp(-np.clip(odds + np.log(share / (1 - share)), -60, 60)))
-        new = float(np.clip((p * weight).sum() / max(weight.sum(), 1), LOW, HIGH))
-        if abs(new - share) < 1e-6:
+def fit_limits(lang: np.ndarray, kind: np.ndarray, odds: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Per (lang, kind), lang by kind: the log odds above which a text is likelier cut than not, by expectation maximization on one source's histogram.
+
+    lang, kind: codes from 0; odds: log likelihood ratios of the final context, cut against whole; weight: texts. Fitted are the share of cut texts per language (drawn to the source's), and
+    how the kinds of length are distributed among cut texts and among whole ones.
+    """
+    langs, kinds = int(lang.max()) + 1, int(kind.max()) + 1
+    edge = np.log(HIGH / (1 - HIGH))
+    share, shift = np.full(langs, 0.2), np.zeros(kinds)
+    total, of_lang = weight.sum(), np.bincount(lang, weight, langs)
+    of_kind = np.bincount(kind, weight, kinds)
+    known = np.full((langs, kinds), 0.0)
+    for _ in range(300):
+        prior = np.clip(np.log(share / (1 - share))[:, None] + shift[None, :], np.log(LOW / (1 - LOW)), edge)
+        p = 1 / (1 + np.exp(-np.clip(odds + prior[lang, kind], -60, 60)))
+        cut = p * weight
+        all_ = cut.sum() / max(total, 1)
+        new = np.clip((np.bincount(lang, cut, langs) + PRIOR * all_) / (of_lang + PRIOR), LOW, HIGH)
+        in_cut, in_whole = np.bincount(kind, cut, kinds), of_kind - np.bincount(kind, cut, kinds)
+        shift = np.log((in_cut + 0.5) / (in_cut.sum() + 0.5 * kinds)) - np.log((np.maximum(in_whole, 0) + 0.5) / (max(in_whole.sum(), 0) + 0.5 * kinds))
+        moved = np.abs(new - share).max()
+        share, known = new, prior
+        if moved < 1e-6:
             break
-        share = new
-    return share
+    return -known
 
 
 def truncated_texts(docs: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """Every document with its verdict.
 
-    :return: ``doc_id``, ``source``, ``length_class`` (how its length is suspicious, or ``other``), ``log_odds``, ``limit`` (the threshold of its source and class), ``truncated``
+    :return: ``doc_id``, ``source``, ``lang``, ``length_class`` (how its length is suspicious, or ``other``), ``log_odds``, ``limit`` (the threshold of its language and source, for its length class), ``truncated``
 
     Null or empty texts are not truncated. A null language or source is one of its own. Texts are read whole; nothing depends on their
     length but the classes. Document ids are unique; rows that repeat one give repeated rows (ids may be null, such rows do not get odds and are
@@ -233,29 +294,49 @@ def truncated_texts(docs: DataFrame, doc: str = "doc_id", text: str = "text", la
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "truncation")
-    ends = ws.keep(lengths_of(docs, doc, text, lang, source))
-    spikes = ws.keep(suspicious_lengths(ends))
-    notes = ws.keep(learned_notes(ends, spikes))
+    tail = TAIL
+    while True:
+        ends = ws.keep(lengths_of(docs, doc, text, lang, source, tail))
+        spikes = ws.keep(suspicious_lengths(ends)) if tail == TAIL else spikes
+        at, n = ws.count(learned_notes(ends, spikes), long=F.col("k") > tail - ORDER)
+        if not n["long"]:
+            break
+        tail *= 4  # a note may be longer than what was looked at
+    notes = spark.read.schema("source string, kind string, at bigint, note string, k int").parquet(at)
 
     def spike(kind: str) -> DataFrame:
         return spikes.where(F.col("kind") == kind).select(F.col("source").alias(f"{kind}_s"), F.col("at").alias(f"{kind}_at"))
 
-    e = ends.join(notes.select(F.col("source").alias("n_s"), F.col("at").alias("n_at"), "note"), (F.col("source") == F.col("n_s")) & (F.col("chars") == F.col("n_at")) & F.endswith(F.col("tail"), F.col("note")), "left")
-    e = e.join(spike("chars"), (F.col("source") == F.col("chars_s")) & (F.col("chars") == F.col("chars_at")), "left")
-    e = e.join(spike("bytes"), (F.col("source") == F.col("bytes_s")) & (F.col("bytes") == F.col("bytes_at")), "left")
+    def note(kind: str) -> DataFrame:
+        return notes.where(F.col("kind") == kind).select(F.col("source").alias(f"n_{kind}_s"), F.col("at").alias(f"n_{kind}"), F.col("note").alias(f"note_{kind}"))
+
+    e = ends
+    for k in ("chars", "bytes"):
+        e = e.join(note(k), (F.col("source") == F.col(f"n_{k}_s")) & (F.col(k) == F.col(f"n_{k}")) & F.endswith(F.col("tail"), F.col(f"note_{k}")), "left")
+        e = e.join(spike(k), (F.col("source") == F.col(f"{k}_s")) & (F.col(k) == F.col(f"{k}_at")), "left")
     e = e.join(spike("block"), (F.col("source") == F.col("block_s")) & ((F.col("bytes") % F.col("block_at") == 0) | (F.col("chars") % F.col("block_at") == 0)), "left")
     e = e.join(spike("top"), (F.col("source") == F.col("top_s")) & (F.col("chars") >= F.col("top_at")), "left")
+    e = e.withColumn("note", F.coalesce("note_chars", "note_bytes"))
     named = lambda kind, at: F.concat_ws(" ", F.lit(kind), at.cast("string"))
     kind: Column = (
-        F.when(F.col("note").isNotNull(), named("note", F.col("chars"))).when(F.col("bytes_at").isNotNull(), named("bytes", F.col("bytes"))).when(F.col("chars_at").isNotNull(), named("chars", F.col("chars")))
+        F.when(F.col("note_chars").isNotNull(), named("note", F.col("chars"))).when(F.col("note_bytes").isNotNull(), named("note bytes", F.col("bytes")))
+        .when(F.col("bytes_at").isNotNull(), named("bytes", F.col("bytes"))).when(F.col("chars_at").isNotNull(), named("chars", F.col("chars")))
         .when(F.col("block_at").isNotNull(), named("block", F.col("block_at"))).when(F.col("top_at").isNotNull(), named("top", F.col("top_at"))).otherwise("other")
     )
     body = F.when(F.col("note").isNotNull(), F.expr("left(tail, length(tail) - length(note))")).otherwise(F.col("tail"))
-    e = ws.keep(e.select(F.col("doc_id").alias("id"), "lang", "source", body.alias("tail"), kind.alias("length_class"), (F.col("chars") > 0).alias("has")).withColumn("trains", (F.col("length_class") == "other") & F.col("has")))
-    odds = ws.keep(end_log_odds(docs, e.where("has and id is not null").dropDuplicates(["id"]), text, lang))
-    all_ = ws.keep(e.join(odds.withColumnRenamed("id", "o_id"), F.col("id") == F.col("o_id"), "left").select("id", "source", "length_class", "log_odds"))
-    bins = all_.where("log_odds is not null").groupBy("source", "length_class", F.round("log_odds", 1).alias("odds")).agg(F.count(F.lit(1)).alias("n")).toArrow().to_pandas()
-    limits = [(s, c, float(-np.log((p := fit_share(g["odds"].to_numpy(float), g["n"].to_numpy(float))) / (1 - p)))) for (s, c), g in bins.groupby(["source", "length_class"])]
-    limit = spark.createDataFrame(limits, "l_source string, l_class string, limit double")
-    met = all_.join(F.broadcast(limit), (F.col("source") == F.col("l_source")) & (F.col("length_class") == F.col("l_class")), "left")
-    return met.select(F.col("id").alias("doc_id"), "source", "length_class", "log_odds", "limit", F.coalesce(F.col("log_odds") > F.col("limit"), F.lit(False)).alias("truncated"))
+    e = ws.keep(e.select(F.col("doc_id").alias("id"), "lang", "source", F.right(body, F.lit(ORDER)).alias("tail"), kind.alias("length_class"), (F.col("chars") > 0).alias("has")).withColumn("trains", (F.col("length_class") == "other") & F.col("has")))
+    odds = end_log_odds(docs, e.where("has and id is not null").dropDuplicates(["id"]), text, lang)
+    all_ = ws.keep(e.join(odds.withColumnRenamed("id", "o_id"), F.col("id") == F.col("o_id"), "left").select("id", "source", "lang", "length_class", "log_odds"))
+    # a row per source, language, class and tenth of log odds: its size does not grow with the texts
+    bins = all_.where("log_odds is not null").groupBy("source", "lang", "length_class", F.round("log_odds", 1).alias("odds")).agg(F.count(F.lit(1)).alias("n"))
+
+    def limits(rows: pd.DataFrame) -> pd.DataFrame:
+        l, langs = pd.factorize(rows["lang"], sort=True)
+        c, classes = pd.factorize(rows["length_class"], sort=True)
+        fitted = fit_limits(l, c, rows["odds"].to_numpy(float), rows["n"].to_numpy(float))
+        i, j = np.divmod(np.arange(fitted.size), len(classes))
+        return pd.DataFrame({"l_source": rows["source"].iloc[0], "l_lang": langs[i], "l_class": classes[j], "limit": fitted.ravel()})
+
+    limit = ws.keep(bins.groupBy("source").applyInPandas(limits, "l_source string, l_lang string, l_class string, limit double"), sized=True)
+    met = all_.join(limit, (F.col("source") == F.col("l_source")) & (F.col("lang") == F.col("l_lang")) & (F.col("length_class") == F.col("l_class")), "left")
+    return met.select(F.col("id").alias("doc_id"), "source", "lang", "length_class", "log_odds", "limit", F.coalesce(F.col("log_odds") > F.col("limit"), F.lit(False)).alias("truncated"))

@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from driftloom.llm.truncation import learned_notes, lengths_of, suspicious_lengths, truncated_texts
+from driftloom.llm.truncation import fit_limits, learned_notes, lengths_of, suspicious_lengths, truncated_texts
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 WORDS = [a + b + c for a in ("ba", "ke", "lo", "mi", "su") for b in ("ra", "to", "ne", "") for c in ("x", "l", "n", "")]
@@ -51,7 +52,7 @@ def test_finds_cuts(spark):
     ends = lengths_of(df)
     spikes = suspicious_lengths(ends)
     assert {(r.source, r.at) for r in spikes.where("kind = 'chars'").collect()} == {("limited", 1500), ("noted", 1206)}
-    assert [(r.source, r.note) for r in learned_notes(ends, spikes).collect()] == [("noted", " [cut]")]
+    assert {(r.source, r.note) for r in learned_notes(ends, spikes).collect()} == {("noted", " [cut]")}
     rows = truncated_texts(df).collect()
     assert len(rows) == len(docs)
     found = {r.doc_id for r in rows if r.truncated}
@@ -60,6 +61,33 @@ def test_finds_cuts(spark):
     assert not {i for i in found if docs[i][3] == "clean"} or len({i for i in found if docs[i][3] == "clean"}) <= 3
 
 
+def test_long_notes_and_cuts_by_bytes(spark):
+    rng = random.Random(3)
+    note = "\n/* " + "the rest of this file was left out " * 6 + "*/"
+    assert len(note) > 200
+    docs, cut = [], set()
+    for i in range(500):
+        text = python(rng) + "# größe ü\n" * rng.randint(0, 9) + python(rng)
+        if i % 2 and len(text.encode()) > 1500:
+            text = text.encode()[:1500].decode(errors="ignore")
+            text += "x" * (1500 - len(text.encode())) + note
+            cut.add(i)
+        docs.append((i, text, "py", "noted" if i % 2 else "clean"))
+    rows = truncated_texts(spark.createDataFrame(docs, SCHEMA)).collect()
+    found = {r.doc_id for r in rows if r.truncated}
+    assert {r.length_class.split()[0] for r in rows if r.doc_id in cut} == {"note"}
+    assert len(found & cut) / len(cut) > 0.9 and len(found & cut) / len(found) > 0.9
+
+
+def test_limits_are_per_language():
+    rng = np.random.default_rng(0)
+    lang = np.repeat([0, 1], 2000)
+    cut = rng.random(4000) < np.where(lang == 0, 0.6, 0.05)
+    odds = np.where(cut, rng.normal(1.5, 1.5, 4000), rng.normal(-1.5, 1.5, 4000))
+    limit = fit_limits(lang, np.zeros(4000, dtype=int), odds, np.ones(4000))
+    assert limit.shape == (2, 1) and abs(limit[0, 0] + np.log(0.6 / 0.4)) < 0.4 and abs(limit[1, 0] + np.log(0.05 / 0.95)) < 0.6
+
+
 def test_odd_texts(spark):
     docs = [(1, None, None, None), (2, "", "py", "a"), (3, "x", "py", "a"), (4, "\0\0", "py", None), (5, "a\n" * 60_000, None, "b"), (None, "text", "py", "a"), (6, "größe…", "md", "a")]
     rows = truncated_texts(spark.createDataFrame(docs, SCHEMA).withColumn("tail", F.lit("clash"))).collect()
