@@ -1,15 +1,16 @@
 """Filling containers of fixed capacity with items: best-fit decreasing over a segment tree.
 
-Items are dealt by hash to shards of bounded size, and every shard fills its own containers: largest item first, each into the open container
+Items are dealt by hash to shards of bounded size, equal items over all shards alike, and every shard fills its own containers: largest item first, each into the open container
 with the least room that still holds it, which a segment tree over the remaining capacities finds in logarithmic time. A shard wastes
-what one packing wastes anyway plus its last few open containers, which among thousands are nothing; shards make the work
+what one packing wastes anyway plus its last few open containers; shards make the work
 parallel and no task ever sees more than a shard. An item above the capacity, and no other, is divided: whole containers of it, and
 a rest that is packed like any item.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 
 #: Items of one shard, on average.
 SHARD_ITEMS = 50_000
-#: Kinds of container; each packs all items.
-MOST_KINDS = 1000
+#: Kinds of container in one plan; more are packed by further plans.
+KINDS_AT_ONCE = 500
+#: Up to this capacity the tree is an array; above it only nodes that some container is below are held.
+DENSE = 1 << 20
 
 
 class Rooms:
@@ -27,11 +30,11 @@ class Rooms:
 
     def __init__(self, capacity: int):
         self.leaves = 1 << max(1, int(capacity).bit_length())
-        self.count = [0] * (2 * self.leaves)
-        self.open: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.count = [0] * (2 * self.leaves) if capacity <= DENSE else defaultdict(int)
+        self.open: dict[int, list[int]] = {}
 
     def add(self, room: int, container: int) -> None:
-        self.open[room].append(container)
+        self.open.setdefault(room, []).append(container)
         i = self.leaves + room
         count = self.count
         while i and not (count[i] and i >= self.leaves):
@@ -97,18 +100,17 @@ def fill_containers(items: DataFrame, containers: DataFrame, item: str = "doc_id
     """
     of, n = items.schema[item].dataType.simpleString(), items.count()
     shards = max(1, -(-n // shard_items))
-    kinds = containers.where(F.col(capacity) > 0).select(F.col(kind).alias("kind"), F.col(capacity).cast("int").alias("capacity"))
     slim = items.select(F.col(item).alias("item"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("bigint").alias("size"))
-    dealt = slim.withColumn("shard", F.pmod(F.xxhash64("item", "size"), F.lit(shards)))
-    given = kinds.limit(MOST_KINDS + 1).collect()
-    if len(given) > MOST_KINDS:
-        raise ValueError(f"over {MOST_KINDS} kinds of container")
-    each = F.array(*(F.struct(F.lit(r["kind"]).alias("kind"), F.lit(r["capacity"]).alias("capacity")) for r in given)) if given else F.array().cast(f"array<struct<kind:{containers.schema[kind].dataType.simpleString()},capacity:int>>")
-    to = dealt.select("*", F.explode(each).alias("k")).select("item", "size", "shard", "k.kind", "k.capacity")
+    # equal items are folded, then spread over all shards in even shares, beginning at the shard of their hash
+    folded = slim.groupBy("item", "size").agg(F.count(F.lit(1)).alias("copies")).withColumn("first", F.pmod(F.xxhash64("item", "size"), F.lit(shards)))
+    spread = folded.select("item", "size", "copies", "first", F.explode(F.sequence(F.lit(0), F.least("copies", F.lit(shards)) - 1)).alias("i"))
+    dealt = spread.select("item", "size", F.pmod(F.col("first") + F.col("i"), F.lit(shards)).alias("shard"), (F.floor(F.col("copies") / shards) + F.when(F.col("i") < F.col("copies") % shards, 1).otherwise(0)).cast("bigint").alias("copies"))
+    given = containers.where(F.col(capacity) > 0).select(F.col(kind).alias("kind"), F.col(capacity).cast("bigint").alias("capacity")).collect()
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         cap = int(rows["capacity"].iloc[0])
         rows = rows.sort_values(["item", "size"], kind="stable", na_position="first")
+        rows = rows.loc[rows.index.repeat(rows["copies"])]
         sizes = rows["size"].to_numpy(dtype=np.int64)
         whole = np.where(sizes > cap, sizes // cap, 0)  # containers that parts of a divided item fill alone
         rest = sizes - whole * cap
@@ -127,5 +129,25 @@ def fill_containers(items: DataFrame, containers: DataFrame, item: str = "doc_id
         out.insert(0, "kind", key[0])
         return out
 
-    packed = to.groupBy("kind", "shard").applyInPandas(one, f"kind {containers.schema[kind].dataType.simpleString()}, item {of}, part_no bigint, part_size bigint, container_id bigint")
-    return packed.select(F.col("kind").alias(kind), F.col("item").alias(item), "part_no", "part_size", "container_id")
+    kind_type = containers.schema[kind].dataType.simpleString()
+    schema = f"kind {kind_type}, item {of}, part_no bigint, part_size bigint, container_id bigint"
+    done = []
+    for k in range(0, max(len(given), 1), KINDS_AT_ONCE):
+        each = [F.struct(F.lit(r["kind"]).cast(kind_type).alias("kind"), F.lit(r["capacity"]).cast("bigint").alias("capacity")) for r in given[k : k + KINDS_AT_ONCE]]
+        to = dealt.select("*", F.explode(F.array(*each) if each else F.array().cast(f"array<struct<kind:{kind_type},capacity:bigint>>")).alias("k")).select("item", "size", "copies", "shard", "k.kind", "k.capacity")
+        done.append(to.groupBy("kind", "shard").applyInPandas(one, schema))
+    return reduce(DataFrame.unionByName, done).select(F.col("kind").alias(kind), F.col("item").alias(item), "part_no", "part_size", "container_id")
+
+
+def packing_report(packed: DataFrame, items: DataFrame, containers: DataFrame, item: str = "doc_id", size: str = "tokens", kind: str = "container_kind", capacity: str = "capacity_tokens") -> DataFrame:
+    """Per kind: ``containers`` used, ``at_least`` (how many the sizes alone would fill to the brim: no packing can have fewer), ``tokens``, ``filled``; and what must not be: ``over`` (containers above their
+    capacity), ``missing`` (items whose parts do not add up to their size), ``divided`` (items of several parts that would fit into one container)."""
+    caps = containers.select(F.col(kind).alias("c_kind"), F.col(capacity).cast("bigint").alias("capacity")).where("capacity > 0")
+    bins = packed.groupBy(kind, "container_id").agg(F.sum("part_size").alias("used")).join(caps, F.col(kind).eqNullSafe(F.col("c_kind")))
+    filled = bins.groupBy(kind, "capacity").agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.count_if(F.col("used") > F.col("capacity")).alias("over"))
+    want = items.groupBy(F.col(item).alias("w_item")).agg(F.sum(F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0))).alias("want"), F.count(F.lit(1)).alias("copies"))
+    parts = packed.groupBy(F.col(kind).alias("p_kind"), F.col(item).alias("p_item")).agg(F.sum("part_size").alias("got"), F.count(F.lit(1)).alias("parts"))
+    both = parts.join(want, F.col("p_item").eqNullSafe(F.col("w_item"))).join(caps, F.col("p_kind").eqNullSafe(F.col("c_kind")))
+    seen = both.groupBy("p_kind").agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.col("got") != F.col("want")).alias("unequal"), F.count_if((F.col("parts") > F.col("copies")) & (F.col("want") <= F.col("capacity"))).alias("divided"))
+    met = filled.join(seen, F.col(kind).eqNullSafe(F.col("p_kind"))).withColumn("all", F.lit(want.count()))
+    return met.select(kind, "capacity", "all", "containers", F.ceil(F.col("tokens") / F.col("capacity")).alias("at_least"), "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("filled"), "over", (F.col("all") - F.col("seen") + F.col("unequal")).alias("missing"), "divided")
