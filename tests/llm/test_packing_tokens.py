@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from driftloom.llm.mixing import fit_rates, mix_sources
-from driftloom.llm.packing import fill_containers, pack
+from driftloom.llm.packing import fill_containers, pack, packing_report
 from driftloom.llm.tokens import VOCABULARY, encoding, with_token_counts
 
 
@@ -70,11 +70,51 @@ def test_fill_containers(spark):
     assert fill_containers(df, kinds.limit(0), item="kind").count() == 0
 
 
+def test_equal_items_over_all_shards_and_many_kinds(spark):
+    items = spark.range(6000).selectExpr("7L as doc_id", "30 as tokens").unionByName(spark.range(5).selectExpr("id as doc_id", "cast(null as int) as tokens"))
+    got = fill_containers(items, spark.createDataFrame([("s", 100)], "container_kind string, capacity_tokens int"), shard_items=500)
+    shards = got.selectExpr("container_id >> 36 as shard").groupBy("shard").count().collect()
+    assert len(shards) == 13 and max(r["count"] for r in shards) <= 600 and got.count() == 6005
+    kinds = spark.createDataFrame([(f"k{i}", 1 << 40 if i % 2 else 64) for i in range(501)], "container_kind string, capacity_tokens long")
+    few = spark.createDataFrame([(1, 50), (2, 200)], "doc_id long, tokens int")
+    out = fill_containers(few, kinds).collect()
+    assert len({r.container_kind for r in out}) == 501
+    assert {(r.doc_id, r.part_no, r.part_size) for r in out if r.container_kind == "k1"} == {(1, 0, 50), (2, 0, 200)} and len({r.container_id for r in out if r.container_kind == "k1"}) == 1
+    assert sorted(r.part_size for r in out if r.container_kind == "k0" and r.doc_id == 2) == [8, 64, 64, 64]
+    report = packing_report(got, items, spark.createDataFrame([("s", 100)], "container_kind string, capacity_tokens int")).first()
+    assert (report["over"], report["missing"], report["divided"], report["at_least"]) == (0, 0, 0, 1800)
+
+
+@pytest.mark.parametrize("capacity", [1 << 21])
+def test_sparse_tree(capacity):
+    sizes = np.random.default_rng(3).integers(0, capacity // 3, 500)
+    _, room = best_fit(sizes.tolist(), capacity)
+    assert sorted(np.bincount(pack(sizes, capacity), weights=sizes).tolist()) == sorted(capacity - r for r in room)
+
+
 def test_rates_meet_targets():
+    source, tokens = np.array([0, 0, 1]), np.array([10.0, 20.0, 40.0])
     hard = np.array([[10.0, 20.0, 0.0], [0.0, 0.0, 40.0]])
     soft = np.array([[9.0, 5.0, 4.0], [1.0, 15.0, 36.0]])
-    r = fit_rates(hard, soft, np.array([2.0, 2.0, 2.0]), np.array([30.0, 20.0]), soft_weight=1e-6)
+    r = fit_rates(source, tokens, soft, np.array([2.0, 2.0, 2.0]), np.array([30.0, 20.0]), soft_weight=1e-6)
     assert np.allclose(hard @ r, [30, 20], atol=0.05) and (r >= 0).all() and (r <= 2).all()
+    # against a fine grid, where the soft totals weigh as much as the others
+    want, caps = np.array([30.0, 20.0]), np.array([1.0, 2.0, 1.0])
+    r = fit_rates(source, tokens, soft, caps, want, soft_weight=1.0)
+    cost = lambda x: ((hard @ x - want) ** 2).sum() + ((soft @ x - want) ** 2).sum()
+    best = min(cost(np.array([a, b, c])) for a in np.linspace(0, 1, 41) for b in np.linspace(0, 2, 81) for c in np.linspace(0, 1, 41))
+    assert cost(r) <= best + 1e-6
+
+
+def test_thousand_sources_need_no_matrix_of_their_square():
+    d, cells = 1000, 5000
+    rng = np.random.default_rng(1)
+    source, tokens = np.repeat(np.arange(d), 5), rng.uniform(1, 50, cells)
+    soft = np.zeros((d, cells), dtype=float)
+    soft[source, np.arange(cells)] = tokens
+    want = np.bincount(source, tokens, d) * 0.5
+    r = fit_rates(source, tokens, soft, np.ones(cells), want, steps=200)
+    assert np.abs(np.bincount(source, tokens * r, d) - want).max() < 0.5
 
 
 DOCS = "doc_id long, text string, source string"
