@@ -1,7 +1,7 @@
 """Schemas that drift between files.
 
-Each file has a versioned fingerprint: the dotted paths of its fields and their types. The fingerprints of one producer, in the
-order of the files' times, give the migration steps (added, removed, retyped, renamed). Chained back through the renames every field
+Each file has a versioned fingerprint: the dotted paths of its fields and their types. Files with the fingerprint of the file before change nothing and are passed over. Where it differs, the step from
+one fingerprint to the other (added, removed, retyped, renamed) is worked out once, however many files take it, and every file that does gets its changes. Chained back through the renames every field
 has one lasting name; a file's records are routed through those steps: renamed, cast to the field's type, and filled where absent.
 
 Payloads of any nesting are flattened in Arrow batches, once for the fingerprints and once for the table; everything else is relational.
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..store import Workspace
+from .skew import as_of, running
 
 #: Bits of the kinds of value that a field holds somewhere in a file.
 BOOLEAN, LONG, DOUBLE, STRING, ARRAY, LIST_BOOLEAN, LIST_LONG, LIST_DOUBLE, LIST_STRING = (1 << i for i in range(9))
@@ -72,14 +73,13 @@ def _leaves(value: dict) -> Iterator[tuple[str, object]]:
 
 
 def file_fields(records: DataFrame, file: str = "file_id", producer: str = "producer", written: str = "written_at", payload: str = "payload") -> DataFrame:
-    """The fields of every file: ``producer``, ``file_id``, ``written_at``, ``field_name``, ``field_type``, ``fingerprint``, ``version``.
+    """The fields of every file: ``producer``, ``file_id``, ``written_at``, ``field_name``, ``field_type``, ``fingerprint``.
 
     A field is the dotted path of a leaf that holds a value other than null, the empty array or an array of nulls in at least one record. Its type is boolean, long,
     double (written with a decimal point) or string, or array<one of these>; with several in one file string wins over double
     over long, and any other mixture is string (of arrays: array<string>; of an array and a plain value: string). Payloads that are null,
     empty, no JSON or no object are ignored, and so are files of only such; they get one row with a null field, so that they still count as files.
-    ``fingerprint`` is a hash of the file's fields and types, ``version`` numbers the producer's fingerprints in the order in which they
-    first came up. Files of one time are ordered by id. A file whose producer or time is null belongs to a producer of its own named null.
+    ``fingerprint`` is a hash of the file's fields and types. A file whose producer or time is null belongs to a producer of its own named null.
     """
     src = records.select(F.col(file).alias("file_id"), F.col(producer).alias("producer"), F.col(written).alias("written_at"), F.col(payload).alias("payload"))
 
@@ -106,12 +106,21 @@ def file_fields(records: DataFrame, file: str = "file_id", producer: str = "prod
     kind = F.when((plain > 0) & (lists > 0), "string").when(plain > 0, name(plain, BOOLEAN, LONG, DOUBLE)).otherwise(F.concat(F.lit("array<"), name(lists, LIST_BOOLEAN, LIST_LONG, LIST_DOUBLE), F.lit(">")))
     files = src.groupBy("file_id").agg(F.min("producer").alias("producer"), F.min("written_at").alias("written_at"))
     fields = files.join(seen.select(F.col("file_id").alias("f"), "field_name", kind.alias("field_type")), F.col("file_id") == F.col("f"), "left").drop("f")
-    prints = fields.groupBy("producer", "file_id", "written_at").agg(F.xxhash64(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "field_name", "field_type"))), "\n")).alias("fingerprint"), F.collect_list(F.when(F.col("field_name").isNotNull(), F.struct("field_name", "field_type"))).alias("fields"))
-    order = Window.partitionBy("producer").orderBy("written_at", "file_id")
-    first = prints.withColumn("new", (F.min(F.struct("written_at", "file_id")).over(Window.partitionBy("producer", "fingerprint")) == F.struct("written_at", "file_id")).cast("int"))
-    # a file has the version of the newest fingerprint only if it is that one; else the number its fingerprint got at first
-    numbered = first.withColumn("n", F.sum("new").over(order)).withColumn("version", F.min("n").over(Window.partitionBy("producer", "fingerprint"))).withColumn("file_no", F.row_number().over(order))
-    return numbered.select("producer", "file_id", "written_at", "file_no", "fingerprint", "version", F.explode_outer("fields").alias("f")).select("producer", "file_id", "written_at", "file_no", "fingerprint", "version", "f.field_name", "f.field_type")
+    # a file has few fields: they are what is gathered, never its records
+    prints = fields.groupBy("producer", "file_id", "written_at").agg(F.md5(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "field_name", "field_type"))), "\n")).alias("fingerprint"), F.collect_list(F.when(F.col("field_name").isNotNull(), F.struct("field_name", "field_type"))).alias("fields"))
+    prints = Workspace(records.sparkSession, "drift").keep(prints)
+    return prints.select("producer", "file_id", "written_at", "fingerprint", F.explode_outer("fields").alias("f")).select("producer", "file_id", "written_at", "fingerprint", "f.field_name", "f.field_type")
+
+
+def with_versions(fields: DataFrame) -> DataFrame:
+    """``fields`` (as ``file_fields`` gives them) with ``file_no`` (the file's place among its producer's files, in the order of time and id) and ``version`` (the producer's fingerprints numbered in the order in which they first came up)."""
+    ws = Workspace(fields.sparkSession, "drift")
+    files = fields.groupBy("producer", "file_id", "written_at").agg(F.first("fingerprint").alias("fingerprint"))
+    ordered = ws.keep(running(files, ["producer"], ["written_at", "file_id"], {"file_no": F.lit(1)}).withColumn("file_no", F.col("file_no").cast("int")))
+    firsts = ordered.groupBy("producer", "fingerprint").agg(F.min("file_no").alias("first_no"))
+    v = running(firsts, ["producer"], ["first_no"], {"version": F.lit(1)}).select(F.col("producer").alias("v_p"), F.col("fingerprint").alias("v_f"), F.col("version").cast("int").alias("version"))
+    told = ordered.join(v, F.col("producer").eqNullSafe(F.col("v_p")) & (F.col("fingerprint") == F.col("v_f"))).select(F.col("file_id").alias("t_id"), "file_no", "version")
+    return fields.join(told, F.col("file_id").eqNullSafe(F.col("t_id"))).select("producer", "file_id", "written_at", "file_no", "fingerprint", "version", "field_name", "field_type")
 
 
 def schema_changes(fields: DataFrame) -> DataFrame:
@@ -124,23 +133,35 @@ def schema_changes(fields: DataFrame) -> DataFrame:
     or ``retyped``. First files have no changes. Files without any readable record are passed over: the next is compared with the one before.
     """
     ws = Workspace(fields.sparkSession, "drift")
-    have = ws.keep(fields.where("field_name is not null").select("producer", "file_id", "written_at", "field_name", "field_type"))
-    line = Window.partitionBy("producer").orderBy("written_at", "file_id")
-    files = have.select("producer", "file_id", "written_at").distinct().select("producer", "file_id", F.row_number().over(line).alias("no"))
-    files = ws.keep(files.withColumn("next_id", F.lead("file_id").over(Window.partitionBy("producer").orderBy("no"))))
-    me = files.select(F.col("file_id").alias("i"), "producer", F.col("no").alias("file_no"), "next_id")
-    now = have.drop("producer", "written_at").join(me, F.col("file_id") == F.col("i"))
-    new = now.where("file_no > 1").select("producer", "file_id", "file_no", "field_name", F.col("field_type").alias("new_type"), F.lit(None).cast("string").alias("old_type"))
-    old = now.where("next_id is not null").select("producer", F.col("next_id").alias("file_id"), (F.col("file_no") + 1).alias("file_no"), "field_name", F.lit(None).cast("string").alias("new_type"), F.col("field_type").alias("old_type"))
-    both = new.unionByName(old).groupBy("producer", "file_id", "file_no", "field_name").agg(F.max("old_type").alias("old_type"), F.max("new_type").alias("new_type")).where("not (old_type <=> new_type)")
-    kind = F.coalesce("old_type", "new_type")
-    of = Window.partitionBy("file_id", "moved")
-    tagged = both.withColumn("moved", F.when(F.col("old_type").isNull() | F.col("new_type").isNull(), kind))
+    have = fields.where("field_name is not null").select("producer", "file_id", "written_at", "fingerprint", "field_name", "field_type")
+    files = have.groupBy("producer", "file_id", "written_at").agg(F.first("fingerprint").alias("fingerprint"))
+    files = ws.keep(running(files, ["producer"], ["written_at", "file_id"], {"no": F.lit(1)}))
+    before = files.select(F.col("producer").alias("b_p"), (F.col("no") + 1).alias("b_no"), F.col("fingerprint").alias("from_print"))
+    # files whose fingerprint is that of the file before have no changes
+    moves = files.join(before, F.col("producer").eqNullSafe(F.col("b_p")) & (F.col("no") == F.col("b_no")) & (F.col("fingerprint") != F.col("from_print"))).select("producer", "file_id", F.col("no").cast("int").alias("file_no"), "from_print", F.col("fingerprint").alias("to_print"))
+    moves = ws.keep(moves)
+    steps = migration_steps(moves.select("from_print", "to_print").distinct(), have.select("fingerprint", "field_name", "field_type").distinct())
+    steps = steps.withColumnsRenamed({"from_print": "s_from", "to_print": "s_to"})
+    return moves.join(steps, (F.col("from_print") == F.col("s_from")) & (F.col("to_print") == F.col("s_to"))).select("producer", "file_id", "file_no", "field_name", "change_kind", "old_name", "old_type", "new_type")
+
+
+def migration_steps(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """What changes between two fingerprints: ``from_print``, ``to_print``, ``field_name``, ``change_kind``, ``old_name``, ``old_type``, ``new_type``.
+
+    :param pairs: distinct ``from_print``, ``to_print``; :param prints: distinct ``fingerprint``, ``field_name``, ``field_type``
+    """
+    p = prints.select(F.col("fingerprint").alias("p"), "field_name", "field_type")
+    none = F.lit(None).cast("string")
+    new = pairs.join(p, F.col("to_print") == F.col("p")).select("from_print", "to_print", "field_name", none.alias("old_type"), F.col("field_type").alias("new_type"))
+    old = pairs.join(p, F.col("from_print") == F.col("p")).select("from_print", "to_print", "field_name", F.col("field_type").alias("old_type"), none.alias("new_type"))
+    both = new.unionByName(old).groupBy("from_print", "to_print", "field_name").agg(F.max("old_type").alias("old_type"), F.max("new_type").alias("new_type")).where("not (old_type <=> new_type)")
     gone, came = F.col("new_type").isNull(), F.col("old_type").isNull()
+    of = Window.partitionBy("from_print", "to_print", "moved")  # the fields of two schemas
+    tagged = both.withColumn("moved", F.when(gone | came, F.coalesce("old_type", "new_type")))
     counted = tagged.withColumns({"gone": F.sum(gone.cast("int")).over(of), "came": F.sum(came.cast("int")).over(of), "old_name": F.max(F.when(gone, F.col("field_name"))).over(of)})
     renamed = F.col("moved").isNotNull() & (F.col("gone") == 1) & (F.col("came") == 1)
     return counted.where(~(renamed & gone)).select(
-        "producer", "file_id", "file_no", "field_name", F.when(renamed, "renamed").when(gone, "removed").when(came, "added").otherwise("retyped").alias("change_kind"),
+        "from_print", "to_print", "field_name", F.when(renamed, "renamed").when(gone, "removed").when(came, "added").otherwise("retyped").alias("change_kind"),
         F.when(renamed, F.col("old_name")).alias("old_name"), F.when(renamed, F.col("moved")).otherwise(F.col("old_type")).alias("old_type"), "new_type",
     )
 
@@ -149,30 +170,56 @@ def lasting_names(fields: DataFrame, changes: DataFrame) -> DataFrame:
     """``file_id``, ``field_name`` and ``name``: what the field was called before all renames of its producer's earlier files.
 
     Each producer's changes are chained from file to file. Renames are the links of parent-child trees (a rename's parent is the rename that gave
-    the old name), which pointer doubling resolves; a field's rename is the last one up to its file.
+    the old name), which pointer doubling resolves; a field's rename is the last one up to its file. A name that comes back after it was renamed away is a field of its own: its lasting name
+    ends in ``__again``, so that no two fields of a file share one.
     """
     from .hierarchy import resolve_hierarchy
 
     ws = Workspace(fields.sparkSession, "drift")
-    moves = ws.keep(changes.where("change_kind = 'renamed'").select("producer", "file_no", F.col("field_name").alias("to"), F.col("old_name").alias("frm"), F.xxhash64("producer", "file_id", "field_name").alias("id")))
-    earlier = moves.select(F.col("producer").alias("p"), F.col("file_no").alias("no"), F.col("to").alias("t"), F.col("id").alias("before"))
-    links = moves.join(earlier, (F.col("producer") == F.col("p")) & (F.col("frm") == F.col("t")) & (F.col("no") < F.col("file_no")), "left").groupBy("id", "producer", "file_no", "to", "frm").agg(F.max_by("before", "no").alias("before"))
-    links = ws.keep(links)
+    moves = ws.keep(changes.where("change_kind = 'renamed'").select("producer", F.col("file_no").cast("bigint").alias("file_no"), F.col("field_name").alias("to"), F.col("old_name").alias("frm"), F.xxhash64("producer", "file_id", "field_name").alias("id")))
+    earlier = moves.select("producer", F.col("to").alias("frm"), F.col("file_no").alias("at"), F.col("id").alias("before"))
+    links = ws.keep(as_of(moves.select("producer", "frm", "file_no", "to", "id"), earlier, ["producer", "frm"], "file_no", "at", "before", strict=True).drop("since"))
     roots = resolve_hierarchy(links, "id", "before", path=False).select(F.col("id").alias("i"), "root_id")
     origin = links.select(F.col("id").alias("r"), F.col("frm").alias("origin"))
-    named = ws.keep(moves.join(roots, F.col("id") == F.col("i")).join(origin, F.col("root_id") == F.col("r")).select(F.col("producer").alias("p"), F.col("file_no").alias("since"), "to", "origin"))
-    have = fields.where("field_name is not null").select("producer", "file_id", "field_name", "written_at")
-    numbered = have.withColumn("no", F.dense_rank().over(Window.partitionBy("producer").orderBy("written_at", "file_id")))
-    last = numbered.join(named, (F.col("producer") == F.col("p")) & (F.col("field_name") == F.col("to")) & (F.col("since") <= F.col("no")), "left").groupBy("file_id", "field_name").agg(F.max_by("origin", "since").alias("origin"))
-    return last.select("file_id", "field_name", F.coalesce("origin", "field_name").alias("name"))
+    given = ws.keep(moves.join(roots, F.col("id") == F.col("i")).join(origin, F.col("root_id") == F.col("r")).select("producer", F.col("to").alias("field_name"), "file_no", "origin"))
+    have = fields.where("field_name is not null").select("producer", "file_id", "written_at", "field_name")
+    numbered = running(have.select("producer", "written_at", "file_id").distinct(), ["producer"], ["written_at", "file_id"], {"no": F.lit(1)}).select(F.col("file_id").alias("n_id"), "no")
+    at = have.join(numbered, F.col("file_id").eqNullSafe(F.col("n_id"))).select("producer", "field_name", "no", "file_id")
+    to = as_of(at, given, ["producer", "field_name"], "no", "file_no", "origin").withColumnRenamed("since", "came")
+    away = as_of(to, moves.select("producer", F.col("frm").alias("field_name"), "file_no", F.lit(True).alias("left")), ["producer", "field_name"], "no", "file_no", "left")
+    back = F.col("left").isNotNull() & (F.col("came").isNull() | (F.col("came") < F.col("since")))
+    return away.select("file_id", "field_name", F.when(back, F.concat("field_name", F.lit("__again"))).otherwise(F.coalesce("origin", "field_name")).alias("name"))
+
+
+def consistent_values(records: DataFrame, key: Sequence[str], names: DataFrame, file: str = "file_id", payload: str = "payload") -> DataFrame:
+    """Every value of every record under its lasting name: key, ``field_name``, ``name``, ``value`` (text; arrays as JSON). The long form of ``consistent_table``, for any number of names."""
+    given = [records.schema[k] for k in key]
+    n = len(key)
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, paths, values = [], [], []
+            for i, p in enumerate(b.column(n + 1).to_pylist()):
+                for k, v in _leaves(_load(p) or {}):
+                    if v is not None and v != []:
+                        at.append(i)
+                        paths.append(k)
+                        values.append(_text(v))
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(n + 1)), pa.array(paths, pa.string()), pa.array(values, pa.string())], names=[*(f.name for f in given), "__file", "field_name", "value"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given), f"`__file` {records.schema[file].dataType.simpleString()}, field_name string, value string"])
+    rows = records.select(*key, F.col(file).alias("__file"), F.col(payload).alias("__payload")).mapInArrow(flat, schema)
+    to = names.select(F.col("file_id").alias("__n_file"), F.col("field_name").alias("__n_field"), "name")
+    return rows.join(to, (F.col("__file") == F.col("__n_file")) & (F.col("field_name") == F.col("__n_field")), "left").select(*key, "field_name", F.coalesce("name", "field_name").alias("name"), "value")
 
 
 def consistent_table(records: DataFrame, key: Sequence[str], file: str = "file_id", producer: str = "producer", written: str = "written_at", payload: str = "payload", most_columns: int = 2000) -> DataFrame:
     """All records under one schema: the key columns, ``readable``, and a column per lasting field name, of the widest type it had anywhere.
 
     Records pass the chained steps of their file: rename to the lasting name, cast to the column's type, null (the default) where the file has no such
-    field. Arrays and mixtures come as JSON text, dots in names become ``__``. Records that are no JSON object keep their row, with ``readable`` false. Of two fields of a file with
-    one lasting name the later name in order wins. More than ``most_columns`` names is an error, not a cut.
+    field. Arrays and mixtures come as JSON text, dots in names become ``__``. Records that are no JSON object keep their row, with ``readable`` false. More than
+    ``most_columns`` names is an error, not a cut: ``consistent_values`` has the same values in long form.
     """
     fields = Workspace(records.sparkSession, "drift").keep(file_fields(records, file, producer, written, payload))
     names = Workspace(records.sparkSession, "drift").keep(lasting_names(fields, schema_changes(fields)))

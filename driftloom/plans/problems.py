@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..operators.drift import consistent_table, file_fields, schema_changes
+from ..operators.drift import consistent_table, consistent_values, file_fields, lasting_names, schema_changes, with_versions
 from ..operators.hierarchy import descendants, resolve_hierarchy
 from ..operators.references import orphan_references
 from ..operators.skew import skewed_totals
@@ -58,13 +58,24 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_table(spark: SparkSession, d: str) -> DataFrame:
     """One table of all records, standing rows only, of consistent columns."""
-    return consistent_table(table(spark, d, "file_records").dropDuplicates(["record_id"]), ["record_id", "file_id"])
+    return consistent_table(_records(spark, d), ["record_id", "file_id"])
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    return standing(table(spark, d, "file_records"), ["record_id"], ["file_id", "producer", "written_at", "payload"], "received_at")
+
+
+def p2_values(spark: SparkSession, d: str) -> DataFrame:
+    """Every value of every standing record, with the name it had in its file and its lasting one."""
+    records = Workspace(spark, "records").keep(_records(spark, d))
+    fields = Workspace(spark, "records").keep(file_fields(records))
+    return consistent_values(records, ["record_id"], lasting_names(fields, schema_changes(fields))).select("record_id", "field_name", "name", "value")
 
 
 def p2_versions(spark: SparkSession, d: str) -> DataFrame:
     """The versions of each producer's schema, and the files that have them."""
-    files = file_fields(table(spark, d, "file_records"))
-    return files.groupBy("producer", "version").agg(F.count_distinct("file_id").alias("files"), F.count_distinct("field_name").alias("fields"))
+    files = with_versions(file_fields(table(spark, d, "file_records")))
+    return files.groupBy("producer", "version").agg(F.count_distinct("file_id").alias("files"), F.count_distinct("field_name").alias("fields"), F.min("file_no").alias("first_file"))
 
 
 # ---- p3: hierarchies
@@ -100,6 +111,12 @@ def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
     return pairs.groupBy("hierarchy", "event_id", F.col("ancestor_id").cast("bigint").alias("ancestor_id")).agg(F.count(F.lit(1)).alias("descendants"), F.max("steps").alias("height"))
 
 
+def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every node with every descendant of it, and the steps between them."""
+    pairs = descendants(_resolved(spark, d, path=True), ("hierarchy", "event_id"))
+    return pairs.select("hierarchy", "event_id", F.col("ancestor_id").cast("bigint").alias("ancestor_id"), F.col("descendant_id").cast("bigint").alias("descendant_id"), "steps")
+
+
 # ---- p4: references to records that do not exist
 
 
@@ -194,7 +211,7 @@ def p6_markers(spark: SparkSession, d: str) -> DataFrame:
     return g.join(heads, (F.col("event_id") == F.col("e")) & (F.col("particle_id") == F.col("id")), "left").groupBy("event_id", F.col("group_id").cast("bigint").alias("group_id")).agg(F.count(F.lit(1)).alias("members"), F.count_if("frag").alias("fragment_heads"), F.count_if("inst").alias("instance_heads"), F.count_if(F.col("id").isNull()).alias("without_row"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_volumes, p1_polygons, p2_found, p2_table, p2_versions, p3_found, p3_paths, p3_descendants, p4_found, p4_orphans, p4_periods, p5_found, p5_particles, p5_sem_types, p6_found, p6_markers)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_volumes, p1_polygons, p2_found, p2_table, p2_values, p2_versions, p3_found, p3_paths, p3_descendants, p3_pairs, p4_found, p4_orphans, p4_periods, p5_found, p5_particles, p5_sem_types, p6_found, p6_markers)}
 
 _TRACKS = """g AS (SELECT 'geant4' AS hierarchy, event_id, track_id AS node_id, CASE WHEN parent_track_id >= 0 AND parent_track_id <> track_id THEN parent_track_id END AS parent_id, root_track_id AS stored, gone, seen_at
  FROM (SELECT event_id, track_id, arg_max(parent_track_id, recorded_at) AS parent_track_id, arg_max(root_track_id, recorded_at) AS root_track_id, arg_max(dropped, recorded_at) AS gone, max(recorded_at) AS seen_at FROM geant4 GROUP BY event_id, track_id)),
@@ -208,6 +225,14 @@ w AS (SELECT hierarchy, event_id, node_id, node_id AS root_id, 0 AS depth, CAST(
 
 _POINTS = "pts AS (SELECT DISTINCT event_id, particle_id, point_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z, volume_id FROM points JOIN volumes ON x >= x_min AND x < x_max AND y >= y_min AND y < y_max AND z >= z_min AND z < z_max WHERE NOT isnan(x) AND NOT isnan(y) AND NOT isnan(z))"
 
+_FIELDS = r"""ok AS (SELECT file_id, producer, written_at, payload FROM file_records WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
+t AS (SELECT DISTINCT file_id, j.key, j.type, j.id, j.parent, j.path, j.fullkey, payload FROM ok, json_tree(payload) j),
+leaf AS (SELECT DISTINCT file_id, substr(fullkey, 3) AS f, CASE WHEN type = 'BOOLEAN' THEN 'boolean' WHEN type IN ('BIGINT', 'UBIGINT') THEN 'long' WHEN type = 'DOUBLE' THEN 'double' ELSE 'string' END AS k, fullkey LIKE '%[%' AS arr FROM t WHERE type NOT IN ('OBJECT', 'ARRAY', 'NULL')),
+one AS (SELECT file_id, regexp_replace(f, '\[.*$', '') AS field_name, arr, list_sort(list_distinct(list(k))) AS ks FROM leaf GROUP BY ALL),
+kind AS (SELECT file_id, field_name, arr, CASE WHEN len(ks) = 1 THEN ks[1] WHEN ks = ['double', 'long'] THEN 'double' ELSE 'string' END AS k FROM one),
+fields AS (SELECT file_id, field_name, CASE WHEN count(*) > 1 THEN 'string' ELSE any_value(CASE WHEN arr THEN 'array<' || k || '>' ELSE k END) END AS field_type FROM kind GROUP BY ALL),
+files AS (SELECT file_id, producer, lead(file_id) OVER w AS next_id, row_number() OVER w AS no FROM (SELECT DISTINCT file_id, producer, written_at FROM ok WHERE file_id IN (SELECT file_id FROM fields)) WINDOW w AS (PARTITION BY producer ORDER BY written_at, file_id))"""
+
 _REFERENCES = f"""{_TRACKS}, i AS (SELECT event_id, group_id, arg_max(group_to_track, recorded_at) AS t, max(recorded_at) AS seen_at FROM inst_groups GROUP BY event_id, group_id),
  refs AS (SELECT hierarchy AS ref_table, hierarchy AS target, event_id, node_id AS child, parent_id AS par, seen_at FROM g WHERE NOT gone AND parent_id IS NOT NULL UNION ALL SELECT hierarchy, hierarchy, event_id, node_id, parent_id, seen_at FROM p WHERE parent_id IS NOT NULL UNION ALL SELECT 'inst_groups', 'geant4', event_id, group_id, t, seen_at FROM i WHERE t >= 0),
  recs AS (SELECT hierarchy AS target, event_id, node_id, gone FROM g UNION ALL SELECT hierarchy, event_id, node_id, gone FROM p),
@@ -221,17 +246,16 @@ SQL = {
     "p1_polygons": f"""WITH pts AS (SELECT DISTINCT point_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z FROM points WHERE NOT isnan(x) AND NOT isnan(y) AND NOT isnan(z)), c(i, u, v) AS (VALUES {', '.join(f'({i}, CAST({u} AS DOUBLE), CAST({v} AS DOUBLE))' for i, (u, v) in enumerate(ARROW))}),
  k AS (SELECT volume_id, i, x_min + (x_max - x_min) * u AS x, y_min + (y_max - y_min) * v AS y, z_min, z_max FROM volumes, c), e AS (SELECT a.volume_id, a.z_min, a.z_max, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM k a JOIN k b ON b.volume_id = a.volume_id AND b.i = (a.i + 1) % {len(ARROW)})
  SELECT point_id, volume_id FROM pts JOIN e ON z >= z_min AND z < z_max AND (y1 <= y) <> (y2 <= y) AND CASE WHEN x1 = x2 THEN x1 ELSE x1 + (y - y1) * (x2 - x1) / (y2 - y1) END > x GROUP BY point_id, volume_id HAVING count(*) % 2 = 1""",
-    "p2_found": r"""WITH ok AS (SELECT file_id, producer, written_at, payload FROM file_records WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
-t AS (SELECT DISTINCT file_id, j.key, j.type, j.id, j.parent, j.path, j.fullkey, payload FROM ok, json_tree(payload) j),
-leaf AS (SELECT DISTINCT file_id, substr(fullkey, 3) AS f, CASE WHEN type = 'BOOLEAN' THEN 'boolean' WHEN type IN ('BIGINT', 'UBIGINT') THEN 'long' WHEN type = 'DOUBLE' THEN 'double' ELSE 'string' END AS k, fullkey LIKE '%[%' AS arr FROM t WHERE type NOT IN ('OBJECT', 'ARRAY', 'NULL')),
-one AS (SELECT file_id, regexp_replace(f, '\[.*$', '') AS field_name, arr, list_sort(list_distinct(list(k))) AS ks FROM leaf GROUP BY ALL),
-kind AS (SELECT file_id, field_name, arr, CASE WHEN len(ks) = 1 THEN ks[1] WHEN ks = ['double', 'long'] THEN 'double' ELSE 'string' END AS k FROM one),
-fields AS (SELECT file_id, field_name, CASE WHEN count(*) > 1 THEN 'string' ELSE any_value(CASE WHEN arr THEN 'array<' || k || '>' ELSE k END) END AS field_type FROM kind GROUP BY ALL),
-files AS (SELECT file_id, producer, lead(file_id) OVER w AS next_id, row_number() OVER w AS no FROM (SELECT DISTINCT file_id, producer, written_at FROM ok WHERE file_id IN (SELECT file_id FROM fields)) WINDOW w AS (PARTITION BY producer ORDER BY written_at, file_id)),
+    "p2_found": f"""WITH {_FIELDS},
 new AS (SELECT file_id, field_name, field_type FROM fields JOIN files USING (file_id) WHERE no > 1), old AS (SELECT next_id AS file_id, field_name, field_type FROM fields JOIN files USING (file_id) WHERE next_id IS NOT NULL),
 d AS (SELECT coalesce(new.file_id, old.file_id) AS file_id, coalesce(new.field_name, old.field_name) AS field_name, old.field_type AS o, new.field_type AS n FROM new FULL JOIN old ON old.file_id = new.file_id AND old.field_name = new.field_name WHERE old.field_type IS DISTINCT FROM new.field_type),
 m AS (SELECT *, CASE WHEN o IS NULL OR n IS NULL THEN coalesce(o, n) END AS mt FROM d), c AS (SELECT *, count(*) FILTER (n IS NULL) OVER w AS g, count(*) FILTER (o IS NULL) OVER w AS a FROM m WINDOW w AS (PARTITION BY file_id, mt))
 SELECT file_id, field_name, CASE WHEN mt IS NULL THEN 'retyped' WHEN g = 1 AND a = 1 THEN 'renamed' WHEN n IS NULL THEN 'removed' ELSE 'added' END AS change_kind FROM c WHERE NOT (mt IS NOT NULL AND g = 1 AND a = 1 AND n IS NULL)""",
+    "p2_versions": f"""WITH {_FIELDS}, every AS (SELECT DISTINCT file_id, producer, written_at FROM file_records), pr AS (SELECT e.file_id, producer, written_at, coalesce(string_agg(field_name || ':' || field_type, chr(10) ORDER BY field_name || ':' || field_type), '') AS print, count(field_name) AS n FROM every e LEFT JOIN fields f ON f.file_id = e.file_id GROUP BY ALL),
+ nr AS (SELECT *, row_number() OVER (PARTITION BY producer ORDER BY written_at, file_id) AS no FROM pr), v AS (SELECT producer, print, any_value(n) AS n, min(no) AS first_no, count(*) AS files FROM nr GROUP BY producer, print)
+ SELECT producer, CAST(row_number() OVER (PARTITION BY producer ORDER BY first_no) AS INT) AS version, files, n AS fields, CAST(first_no AS INT) AS first_file FROM v""",
+    "p3_pairs": f"""{_WALK}, e AS (SELECT hierarchy, event_id, node_id, depth, unnest(string_split(path, '/')) AS a, unnest(range(depth + 1)) AS step FROM w)
+ SELECT hierarchy, event_id, CAST(a AS BIGINT) AS ancestor_id, CAST(node_id AS BIGINT) AS descendant_id, CAST(depth - step AS INT) AS steps FROM e WHERE depth > step""",
     "p3_found": f"""{_WALK} SELECT l.hierarchy, l.event_id, CAST(l.node_id AS BIGINT) AS node_id, CAST(coalesce(w.root_id, -1) AS BIGINT) AS true_root_id FROM l LEFT JOIN w USING (hierarchy, event_id, node_id) WHERE l.stored IS NULL OR l.stored <> coalesce(w.root_id, -1)""",
     "p3_paths": f"""{_WALK} SELECT l.hierarchy, l.event_id, CAST(l.node_id AS BIGINT) AS node_id, CAST(w.root_id AS BIGINT) AS root_id, w.depth, w.path, w.root_id IS NULL AS in_loop FROM l LEFT JOIN w USING (hierarchy, event_id, node_id)""",
     "p3_descendants": f"""{_WALK}, e AS (SELECT hierarchy, event_id, node_id, depth, unnest(string_split(path, '/')) AS a, unnest(range(depth + 1)) AS step FROM w)

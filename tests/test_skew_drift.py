@@ -1,12 +1,13 @@
 """Skewed keys and drifting schemas."""
 
 import json
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from driftloom.operators.drift import consistent_table, file_fields, schema_changes
-from driftloom.operators.skew import skewed_totals
+from driftloom.operators.drift import consistent_table, consistent_values, file_fields, lasting_names, schema_changes, with_versions
+from driftloom.operators.skew import as_of, running, skewed_totals
 
 
 def test_heavy_key_spans_partitions(spark):
@@ -64,5 +65,51 @@ def test_empty_records(spark):
 
 
 def test_versions(spark):
-    f = file_fields(records(spark, [[{"a": 1}], [{"a": 1.5}], [{"a": 2}], [{"z": 2}]]))
+    f = with_versions(file_fields(records(spark, [[{"a": 1}], [{"a": 1.5}], [{"a": 2}], [{"z": 2}]])))
     assert {(x.file_id, x.version) for x in f.collect()} == {(1, 1), (2, 2), (3, 1), (4, 3)}
+
+
+def test_a_name_that_comes_back_is_a_field_of_its_own(spark):
+    r = records(spark, [[{"a": 1}], [{"b": 2}], [{"b": 3, "a": 4}], [{"b": 5, "a": 6}], [{"a": 7, "x": "s"}]])
+    fields = file_fields(r)
+    changes = schema_changes(fields)
+    assert {(x.file_id, x.field_name, x.change_kind) for x in changes.collect()} == {(2, "b", "renamed"), (3, "a", "added"), (5, "b", "removed"), (5, "x", "added")}
+    names = {(x.file_id, x.field_name): x.name for x in lasting_names(fields, changes).collect()}
+    assert names == {(1, "a"): "a", (2, "b"): "a", (3, "b"): "a", (3, "a"): "a__again", (4, "b"): "a", (4, "a"): "a__again", (5, "a"): "a__again", (5, "x"): "x"}
+    t = {x.record_id: x.asDict() for x in consistent_table(r, ["record_id"]).collect()}
+    assert (t[2]["a"], t[2]["a__again"], t[4]["a"], t[4]["a__again"]) == (3, 4, None, 7)
+    values = {(x.record_id, x.name): x.value for x in consistent_values(r, ["record_id"], lasting_names(fields, changes)).collect()}
+    assert values == {(0, "a"): "1", (1, "a"): "2", (2, "a"): "3", (2, "a__again"): "4", (3, "a"): "5", (3, "a__again"): "6", (4, "a__again"): "7", (4, "x"): "s"}
+
+
+def test_renamed_there_and_back(spark):
+    fields = file_fields(records(spark, [[{"a": 1}], [{"b": 2}], [{"a": 3}]]))
+    assert {x.name for x in lasting_names(fields, schema_changes(fields)).collect()} == {"a"}
+
+
+def test_equal_fingerprints_change_nothing_and_steps_are_shared(spark):
+    files = [[{"a": 1}], [{"a": 2}], [{"a": 1.5, "b": "x"}], [{"a": 1}], [{"a": 2.5, "b": "y"}]]
+    got = sorted((x.file_id, x.field_name, x.change_kind) for x in schema_changes(file_fields(records(spark, files))).collect())
+    assert got == [(3, "a", "retyped"), (3, "b", "added"), (4, "a", "retyped"), (4, "b", "removed"), (5, "a", "retyped"), (5, "b", "added")]
+
+
+def test_running_values_over_ranges(spark):
+    rng = random.Random(2)
+    rows_ = [(rng.choice(["a", "b", None]), i, rng.choice([None, 1, 2, 3])) for i in range(500)] + [("hot", i, 1) for i in range(3000)]
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    got = running(spark.createDataFrame(rows_, "k string, i int, v int"), ["k"], ["i"], {"sum": F.col("v")}, {"last": F.col("v")}).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want, at = {}, {}
+    for k, i, v in sorted(rows_, key=lambda r: (str(r[0]), r[1])):
+        s, last = at.get(k, (0, None))
+        at[k] = want[k, i] = (s + (v or 0), v if v is not None else last)
+    assert {(r.k, r.i): (r.sum, r.last) for r in got} == want and len(got) == len(rows_)
+    assert running(spark.createDataFrame([], "k string, i int"), ["k"], ["i"], {"n": F.lit(1)}).count() == 0
+
+
+def test_as_of(spark):
+    left = spark.createDataFrame([("a", 1, "p"), ("a", 5, "q"), ("b", 5, "r"), (None, 9, "s")], "k string, at int, what string")
+    right = spark.createDataFrame([("a", 1, 10), ("a", 5, 20), ("a", 5, 30), (None, 2, 40)], "k string, at int, v int")
+    got = lambda strict: {r.what: (r.v, r.since) for r in as_of(left, right, ["k"], "at", "at", "v", strict).collect()}
+    assert got(False) == {"p": (10, 1), "q": (30, 5), "r": (None, None), "s": (40, 2)}
+    assert got(True) == {"p": (None, None), "q": (10, 1), "r": (None, None), "s": (40, 2)}
