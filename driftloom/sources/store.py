@@ -27,6 +27,12 @@ def write_table(df: DataFrame, root: str, name: str, order: Sequence[str] = (),
     salt = F.pmod(F.xxhash64(*(order or df.columns[:1])), F.lit(parts)) if parts and parts > 1 else F.lit(0)
     laid = b.repartition("event_bucket", salt).sortWithinPartitions("event_bucket", "event_id", *order)
     laid.write.mode(mode).option("compression", CODECS[codec]).partitionBy("event_bucket").parquet(f"{root}/{name}")
+    _write_schema(df, f"{root}/{name}")
+
+
+def _write_schema(df: DataFrame, path: str) -> None:
+    """A file without rows, so that a table without any can be read."""
+    df.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{path}/event_bucket=-1")
 
 
 class EventStore:
@@ -174,6 +180,8 @@ def repack(spark: SparkSession, source: str, target: str, codec: str) -> None:
     df = spark.read.parquet(source)
     w = df.write.option("compression", CODECS[codec])
     (w.partitionBy("event_bucket") if "event_bucket" in df.columns else w).parquet(target)
+    if "event_bucket" in df.columns:
+        _write_schema(df.drop("event_bucket"), target)
 
 
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:
