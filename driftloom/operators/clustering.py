@@ -237,7 +237,8 @@ def merge_fixpoint(particles: DataFrame, points: DataFrame, params: Params, rule
                 at, some = ws.count(raised, sized=True)
                 if some["rows"]:
                     r = spark.read.schema(raised.schema).parquet(at).select(F.col("event_id").alias("r_e"), F.col("id").alias("r_i"), F.col("sem_type").alias("r_sem"))
-                    particles = ws.keep(particles.join(r, (F.col("event_id") == F.col("r_e")) & (F.col("id") == F.col("r_i")), "left").withColumn("sem_type", F.coalesce("r_sem", "sem_type")).drop("r_e", "r_i", "r_sem"))
+                    before, particles = particles, ws.keep(particles.join(r, (F.col("event_id") == F.col("r_e")) & (F.col("id") == F.col("r_i")), "left").withColumn("sem_type", F.coalesce("r_sem", "sem_type")).drop("r_e", "r_i", "r_sem"))
+                    ws.forget(before)
             proposed = known[name](state, particles, points, params)
             if "outcome" not in proposed.columns:
                 proposed = proposed.withColumn("outcome", F.lit(MERGED))
@@ -247,7 +248,8 @@ def merge_fixpoint(particles: DataFrame, points: DataFrame, params: Params, rule
             if some["rows"]:
                 tried.append(pairs.select("event_id", "child", "parent", F.lit(name).alias("rule"), F.lit(n).alias("pass_no"), "outcome"))
             if some["merged"]:
-                state = ws.keep(collapse(state, pairs.where(F.col("outcome") == MERGED)))
+                before, state = state, ws.keep(collapse(state, pairs.where(F.col("outcome") == MERGED)))
+                ws.forget(before)
                 merged += some["merged"]
     decisions = reduce(DataFrame.unionByName, tried) if tried else state.limit(0).select("event_id", F.col("particle_id").alias("child"), F.col("rep_id").alias("parent"), F.lit("").alias("rule"), F.lit(0).alias("pass_no"), F.lit("").alias("outcome"))
     return Fragments(_sem(state, "rep_id", particles, "rep").withColumnRenamed("rep_sem_type", "sem_type"), decisions, n, not merged)

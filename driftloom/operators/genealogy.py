@@ -23,7 +23,8 @@ def loop_heads(nodes: DataFrame, node: str, parent: str, scope: Sequence[str] =
         return state.select(*scope, F.col("n").alias(node), F.col("low").alias("head"))
     for _ in range(int(most).bit_length()):
         up = state.select(*(F.col(k).alias(f"t_{k}") for k in scope), F.col("n").alias("t_n"), F.col("a").alias("t_a"), F.col("low").alias("t_low"))
-        state = ws.keep(state.join(up, [*(F.col(k) == F.col(f"t_{k}") for k in scope), F.col("a") == F.col("t_n")]).select(*scope, "n", F.col("t_a").alias("a"), F.least("low", "t_low").alias("low")), sized=True)
+        before, state = state, ws.keep(state.join(up, [*(F.col(k) == F.col(f"t_{k}") for k in scope), F.col("a") == F.col("t_n")]).select(*scope, "n", F.col("t_a").alias("a"), F.least("low", "t_low").alias("low")), sized=True)
+        ws.forget(before)
     # every pointer is on its circle now, and what follows it is the whole circle
     up = state.select(*(F.col(k).alias(f"t_{k}") for k in scope), F.col("n").alias("t_n"), F.col("low").alias("head"))
     return state.join(up, [*(F.col(k) == F.col(f"t_{k}") for k in scope), F.col("a") == F.col("t_n")]).select(*scope, F.col("n").alias(node), "head")

@@ -73,7 +73,8 @@ def orphan_references(references: DataFrame, records: DataFrame, scope: Sequence
         found = read(*paths)
         had = found.select(*(F.col(x).alias(f"d_{x}") for x in sk), F.col("f_t").alias("d_t"), F.col("f_n").alias("d_n"))
         far = jumps.select(*(F.col(x).alias(f"j_{x}") for x in sk), F.col("c_t").alias("j_t"), F.col("c_n").alias("j_n"), F.col("a_t").alias("b_t"), F.col("a_n").alias("b_n"))
-        jumps = ws.keep(jumps.join(had, same("c", "d", "d_"), "left_anti").join(far, same("a", "j", "j_")).select(*sk, "c_t", "c_n", F.col("b_t").alias("a_t"), F.col("b_n").alias("a_n")).distinct(), sized=True)
+        before, jumps = jumps, ws.keep(jumps.join(had, same("c", "d", "d_"), "left_anti").join(far, same("a", "j", "j_")).select(*sk, "c_t", "c_n", F.col("b_t").alias("a_t"), F.col("b_n").alias("a_n")).distinct(), sized=True)
+        ws.forget(before)
         reach *= 2
     above = found.select(*(F.col(x).alias(f"f_{x}") for x in sk), "f_t", "f_n", "top", F.col("level").alias("above"))
     met = judged.where("present").join(above, [*(F.col(k) == F.col(f"f_{x}") for k, x in zip(scope, sk)), F.col("target_table") == F.col("f_t"), F.col("target_id") == F.col("f_n")])

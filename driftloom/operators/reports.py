@@ -31,6 +31,18 @@ def why_not_merged(decisions: DataFrame, a: Column, b: Column) -> DataFrame:
     return own.join(merged, F.col("event_id") == F.col("m_e"), "left_anti")
 
 
+def as_decisions(tried: DataFrame) -> DataFrame:
+    """The pairs that a run tried (event_id, child, parent, rule, pass_no, outcome) in the columns that decisions are stored in: event_id, id1, id2, reason, stage, pass_no."""
+    return tried.select("event_id", F.col("child").alias("id1"), F.col("parent").alias("id2"), F.col("outcome").alias("reason"), F.col("rule").alias("stage"), "pass_no")
+
+
+def never_merged(decisions: DataFrame) -> DataFrame:
+    """The decisions on pairs, in either order, that no decision merged, with ``outcome`` in one spelling and the pair as ``lo``, ``hi``."""
+    x = decisions.withColumns({"outcome": outcome(F.col("reason")), "lo": F.least("id1", "id2"), "hi": F.greatest("id1", "id2")})
+    m = x.where("outcome = 'MERGED'").select(F.col("event_id").alias("m_e"), F.col("lo").alias("m_lo"), F.col("hi").alias("m_hi")).distinct()
+    return x.join(m, (F.col("event_id") == F.col("m_e")) & (F.col("lo") == F.col("m_lo")) & (F.col("hi") == F.col("m_hi")), "left_anti")
+
+
 def decision_summary(decisions: DataFrame, by: Sequence[str] = ("stage", "pass_no")) -> DataFrame:
     """How often each outcome came, per stage and pass; null reasons are an outcome."""
     return decisions.groupBy(*by, outcome(F.col("reason")).alias("outcome")).agg(F.count(F.lit(1)).alias("decisions"))

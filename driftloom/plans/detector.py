@@ -42,7 +42,7 @@ def pixel_keys(spark: SparkSession, d: str) -> DataFrame:
 def nominal_positions(spark: SparkSession, d: str) -> DataFrame:
     """Where points appear to be, whose time is taken for drift time."""
     g = _geometry()
-    return _held(spark, d, "x", "y", "z", "t").select("point_id", F.round(F.col("x").cast("double") + C.time_shift(F.col("t").cast("double"), g), 4).alias("x"), F.round(C.time_shift(F.col("t").cast("double"), g), 4).alias("shift"))
+    return _held(spark, d, "x", "y", "z", "t").select("point_id", F.round(F.col("x").cast("double") + C.time_shift(F.col("t").cast("double"), g), 4).alias("x"), F.round(C.time_shift(F.col("t").cast("double"), g) * 10000).cast("bigint").alias("shift"))  # in 0.1 um
 
 
 def _segments(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -352,6 +352,12 @@ def run_decisions(spark: SparkSession, d: str) -> DataFrame:
     return _run(spark, d).decisions.groupBy("rule", "pass_no", "outcome").agg(F.count(F.lit(1)).alias("pairs"))
 
 
+def run_why_not(spark: SparkSession, d: str) -> DataFrame:
+    """Why pairs that no rule merged were not: pairs by the outcomes that they had."""
+    x = reports.as_decisions(_run(spark, d).decisions)
+    return reports.never_merged(x).groupBy("outcome").agg(F.count_distinct("event_id", "lo", "hi").alias("pairs"))
+
+
 def run_checks(spark: SparkSession, d: str) -> DataFrame:
     """What must hold of a run's tables: voxels that come in and go out, energy, input points bridged, positions that do not follow on each other, particles without a fragment, and whether merging converged."""
     r = _run(spark, d)
@@ -379,7 +385,7 @@ QUERIES = {
         step_projection, slice_owners, pixel_keys, nominal_positions, decoded_segments, matched_steps, truth_segments, visible_steps, step_owners, deposit_tracks, plane_entries, pixel_hits, hits_subset,
         primary_mismatches, issue_chains, michel_ancestry, direct_children, stored_rows, partition_sem_types, partition_once, sibling_groups, shower_contacts, split_pieces, buried_deltas,
         row_kinematics, instance_kinematics, stated_geometry, calibrated_pitch, groups_of_showers, interaction_rows, store_points, store_codecs, stored_voxmap, streamed_totals, loader_events,
-        run_particles, run_interactions, run_decisions, run_checks, run_group_owners,
+        run_particles, run_interactions, run_decisions, run_why_not, run_checks, run_group_owners,
     )
 }
 
@@ -393,7 +399,7 @@ SQL = {
     "step_projection": f"WITH {PTS} SELECT point_id, x, y, z, t, de, CAST(0 AS FLOAT) AS dx, 'dx' AS missing FROM pts",
     "slice_owners": "WITH p AS (SELECT event_id, id, arg_max(pc_offsets, recorded_at) AS o FROM particles GROUP BY ALL), s AS (SELECT event_id, id, unnest(range(o[1], o[2])) AS step FROM p WHERE len(o) = 2 AND o[2] > o[1]) SELECT event_id, step, max(id) AS owner FROM s GROUP BY event_id, step",
     "pixel_keys": f"WITH {GRP} SELECT event_id, group_id, (CAST(center_py AS BIGINT) + 1048576) * 4398046511104 + (CAST(center_pz AS BIGINT) + 1048576) * 2097152 + CAST(center_times AS BIGINT) + 1048576 AS key FROM grp",
-    "nominal_positions": f"WITH {PTS}, q AS (SELECT point_id, CAST(x AS DOUBLE) AS x, drift_dir * CAST(t AS DOUBLE) * CAST(1.6 AS DOUBLE) AS s FROM pts JOIN volumes ON {VOLUME}) SELECT point_id, round(x + s, 4) AS x, round(s, 4) AS shift FROM q",
+    "nominal_positions": f"WITH {PTS}, q AS (SELECT point_id, CAST(x AS DOUBLE) AS x, drift_dir * CAST(t AS DOUBLE) * CAST(1.6 AS DOUBLE) AS s FROM pts JOIN volumes ON {VOLUME}) SELECT point_id, round(x + s, 4) AS x, CAST(round(s * 10000) AS BIGINT) AS shift FROM q",
     "decoded_segments": f"WITH {_SEG} SELECT event_id, volume, point_id AS segment_no, {', '.join(f'CAST(round_even((CAST({a} AS DOUBLE) + 2200) / 0.5, 0) * 0.5 - 2200 AS FLOAT) AS {a}' for a in 'xyz')} FROM seg",
     "matched_steps": f"WITH {_SEG} SELECT event_id, volume, point_id AS step_no, point_id AS segment_no, true AS near FROM seg",
     "truth_segments": f"""WITH {_SEG}, n AS (SELECT event_id, volume, count(DISTINCT group_id) AS n FROM seg GROUP BY ALL), o AS (SELECT event_id, volume, coalesce(sum(n) OVER (PARTITION BY event_id ORDER BY volume ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM n)

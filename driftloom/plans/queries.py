@@ -442,9 +442,7 @@ def decision_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def not_merged(spark: SparkSession, d: str) -> DataFrame:
     """Decisions of pairs that no decision merged: why they were not."""
-    x = table(spark, d, "merge_decisions").withColumn("outcome", reports.outcome(F.col("reason"))).withColumns({"lo": F.least("id1", "id2"), "hi": F.greatest("id1", "id2")})
-    m = x.where("outcome = 'MERGED'").select(F.col("event_id").alias("m_e"), F.col("lo").alias("m_lo"), F.col("hi").alias("m_hi")).distinct()
-    return x.join(m, (F.col("event_id") == F.col("m_e")) & (F.col("lo") == F.col("m_lo")) & (F.col("hi") == F.col("m_hi")), "left_anti").groupBy("outcome").agg(F.count_distinct("event_id", "lo", "hi").alias("pairs"))
+    return reports.never_merged(table(spark, d, "merge_decisions")).groupBy("outcome").agg(F.count_distinct("event_id", "lo", "hi").alias("pairs"))
 
 
 def run_report(spark: SparkSession, d: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _local: list[str] = []
+_held: list[Workspace] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,14 +35,15 @@ def shared_dir(spark: SparkSession) -> str:
 class Workspace:
     """A folder of written intermediate tables; ``drop`` removes one as soon as nothing reads it any more.
 
-    What is left when the process ends is removed then: results are lazy and may still read it until the caller has run them.
+    What is left when the process ends is removed then, or by ``release``: results are lazy and may still read it until the caller has run them.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
-        atexit.register(self._remove, self.root)
+        self._kept: list[tuple[DataFrame, str]] = []
+        _held.append(self)
 
     def write(self, df: DataFrame, sized: bool = False) -> str:
         """The path of the written table.
@@ -63,7 +65,16 @@ class Workspace:
 
     def keep(self, df: DataFrame, sized: bool = False) -> DataFrame:
         """The same rows, read from a written table with the frame's own schema."""
-        return self.spark.read.schema(df.schema).parquet(self.write(df, sized))
+        path = self.write(df, sized)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self._kept.append((kept, path))
+        return kept
+
+    def forget(self, kept: DataFrame) -> None:
+        """Removes the table of a frame that ``keep`` gave, once nothing reads it any more."""
+        for path in [p for f, p in self._kept if f is kept]:
+            self.drop(path)
+        self._kept = [(f, p) for f, p in self._kept if f is not kept]
 
     def drop(self, path: str) -> None:
         self._remove(path)
@@ -76,3 +87,13 @@ class Workspace:
         except Exception:  # the session may already be gone
             if path.startswith(("file:", "/")):
                 shutil.rmtree(path.removeprefix("file:").replace("//", "/"), ignore_errors=True)
+
+
+def release() -> None:
+    """Removes all intermediate tables written so far. Results that were not run before can no longer be: for between the queries of a long session."""
+    while _held:
+        ws = _held.pop()
+        ws._remove(ws.root)
+
+
+atexit.register(release)
