@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..store import Workspace
 
 #: Points of one cell above which it is split.
-SPLIT = 512
+SPLIT = 64
 
 
 def box_outlines(boxes: DataFrame, region: str, x: tuple[str, str], y: tuple[str, str], z: tuple[str, str] | None = None) -> DataFrame:
