@@ -65,6 +65,14 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
     return standing(table(spark, d, "file_records"), ["record_id"], ["file_id", "producer", "written_at", "payload"], "received_at")
 
 
+def p2_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Every record of the consistent table: whether it could be read, and how many of its cells are filled; as many as its payload has values, if none was lost on the way."""
+    t = p2_table(spark, d)
+    names = [c for c in t.columns if c not in ("record_id", "file_id", "readable")]
+    filled = F.aggregate(F.array(*(F.col(f"`{c}`").isNotNull().cast("int") for c in names)), F.lit(0), lambda a, b: a + b) if names else F.lit(0)
+    return t.select("record_id", "readable", filled.alias("cells"))
+
+
 def p2_values(spark: SparkSession, d: str) -> DataFrame:
     """Every value of every standing record, with the name it had in its file and its lasting one."""
     records = Workspace(spark, "records").keep(_records(spark, d))
@@ -211,7 +219,7 @@ def p6_markers(spark: SparkSession, d: str) -> DataFrame:
     return g.join(heads, (F.col("event_id") == F.col("e")) & (F.col("particle_id") == F.col("id")), "left").groupBy("event_id", F.col("group_id").cast("bigint").alias("group_id")).agg(F.count(F.lit(1)).alias("members"), F.count_if("frag").alias("fragment_heads"), F.count_if("inst").alias("instance_heads"), F.count_if(F.col("id").isNull()).alias("without_row"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_volumes, p1_polygons, p2_found, p2_table, p2_values, p2_versions, p3_found, p3_paths, p3_descendants, p3_pairs, p4_found, p4_orphans, p4_periods, p5_found, p5_particles, p5_sem_types, p6_found, p6_markers)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_volumes, p1_polygons, p2_found, p2_table, p2_cells, p2_values, p2_versions, p3_found, p3_paths, p3_descendants, p3_pairs, p4_found, p4_orphans, p4_periods, p5_found, p5_particles, p5_sem_types, p6_found, p6_markers)}
 
 _TRACKS = """g AS (SELECT 'geant4' AS hierarchy, event_id, track_id AS node_id, CASE WHEN parent_track_id >= 0 AND parent_track_id <> track_id THEN parent_track_id END AS parent_id, root_track_id AS stored, gone, seen_at
  FROM (SELECT event_id, track_id, arg_max(parent_track_id, recorded_at) AS parent_track_id, arg_max(root_track_id, recorded_at) AS root_track_id, arg_max(dropped, recorded_at) AS gone, max(recorded_at) AS seen_at FROM geant4 GROUP BY event_id, track_id)),
@@ -251,6 +259,8 @@ new AS (SELECT file_id, field_name, field_type FROM fields JOIN files USING (fil
 d AS (SELECT coalesce(new.file_id, old.file_id) AS file_id, coalesce(new.field_name, old.field_name) AS field_name, old.field_type AS o, new.field_type AS n FROM new FULL JOIN old ON old.file_id = new.file_id AND old.field_name = new.field_name WHERE old.field_type IS DISTINCT FROM new.field_type),
 m AS (SELECT *, CASE WHEN o IS NULL OR n IS NULL THEN coalesce(o, n) END AS mt FROM d), c AS (SELECT *, count(*) FILTER (n IS NULL) OVER w AS g, count(*) FILTER (o IS NULL) OVER w AS a FROM m WINDOW w AS (PARTITION BY file_id, mt))
 SELECT file_id, field_name, CASE WHEN mt IS NULL THEN 'retyped' WHEN g = 1 AND a = 1 THEN 'renamed' WHEN n IS NULL THEN 'removed' ELSE 'added' END AS change_kind FROM c WHERE NOT (mt IS NOT NULL AND g = 1 AND a = 1 AND n IS NULL)""",
+    "p2_cells": """WITH st AS (SELECT record_id, arg_max(payload, received_at) AS payload FROM file_records GROUP BY record_id), ok AS (SELECT record_id, CASE WHEN json_valid(payload) AND payload LIKE '{%' THEN payload END AS payload FROM (SELECT record_id, trim(payload, E' \\t\\n\\r') AS payload FROM st)),
+ leaf AS (SELECT record_id, count(*) AS n FROM (SELECT record_id, coalesce(payload, '{}') AS payload FROM ok) o, json_tree(o.payload) j WHERE j.type NOT IN ('OBJECT', 'NULL') AND j.fullkey NOT LIKE '%[%' AND NOT (j.type = 'ARRAY' AND json_array_length(j.value) = 0) GROUP BY record_id) SELECT ok.record_id, payload IS NOT NULL AS readable, CAST(coalesce(n, 0) AS INT) AS cells FROM ok LEFT JOIN leaf ON leaf.record_id = ok.record_id""",
     "p2_versions": f"""WITH {_FIELDS}, every AS (SELECT DISTINCT file_id, producer, written_at FROM file_records), pr AS (SELECT e.file_id, producer, written_at, coalesce(string_agg(field_name || ':' || field_type, chr(10) ORDER BY field_name || ':' || field_type), '') AS print, count(field_name) AS n FROM every e LEFT JOIN fields f ON f.file_id = e.file_id GROUP BY ALL),
  nr AS (SELECT *, row_number() OVER (PARTITION BY producer ORDER BY written_at, file_id) AS no FROM pr), v AS (SELECT producer, print, any_value(n) AS n, min(no) AS first_no, count(*) AS files FROM nr GROUP BY producer, print)
  SELECT producer, CAST(row_number() OVER (PARTITION BY producer ORDER BY first_no) AS INT) AS version, files, n AS fields, CAST(first_no AS INT) AS first_file FROM v""",
