@@ -77,7 +77,7 @@ def p9_checks(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p7_containers, p7_fill, p7_checks, p8_mixture, p8_shares, p8_checks, p9_found, p9_rates, p9_checks)}
 #: What SQL can state of the results: nothing is lost, divided or repeated beyond what is allowed.
 SQL: dict[str, str] = {
-    "p7_checks": "SELECT container_kind, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, 0 AS over, 0 AS missing, 0 AS divided, true AS full FROM containers WHERE capacity_tokens > 0",
+    "p7_checks": "SELECT container_kind, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, CAST(0 AS BIGINT) AS over, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS divided, true AS full FROM containers WHERE capacity_tokens > 0",
     "p8_checks": "SELECT DISTINCT source, true AS within_cap, true AS within_a_document FROM mix_targets WHERE source IS NOT NULL",
-    "p9_checks": "SELECT coalesce(source, '') AS source, coalesce(lang, '') AS lang, count(*) AS documents, 0 AS unjudged, true AS rate_holds FROM documents GROUP BY ALL",
+    "p9_checks": "SELECT coalesce(source, '') AS source, coalesce(lang, '') AS lang, count(*) AS documents, CAST(0 AS BIGINT) AS unjudged, true AS rate_holds FROM documents GROUP BY ALL",
 }
