@@ -43,6 +43,9 @@ class Workspace:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
         self._kept: list[tuple[DataFrame, str]] = []
+        if not _held:
+            atexit.unregister(release)
+            atexit.register(release)  # after the session's own, so that it runs while the session still lives
         _held.append(self)
 
     def write(self, df: DataFrame, sized: bool = False) -> str:
@@ -94,6 +97,3 @@ def release() -> None:
     while _held:
         ws = _held.pop()
         ws._remove(ws.root)
-
-
-atexit.register(release)
