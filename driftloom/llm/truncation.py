@@ -16,12 +16,13 @@ a suspicious length shifts the odds is fitted with it, per source: how common th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..store import Workspace
@@ -29,7 +30,7 @@ from ..store import Workspace
 ORDER, LEAST, SMOOTH = 16, 2, 1.0
 #: A context is kept with at least this share of all ends: at most ORDER * 2 / LEAST_SHARE contexts (3.2 million) are ever kept, however many texts there are.
 LEAST_SHARE = 1e-5
-#: Characters of a text's end that are looked at for a note at first; more, where a note may be longer.
+#: Characters of a text's end that are looked at for a note at first; more of the texts whose note may be longer.
 TAIL = 64
 #: A length is suspicious with RATIO times as many texts as lengths around it on average, and SURE nats of evidence (Poisson) that this is no chance.
 RATIO, SURE = 8, 12.0
@@ -37,6 +38,8 @@ RATIO, SURE = 8, 12.0
 BLOCK, TOP = 1024, 0.96
 #: A note is shared by SHARED of the texts of its length, at least NOTED of them, and ends at most RARE of the source's other texts.
 SHARED, NOTED, RARE = 0.8, 8, 0.1
+#: What names a suspicious length.
+GROUP = ["source", "kind", "at"]
 #: Rounds of training; an end with log odds of CLEAN or more trains no further round.
 ROUNDS, CLEAN = 2, 2.5
 #: Bounds of the fitted share of cut texts: few texts prove neither none nor all. A language is worth PRIOR texts of its source's share.
@@ -71,6 +74,12 @@ def lengths_of(docs: DataFrame, doc: str = "doc_id", text: str = "text", lang: s
     return docs.select(F.col(doc).alias("doc_id"), F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.length(t).alias("chars"), F.octet_length(t).alias("bytes"), F.right(t, F.lit(tail)).alias("tail"), F.xxhash64(t).alias("same"))
 
 
+def _whole(docs: DataFrame, text: str, source: str) -> DataFrame:
+    """``source``, ``chars``, ``bytes``, a hash of the text and the text."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.coalesce(F.col(source), F.lit("")).alias("source"), F.length(t).alias("chars"), F.octet_length(t).alias("bytes"), F.xxhash64(t).alias("same"), t.alias("text"))
+
+
 def _unlikely(n: Column, expected: Column) -> Column:
     """``n`` texts where about ``expected`` should be: RATIO times as many, and by more than chance."""
     m = expected + 0.05
@@ -100,30 +109,91 @@ def suspicious_lengths(ends: DataFrame) -> DataFrame:
     return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
 
 
+def _at(group: Sequence[str]) -> Column:
+    """Whether a text is of a suspicious length, given as columns for its source, kind and number."""
+    source, kind, at = (F.col(c) for c in group)
+    return (F.col("source") == source) & (at == F.when(kind == "chars", F.col("chars")).otherwise(F.col("bytes")))
+
+
+def _shared_suffixes(texts: DataFrame, of: DataFrame) -> DataFrame:
+    """``source``, ``kind``, ``at``, ``note``, ``k`` (its length): the longest suffix that SHARED of a length's texts have. Rows and time grow with the characters of the tails.
+
+    :param texts: ``source``, ``kind``, ``at``, ``tail``
+    :param of: ``a_source``, ``a_kind``, ``a_at``, ``all``: how many texts a length has
+    """
+    same = [F.col(k) == F.col(f"a_{k}") for k in GROUP]
+    chars = F.split(F.reverse("tail"), "")
+    # where SHARED have a suffix, SHARED have its character at each place: this path of characters, from the end, starts with it
+    most = texts.select(*GROUP, F.posexplode(chars).alias("place", "char")).groupBy(*GROUP, "place", "char").agg(F.count(F.lit(1)).alias("n")).join(of, same).where(F.col("n") >= SHARED * F.col("all"))
+    path = most.groupBy(*(F.col(k).alias(f"a_{k}") for k in GROUP), "all").agg(F.array_sort(F.collect_list(F.struct("place", "char"))).alias("path"))
+    path = path.withColumn("path", F.array_join(F.transform(F.filter("path", lambda x, i: x["place"] == i), lambda x: x["char"]), "")).where("path <> ''")
+    leaves = F.array_position(F.zip_with(chars, F.split("path", ""), lambda x, y: x.eqNullSafe(y)), False)
+    met = texts.join(path, same).groupBy(*GROUP, "all", "path", F.when(leaves == 0, F.length("path")).otherwise(leaves - 1).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    # how many follow the path at least so far
+    far = met.withColumn("n", F.sum("n").over(Window.partitionBy(*GROUP).orderBy(F.desc("k")))).where((F.col("k") > 0) & (F.col("n") >= SHARED * F.col("all")))
+    return far.groupBy(*GROUP).agg(F.max_by("path", "k").alias("path"), F.max("k").alias("k")).select(*GROUP, F.reverse(F.left("path", F.col("k"))).alias("note"), "k")
+
+
 def learned_notes(ends: DataFrame, spikes: DataFrame) -> DataFrame:
     """``source``, ``kind`` (chars, bytes), ``at``, ``note``, ``k`` (its length): what nearly all texts of a suspicious length end with, and hardly any other of the source. The longest such suffix of the ``tail``."""
-    ws = Workspace(ends.sparkSession, "notes")
+    return _notes(ends, spikes, None)[0]
+
+
+def _notes(ends: DataFrame, spikes: DataFrame, whole: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The notes, and ``ends`` with tails that reach ORDER characters beyond them.
+
+    :param whole: ``source``, ``chars``, ``bytes``, ``same``, ``text`` of every row of ``ends``, for notes that may be longer than TAIL. Only texts that end as such a note does are looked at again.
+    """
+    spark = ends.sparkSession
+    ws = Workspace(spark, "notes")
     at = spikes.where(F.col("kind").isin("chars", "bytes")).select(F.col("source").alias("s"), "kind", "at")
-    texts = ends.join(at, (F.col("source") == F.col("s")) & (F.col("at") == F.when(F.col("kind") == "chars", F.col("chars")).otherwise(F.col("bytes")))).groupBy("source", "kind", "at", "same").agg(F.first("tail").alias("tail"))
-    texts = ws.keep(texts)
-    group = ["source", "kind", "at"]
-    of = texts.groupBy(*(F.col(k).alias(f"a_{k}") for k in group)).agg(F.count(F.lit(1)).alias("all")).where(F.col("all") >= NOTED)
-
-    def longest(tails: DataFrame, lengths: Column) -> DataFrame:
-        """group, ``note``, ``k``: the longest shared suffix among the given lengths."""
-        suffixes = tails.select(*group, "tail", F.explode(lengths).alias("k")).where("k <= length(tail)").groupBy(*group, "k", F.right("tail", F.col("k")).alias("note")).agg(F.count(F.lit(1)).alias("n"))
-        return suffixes.join(of, [F.col(k) == F.col(f"a_{k}") for k in group]).where(F.col("n") >= SHARED * F.col("all")).groupBy(*group).agg(F.max_by("note", "k").alias("note"), F.max("k").alias("k"))
-
-    # shared suffixes of any length are suffixes of each other: first by doubling, then in between
-    rough = ws.keep(longest(texts, F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.pow(F.lit(2), i).cast("int"))).select(*(F.col(k).alias(f"r_{k}") for k in group), F.col("k").alias("from")))
-    near = texts.join(rough, [F.col(k) == F.col(f"r_{k}") for k in group]).withColumn("lengths", F.sequence(F.col("from"), F.col("from") * 2 - 1)).select(*group, "tail", "lengths")
-    shared = ws.keep(longest(near, F.col("lengths")))
-    # a natural end of file is common at other lengths too
-    notes = shared.select(F.col("source").alias("o_source"), "note").distinct()
-    own = shared.select(F.col("source").alias("w_s"), F.col("kind").alias("w_k"), F.col("at").alias("w_at"))
-    others = ends.where("chars > 0").join(own, (F.col("source") == F.col("w_s")) & (F.col("w_at") == F.when(F.col("w_k") == "chars", F.col("chars")).otherwise(F.col("bytes"))), "left_anti")
-    rare = others.join(notes, F.col("source") == F.col("o_source")).groupBy("o_source", F.col("note").alias("o_note")).agg(F.avg(F.endswith(F.col("tail"), F.col("note")).cast("int")).alias("often"))
-    return shared.join(rare, (F.col("source") == F.col("o_source")) & (F.col("note") == F.col("o_note")), "left").where(F.col("often").isNull() | (F.col("often") < RARE)).select(*group, "note", "k")
+    texts = ws.keep(ends.join(at, _at(["s", "kind", "at"])).groupBy("source", "kind", "at", "same").agg(F.first("tail").alias("tail")), sized=True)
+    of = ws.keep(texts.groupBy(*(F.col(k).alias(f"a_{k}") for k in GROUP)).agg(F.count(F.lit(1)).alias("all")).where(F.col("all") >= NOTED), sized=True)
+
+    def shared_suffixes(texts: DataFrame, most: int) -> tuple[DataFrame, bool]:
+        """The shared suffixes, and whether any is longer than ``most``."""
+        path, n = ws.count(_shared_suffixes(texts, of), sized=True, long=F.col("k") > most)
+        return spark.read.schema("source string, kind string, at bigint, note string, k int").parquet(path), n["long"] > 0
+
+    short, more = shared_suffixes(texts, TAIL - ORDER)
+    own = short.select(*(F.col(k).alias(f"w_{k}") for k in GROUP))
+
+    def others(of: DataFrame) -> DataFrame:
+        return of.where("chars > 0").join(own, _at(["w_source", "w_kind", "w_at"]), "left_anti")
+
+    def rare(shared: DataFrame, often: DataFrame) -> DataFrame:
+        """Those that are no natural end of file, which is common at other lengths too."""
+        return shared.join(often, (F.col("source") == F.col("o_source")) & (F.col("note") == F.col("o_note")), "left").where(F.col("often").isNull() | (F.col("often") < RARE)).select(*GROUP, "note", "k")
+
+    def named(shared: DataFrame) -> DataFrame:
+        return shared.select(F.col("source").alias("o_source"), F.col("note").alias("o_note")).distinct()
+
+    def by_tail(shared: DataFrame) -> DataFrame:
+        return rare(shared, others(ends).join(named(shared), F.col("source") == F.col("o_source")).groupBy("o_source", "o_note").agg(F.avg(F.endswith(F.col("tail"), F.col("o_note")).cast("int")).alias("often")))
+
+    if whole is None or not more:
+        return by_tail(short), ends
+    long = short.where(F.col("k") > TAIL - ORDER)
+    last = lambda c: F.right(c, F.lit(TAIL - ORDER + 1))
+    first = ws.keep(long.select(F.col("source").alias("l_source"), last(F.col("note")).alias("l_last")).distinct(), sized=True)
+    deep = ws.keep(whole.join(first, (F.col("source") == F.col("l_source")) & (last(F.col("text")) == F.col("l_last")), "left_semi"), sized=True)  # copies pack to next to nothing
+    found, tail = [], TAIL
+    while more:
+        tail *= 4
+        now = long.select(*(F.col(k).alias(f"l_{k}") for k in GROUP))
+        texts = deep.join(now, _at(["l_source", "l_kind", "l_at"])).groupBy("source", F.col("l_kind").alias("kind"), F.col("l_at").alias("at"), "same").agg(F.first(F.right("text", F.lit(tail))).alias("tail"))
+        shared, more = shared_suffixes(ws.keep(texts, sized=True), tail - ORDER)
+        found.append(shared.where(F.col("k") <= tail - ORDER))
+        long = shared.where(F.col("k") > tail - ORDER)
+    long = ws.keep(reduce(DataFrame.unionByName, found), sized=True)
+    ending = others(deep).join(named(long), (F.col("source") == F.col("o_source")) & (last(F.col("text")) == last(F.col("o_note"))) & F.endswith(F.col("text"), F.col("o_note"))).groupBy("o_source", "o_note").agg(F.count(F.lit(1)).alias("n"))
+    total = others(ends).join(first.select("l_source").distinct(), F.col("source") == F.col("l_source"), "left_semi").groupBy(F.col("source").alias("t_source")).agg(F.count(F.lit(1)).alias("of"))
+    long = ws.keep(rare(long, ending.join(total, F.col("o_source") == F.col("t_source")).select("o_source", "o_note", (F.col("n") / F.col("of")).alias("often"))), sized=True)
+    held = long.select(*(F.col(k).alias(f"h_{k}") for k in GROUP), "note", "k")
+    longer = deep.join(held, _at(["h_source", "h_kind", "h_at"]) & F.endswith(F.col("text"), F.col("note"))).groupBy(F.col("source").alias("b_source"), F.col("same").alias("b_same")).agg(F.max_by(F.right("text", F.col("k") + ORDER), "k").alias("b_tail"))
+    longer = ws.keep(longer, sized=True)
+    ends_ = ends.join(longer, (F.col("source") == F.col("b_source")) & (F.col("same") == F.col("b_same")), "left").select(*(F.coalesce("b_tail", "tail").alias("tail") if c == "tail" else F.col(c) for c in ends.columns))
+    return by_tail(short.where(F.col("k") <= TAIL - ORDER)).unionByName(long), ends_
 
 
 def _contexts(ends: DataFrame) -> DataFrame:
@@ -294,15 +364,10 @@ def truncated_texts(docs: DataFrame, doc: str = "doc_id", text: str = "text", la
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "truncation")
-    tail = TAIL
-    while True:
-        ends = ws.keep(lengths_of(docs, doc, text, lang, source, tail))
-        spikes = ws.keep(suspicious_lengths(ends)) if tail == TAIL else spikes
-        at, n = ws.count(learned_notes(ends, spikes), long=F.col("k") > tail - ORDER)
-        if not n["long"]:
-            break
-        tail *= 4  # a note may be longer than what was looked at
-    notes = spark.read.schema("source string, kind string, at bigint, note string, k int").parquet(at)
+    ends = ws.keep(lengths_of(docs, doc, text, lang, source))
+    spikes = ws.keep(suspicious_lengths(ends))
+    notes, ends = _notes(ends, spikes, _whole(docs, text, source))
+    notes = ws.keep(notes, sized=True)
 
     def spike(kind: str) -> DataFrame:
         return spikes.where(F.col("kind") == kind).select(F.col("source").alias(f"{kind}_s"), F.col("at").alias(f"{kind}_at"))

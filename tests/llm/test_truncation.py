@@ -5,6 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from driftloom.llm import truncation
 from driftloom.llm.truncation import fit_limits, learned_notes, lengths_of, suspicious_lengths, truncated_texts
 
 SCHEMA = "doc_id long, text string, lang string, source string"
@@ -79,6 +80,25 @@ def test_long_notes_and_cuts_by_bytes(spark):
     assert len(found & cut) / len(cut) > 0.9 and len(found & cut) / len(found) > 0.9
 
 
+def test_long_suffixes_read_the_table_once(spark, monkeypatch):
+    """Altered copies of one text share more than any tail; only such texts are looked at again. What other lengths end with too is no note."""
+    rng = random.Random(5)
+    body, foot = "".join(chr(rng.choice([97, 98, 10, 228, 0x1F600])) for _ in range(1500)), "\n// " + "this file is part of a collection " * 4
+    docs = [(i, f"# {i:06d}" + body, "py", "copies") for i in range(12)] + [(20 + i, python(rng), "py", "copies") for i in range(60)]
+    docs += [(100 + i, (python(rng) + "x" * 900)[:900] + foot, "py", "footed") for i in range(12)] + [(120 + i, python(rng) + foot, "py", "footed") for i in range(60)]
+    df = spark.createDataFrame(docs, SCHEMA)
+    ends = lengths_of(df, tail=4096)
+    in_tails = {(r.source, r.kind, r.at, r.note) for r in learned_notes(ends, suspicious_lengths(ends)).collect()}
+    note = next(docs[0][1][-k:] for k in range(len(docs[0][1]), 0, -1) if sum(d[1].endswith(docs[0][1][-k:]) for d in docs[:12]) >= 0.8 * 12)
+    assert len(note) >= 1500 and in_tails == {("copies", "chars", 1508, note), ("copies", "bytes", len(docs[0][1].encode()), note)}
+
+    calls = []
+    monkeypatch.setattr(truncation, "lengths_of", lambda *a, **k: calls.append(a) or lengths_of(*a, **k))
+    rows = {r.doc_id: r.length_class for r in truncated_texts(df).collect()}
+    assert len(calls) == 1 and len(rows) == len(docs)
+    assert {rows[i] for i in range(12)} == {"note 1508"} and not any(c.startswith("note") for i, c in rows.items() if i > 11)
+
+
 def test_limits_are_per_language():
     rng = np.random.default_rng(0)
     lang = np.repeat([0, 1], 2000)
