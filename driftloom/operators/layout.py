@@ -123,10 +123,15 @@ def interaction_table(rows: DataFrame, spans: DataFrame, vertices: DataFrame | N
     numbered = running(live, (event,), ["vertex_id"], {"no": F.lit(1)}).withColumn("interaction_id", (F.col("no") - 1).cast("int")).drop("no")
     s = spans.select(F.col(event).alias("s_e"), F.col("interaction_id").alias("s_i"), "start", "end")
     out = numbered.join(s, (F.col(event) == F.col("s_e")) & (F.col("vertex_id") == F.col("s_i")), "left").select(event, "interaction_id", "vertex_id", "part_start", "part_end", F.coalesce("start", F.lit(-1)).alias("pc_start"), F.coalesce("end", F.lit(-1)).alias("pc_end"))
+    return with_vertices(out, vertices, event)
+
+
+def with_vertices(interactions: DataFrame, vertices: DataFrame | None, event: str = "event_id") -> DataFrame:
+    """The interactions with the further columns of the ``vertices`` (event, ``vertex_row``, ...) that they were numbered after; without any, as they are."""
     if vertices is None:
-        return out
-    v = vertices.select(F.col(event).alias("v_e"), F.col("vertex_row").alias("v_r"), *(c for c in vertices.columns if c not in (event, "vertex_row", *out.columns)))
-    return out.join(v, (F.col(event) == F.col("v_e")) & (F.col("vertex_id") == F.col("v_r")), "left").drop("v_e", "v_r")
+        return interactions
+    v = vertices.select(F.col(event).alias("v_e"), F.col("vertex_row").alias("v_r"), *(c for c in vertices.columns if c not in (event, "vertex_row", *interactions.columns)))
+    return interactions.join(v, (F.col(event) == F.col("v_e")) & (F.col("vertex_id") == F.col("v_r")), "left").drop("v_e", "v_r")
 
 
 def first_last_steps(steps: DataFrame, instance: Sequence[str] = ("event_id", "inst_id"), time: str = "t", tie: str = "step_id", keep: Sequence[str] = ("x", "y", "z")) -> DataFrame:

@@ -365,6 +365,7 @@ def run_checks(spark: SparkSession, d: str) -> DataFrame:
     points, members = ws.keep(r.points), ws.keep(r.membership)
     rows = points.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("point_row").alias("d"), F.max("point_row").alias("top"), F.sum("de").alias("de"))
     total = rows.agg(F.sum("n").alias("voxels"), F.round(F.sum("de"), 1).alias("energy"), F.count_if((F.col("n") != F.col("d")) | (F.col("top") != F.col("n") - 1)).alias("gaps"))
+    total = ws.keep(total)
     one = lambda df, name, c: df.select(F.lit(name).alias("what"), F.col(c).cast("double").alias("value"))
     bridged = r.voxmap.agg(F.count_distinct("point_id").alias("n"))
     heads = members.where("frag_id = id").select(F.col("event_id").alias("h_e"), F.col("frag_id").alias("h_f"))

@@ -7,14 +7,16 @@ merge to instances; keep what is traceable; order points and rows. Each stage is
 from __future__ import annotations
 
 from dataclasses import asdict
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .enums import SEMANTIC
 from .functions.columns import semantic_type
-from .operators import clustering, genealogy, layout, points as P
+from .operators import bundles, clustering, genealogy, layout, points as P
 from .operators.readout import owners
 from .operators.skew import running
 from .params import Params
@@ -45,18 +47,20 @@ def _to(df: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFra
     return df.join(r, (F.col("event_id") == F.col("__e")) & (F.col(key) == F.col("__i")), how).drop("__e", "__i")
 
 
-def run_events(particles: DataFrame, points: DataFrame, params: Params | None = None, vertices: DataFrame | None = None, keep: DataFrame | None = None) -> Run:
+def run_events(particles: DataFrame, points: DataFrame, params: Params | None = None, vertices: DataFrame | None = None, keep: DataFrame | None = None, event_rows: int = bundles.EVENT_ROWS) -> Run:
     """Fragments, instances and their layout, of all events.
 
     :param particles: event_id, id, parent_id (null or itself: none), ancestor_id, pdg, parent_pdg, geant4_trackid, interaction_id, interaction_type; a row each
     :param points: event_id, particle_id, point_id (unique), x, y, z, t, de, dx
     :param vertices: event_id, vertex_row and what interactions are to carry of them
     :param keep: event_id, id of particles that get a row in any case
+    :param event_rows: events of at most so many particles and voxels are run within a task (``operators.bundles``), larger ones by operators on tables; both give the same rows
 
     Points of unknown particles, and points with a null or NaN coordinate, are left out. Null pdg and kinds count as 0 and invalid. An event without points still has its primaries' rows where something of it is kept.
     """
     params = params or Params()
-    ws = Workspace(particles.sparkSession, "run")
+    spark = particles.sparkSession
+    ws = Workspace(spark, "run")
     base = ws.keep(particles.select("event_id", "id", "parent_id", "ancestor_id", F.coalesce("pdg", F.lit(0)).alias("pdg"), F.coalesce("parent_pdg", F.lit(0)).alias("parent_pdg"), "geant4_trackid", F.coalesce("interaction_id", F.lit(-1)).alias("interaction_id"), F.coalesce(F.col("interaction_type").cast("int"), F.lit(13)).alias("interaction_type")))
     own = points.join(base.select(F.col("event_id").alias("o_e"), F.col("id").alias("o_i")), (F.col("event_id") == F.col("o_e")) & (F.col("particle_id") == F.col("o_i")), "left_semi")
     voxels = ws.keep(P.voxelize(own, params.voxel_size, params.voxel_origin, point="point_id"))
@@ -64,7 +68,104 @@ def run_events(particles: DataFrame, points: DataFrame, params: Params | None =
     extent = P.extent(voxels, params.extent_voxel()).select("event_id", "particle_id", "extent")
     kind = semantic_type(F.col("interaction_type"), F.col("pdg"), F.col("parent_pdg"), F.coalesce("extent", F.lit(0)), params.min_pc_size, strict=False)
     typed = ws.keep(_to(base, extent, "id").withColumn("sem_type", kind).drop("extent"))
+    if not _can_bundle(typed, voxels, params):
+        return _spread(typed, voxels, own, params, vertices, keep)[0]
 
+    # events that a task may hold: small ones without crowds, whose rows have names of their own
+    rows = typed.groupBy("event_id", "id").agg(F.count(F.lit(1)).alias("k")).groupBy("event_id").agg(F.sum("k").alias("rows"), (F.max("k") > 1).alias("repeated"), F.bool_or(F.col("id").isNull()).alias("unnamed"))
+    clouds = voxels.groupBy(F.col("event_id").alias("v_e")).agg(F.count(F.lit(1)).alias("v"), F.bool_or(F.col("point_id").isNull()).alias("v_unnamed"))
+    odd = F.col("repeated") | F.col("unnamed") | F.coalesce("v_unnamed", F.lit(False)) | F.col("event_id").isNull()
+    sizes = ws.keep(rows.join(clouds, F.col("event_id") == F.col("v_e"), "left").select("event_id", (F.col("rows") + F.coalesce("v", F.lit(0))).alias("rows"), odd.alias("odd")), sized=True)
+    large = (F.col("rows") > event_rows) | F.col("odd")
+    doubtful = sizes.where(~large & (F.col("rows") * F.col("rows") > bundles.EVENT_PAIRS)).select(F.col("event_id").alias("d_e"))  # smaller events cannot have as many pairs
+    crowds = voxels.join(doubtful, F.col("event_id") == F.col("d_e"), "left_semi").groupBy(F.col("event_id").alias("c_e"), *(F.floor(F.col(a).cast("double") / params.distance_threshold) for a in "xyz")).agg(F.count(F.lit(1)).alias("v"))
+    crowds = crowds.groupBy("c_e").agg(F.sum(F.col("v") * F.col("v")).alias("pairs")).where(F.col("pairs") > bundles.EVENT_PAIRS)
+    sizes = ws.keep(sizes.join(crowds, F.col("event_id") == F.col("c_e"), "left").select("event_id", "rows", (large | F.col("c_e").isNotNull()).alias("large")), sized=True)
+    n = sizes.agg(F.count_if("large").alias("large"), F.coalesce(F.sum(F.when(~F.col("large"), F.col("rows"))), F.lit(0)).alias("small")).first()
+    if not n["large"]:
+        return _at_once([_bundled(typed, voxels, points, params, vertices, keep, n["small"])])
+    which = sizes.where("large").select(F.col("event_id").alias("w_e"))
+    of = lambda how: (df.join(which, F.col("event_id").eqNullSafe(F.col("w_e")), how) for df in (typed, voxels, own))
+    parts = [_spread(*of("left_semi"), params, vertices, keep)]
+    if n["small"]:
+        parts.append(_bundled(*of("left_anti"), params, vertices, keep, n["small"]))
+    return _at_once(parts)
+
+
+def _can_bundle(typed: DataFrame, voxels: DataFrame, params: Params) -> bool:
+    """Whether ids are whole numbers and the rules those that bundles know, in an order in which an event that merges nothing in a pass is done."""
+    whole = all(typed.schema[c].dataType.simpleString() in ("int", "bigint", "smallint", "tinyint") for c in typed.columns) and voxels.schema["point_id"].dataType.simpleString() in ("int", "bigint")
+    return whole and set(params.rules) <= set(clustering.RULES) and "photon_decay" not in params.rules[1:]
+
+
+def _at_once(parts: list[tuple[Run, int]]) -> Run:
+    """The runs of several sets of events as one. Passes are those of all events: pairs that an event tries again in passes that only others need are told again."""
+    most = max(passes for _, passes in parts)
+    told = []
+    for run, passes in parts:
+        d = run.decisions
+        if "last" not in d.columns:
+            d = d.withColumn("last", F.lit(run.converged) & (F.col("pass_no") == passes))
+        again = F.when(F.col("last"), F.sequence(F.col("pass_no"), F.lit(most))).otherwise(F.array("pass_no"))
+        told.append(run._replace(decisions=d.select("event_id", "child", "parent", "rule", F.explode(again).alias("pass_no"), "outcome")))
+    both = {k: reduce(DataFrame.unionByName, (getattr(r, k) for r in told)) for k in Run._fields if k != "converged"}
+    return Run(**both, converged=all(r.converged for r in told))
+
+
+def _bundled(typed: DataFrame, voxels: DataFrame, points: DataFrame, params: Params, vertices: DataFrame | None, keep: DataFrame | None, rows: int) -> tuple[Run, int]:
+    """The run of small events, each within a task, and the passes that they took; decisions have ``last``, true for those of an event's last pass."""
+    ws = Workspace(typed.sparkSession, "bundles")
+    many = max(1, rows // bundles.BUNDLE_ROWS)
+    bundle = F.pmod(F.xxhash64("event_id"), F.lit(many)).alias("bundle")
+    people = typed.withColumn("asked", F.lit(False))
+    if keep is not None:
+        people = people.unionByName(keep.select("event_id", "id", F.lit(True).alias("asked")), allowMissingColumns=True)
+    clouds = voxels.select(bundle, "event_id", "particle_id", "point_id", "x", "y", "z")
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        return bundles.run_bundle(a, b, params)
+
+    all_ = ws.keep(people.select(bundle, "*").groupBy("bundle").cogroup(clouds.groupBy("bundle")).applyInArrow(run, bundles.SCHEMA))
+    kind = lambda k: all_.where(F.col("kind") == k)
+    end = kind("end").agg(F.max("n").alias("passes"), F.bool_and("last").alias("converged")).first()
+    passes = end["passes"] if end["passes"] is not None else min(1, params.max_passes)
+    converged = end["converged"] if end["converged"] is not None else params.max_passes > 0
+
+    of = {c: typed.schema[c].dataType for c in typed.columns} | {"point_id": voxels.schema["point_id"].dataType}
+    as_ = lambda c, like, name=None: F.col(c).cast(of.get(like, like)).alias(name or c)
+    event, id_ = as_("event_id", "event_id"), lambda c, name=None: as_(c, "id", name)
+    p = kind("particle")
+    out = p.where("stored").select(
+        event, as_("row_no", "int"), id_("id"), as_("geant4_trackid", "geant4_trackid"), id_("parent_id"), id_("ancestor_id"), as_("pdg", "pdg"), as_("parent_pdg", "pdg"), as_("interaction_id", "int"), as_("interaction_type", "interaction_type"), as_("sem_type", "sem_type"), "pc_start", "pc_end",
+        id_("frag_id"), as_("frag_sem", "sem_type"), "frag_pc_start", "frag_pc_end", "frag_merge_count", id_("frag_parent_id"), id_("frag_inst_id"), id_("inst_id"), as_("inst_sem", "sem_type"), "inst_pc_start", "inst_pc_le_start", "inst_pc_end", "inst_merge_count", id_("inst_parent_id"),
+    )
+    membership = p.select(event, id_("id"), id_("in_frag", "frag_id"), id_("in_inst", "inst_id"), "is_le", as_("of_frag_sem", "sem_type", "frag_sem"), as_("of_inst_sem", "sem_type", "inst_sem"), "n")
+    interactions = layout.with_vertices(kind("interaction").select(event, as_("interaction_id", "int"), as_("id", "interaction_id", "vertex_id"), as_("row_no", "int", "part_start"), as_("n", "int", "part_end"), "pc_start", "pc_end"), vertices)
+    decisions = kind("decision").select(event, id_("id", "child"), id_("parent_id", "parent"), F.col("code").alias("rule"), as_("n", "int", "pass_no"), "outcome", "last")
+    pieces = kind("piece").select(event, as_("id", "int", "new_id"), id_("parent_id", "particle_id"), F.col("n").alias("points"))
+    issues = kind("issue").select(event, id_("id"), "code")
+
+    moved = ws.keep(kind("moved").select(F.col("event_id").alias("m_e"), F.col("point_id").alias("m_p"), id_("id", "new_id")), sized=True)
+    cloud = voxels.join(moved, (F.col("event_id") == F.col("m_e")) & (F.col("point_id") == F.col("m_p")), "left")
+    cloud = ws.keep(cloud.withColumns({"made_by": F.col("particle_id"), "particle_id": F.coalesce("new_id", "particle_id")}).drop("m_e", "m_p", "new_id"))
+    ws.forget(moved)
+    start = p.where("n > 0").select(F.col("event_id").alias("s_e"), id_("id", "s_i"), "pc_start")
+    no = F.row_number().over(Window.partitionBy("event_id", "particle_id").orderBy("point_id"))  # of a small event
+    placed = cloud.join(start, (F.col("event_id") == F.col("s_e")) & (F.col("particle_id") == F.col("s_i")))
+    stored_points = placed.select("event_id", (F.col("pc_start") + no - 1).alias("point_row"), "particle_id", "point_id", "x", "y", "z", "t", "de", "dx", F.col("n"))
+    return Run(out, stored_points, interactions, membership, decisions, _bridge(cloud, points, params), pieces, issues, converged), passes
+
+
+def _bridge(cloud: DataFrame, points: DataFrame, params: Params) -> DataFrame:
+    """Which input points fell into each voxel, by the particle that has it now: event_id, particle_id, ``voxel_id``, point_id. Points of particles that the cloud has not are left out."""
+    bridge = cloud.select("event_id", "made_by", "vx", "vy", "vz", F.col("point_id").alias("voxel_id"), "particle_id")
+    inputs = P.voxmap(points, params.voxel_size, params.voxel_origin).withColumnsRenamed({"event_id": "i_e", "particle_id": "i_p", "vx": "i_x", "vy": "i_y", "vz": "i_z"})
+    return bridge.join(inputs, (F.col("event_id") == F.col("i_e")) & (F.col("made_by") == F.col("i_p")) & (F.col("vx") == F.col("i_x")) & (F.col("vy") == F.col("i_y")) & (F.col("vz") == F.col("i_z"))).select("event_id", "particle_id", "voxel_id", "point_id")
+
+
+def _spread(typed: DataFrame, voxels: DataFrame, own: DataFrame, params: Params, vertices: DataFrame | None, keep: DataFrame | None) -> tuple[Run, int]:
+    """The run of events of any size by operators on tables, and the passes that it took."""
+    ws = Workspace(typed.sparkSession, "run")
     moved, pieces = clustering.defragment(voxels.select("event_id", "particle_id", "point_id", "x", "y", "z"), typed, params)
     pieces = ws.keep(pieces)
     to = moved.select(F.col("event_id").alias("m_e"), F.col("point_id").alias("m_p"), "new_id")
@@ -76,7 +177,7 @@ def run_events(particles: DataFrame, points: DataFrame, params: Params | None =
 
     fixed = genealogy.resolve_orphans(everyone).select("event_id", "id", F.col("parent_id").alias("p"), F.col("ancestor_id").alias("a"))
     every = ws.keep(_to(everyone, fixed, "id").drop("parent_id", "ancestor_id").withColumnsRenamed({"p": "parent_id", "a": "ancestor_id"}))
-    issues = ws.keep(genealogy.genealogy_issues(base))
+    issues = ws.keep(genealogy.genealogy_issues(typed))
 
     f = clustering.merge_fixpoint(every, cloud.select("event_id", "particle_id", "point_id", "x", "y", "z"), params)
     state = ws.keep(f.state)
@@ -165,11 +266,9 @@ def run_events(particles: DataFrame, points: DataFrame, params: Params | None =
     start = laid.select("event_id", "particle_id", "pc_start")
     placed = running(cloud, ("event_id", "particle_id"), ["point_id"], {"no": F.lit(1)})
     stored_points = _to(placed, start, "particle_id", "inner").select("event_id", (F.col("pc_start") + F.col("no") - 1).alias("point_row"), "particle_id", "point_id", "x", "y", "z", "t", "de", "dx", "n")
-    bridge = _to(cloud.select("event_id", "made_by", "vx", "vy", "vz", F.col("point_id").alias("voxel_id"), "particle_id"), laid.select("event_id", "particle_id"), "particle_id", "inner")
-    inputs = P.voxmap(own, params.voxel_size, params.voxel_origin).withColumnsRenamed({"event_id": "i_e", "particle_id": "i_p", "vx": "i_x", "vy": "i_y", "vz": "i_z"})
-    voxmap = bridge.join(inputs, (F.col("event_id") == F.col("i_e")) & (F.col("made_by") == F.col("i_p")) & (F.col("vx") == F.col("i_x")) & (F.col("vy") == F.col("i_y")) & (F.col("vz") == F.col("i_z"))).select("event_id", "particle_id", "voxel_id", "point_id")
+    voxmap = _bridge(_to(cloud, laid.select("event_id", "particle_id"), "particle_id", "left_semi"), own, params)
     told = membership.select("event_id", "id", "frag_id", F.when(F.col("written"), F.col("inst_id")).otherwise(none).alias("inst_id"), "is_le", "frag_sem", "inst_sem", "n")
-    return Run(out, stored_points, interactions, told, f.decisions, voxmap, pieces, issues, f.converged)
+    return Run(out, stored_points, interactions, told, f.decisions, voxmap, pieces, issues, f.converged), f.passes
 
 
 def group_owners(run: Run, deposits: DataFrame, mode: str = "majority") -> DataFrame:

@@ -223,3 +223,55 @@ def test_medians_and_positions_in_the_file(spark):
     ranges = sizes.select("event_id", F.lit(3).cast("bigint").alias("start"), F.lit(-1).cast("bigint").alias("end"))
     there = layout.absolute(ranges, sizes, ["start", "end"])
     assert sorted(tuple(r) for r in layout.relative(there, sizes, ["start", "end"]).collect()) == sorted(tuple(r) for r in ranges.collect())
+
+
+def random_events(spark, events=40):
+    """Events of any genealogy: circles, absent parents, self-parents, nulls, pieces, deltas, photons, and clouds that touch or repeat."""
+    rng = random.Random(11)
+    particles, points = [], []
+    for e in range(events):
+        n = rng.randint(1, 24)
+        for i in range(n):
+            parent = rng.choice([None, i, rng.randint(0, n + 2), rng.randint(0, n - 1), max(0, i - 1)])
+            kind = rng.choice([I["primary"], I["delta"], I["delta"], I["conversion"], I["compton"], I["photoelectron"], I["photon"], I["decay"], I["track"], I["ionization"], None])
+            particles.append((e, i * 3, None if parent is None else parent * 3, rng.choice([None, 0, i * 3, 999]), rng.choice([11, -11, 22, 22, 13, 2112, None]), rng.choice([22, 22, 11, 13, None]), rng.choice([i, i, 1, None]), rng.choice([0, 0, 1, 2, -1, None]), kind))
+            at, k = [rng.uniform(0, 40) for _ in range(3)], rng.choice([0, 0, 1, 3, 12, 30])
+            step = [rng.uniform(-2, 2) for _ in range(3)]
+            points += [(e, i * 3, 100_000 * e + 1000 * i + j, *(a + b * j + rng.choice([0.0, 0.0, 12.0]) for a, b in zip(at, step)), float(j), 0.5, 0.25) for j in range(k)]
+            points += [(e, 5000, 100_000 * e + 1000 * i + 900, 0.0, 0.0, 0.0, 0.0, 1.0, 1.0), (e, i * 3, 100_000 * e + 1000 * i + 901, float("nan"), 0.0, 0.0, 0.0, 1.0, 1.0)]
+    p = spark.createDataFrame(particles, "event_id int, id int, parent_id int, ancestor_id int, pdg int, parent_pdg int, geant4_trackid int, interaction_id int, interaction_type int")
+    return p, spark.createDataFrame(points, "event_id int, particle_id int, point_id int, x float, y float, z float, t float, de float, dx float")
+
+
+TABLES = ("points", "membership", "voxmap", "pieces", "issues")
+
+
+@pytest.fixture(scope="module")
+def both_ways(spark):
+    """A run of events within tasks, one by operators on tables, and one of which some events go either way: each table's columns and sorted rows, and whether merging converged."""
+    p, q = random_events(spark)
+    params = Params(delta_min_standoff=8.0)
+    keep, vertices = spark.createDataFrame([(e, 3) for e in range(0, 40, 2)] + [(77, 1)], "event_id int, id int"), spark.createDataFrame([(e, v, f"v{v}") for e in range(40) for v in (0, 1)], "event_id int, vertex_row int, name string")
+    out = []
+    for rows in (10**6, 0, 120):
+        r = run_events(p, q, params, vertices, keep, event_rows=rows)
+        out.append(({k: (sorted(getattr(r, k).dtypes), sorted(map(repr, getattr(r, k).select(sorted(getattr(r, k).columns)).collect()))) for k in TABLES}, r.converged))
+    return out
+
+
+@pytest.mark.parametrize("table", TABLES)
+def test_events_within_tasks_give_the_rows_of_operators_on_tables(both_ways, table):
+    (within, a), (spread, b), (mixed, c) = both_ways
+    assert a == b == c and within[table][1]
+    assert within[table] == spread[table] and mixed[table] == spread[table]
+
+
+def test_run_takes_few_jobs(spark):
+    """However often its rules go round: over operators on tables these events take hundreds of jobs, which is what a run of small events used to cost."""
+    p, q = random_events(spark)
+    spark.sparkContext.setJobGroup("few-jobs", "a run")
+    try:
+        run_events(p, q, Params(delta_min_standoff=8.0))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs")) < 100
