@@ -83,7 +83,10 @@ def run_events(particles: DataFrame, points: DataFrame, params: Params | None =
     sizes = ws.keep(sizes.join(crowds, F.col("event_id") == F.col("c_e"), "left").select("event_id", "rows", (large | F.col("c_e").isNotNull()).alias("large")), sized=True)
     n = sizes.agg(F.count_if("large").alias("large"), F.coalesce(F.sum(F.when(~F.col("large"), F.col("rows"))), F.lit(0)).alias("small")).first()
     if not n["large"]:
-        return _at_once([_bundled(typed, voxels, points, params, vertices, keep, n["small"])])
+        run = _at_once([_bundled(typed, voxels, points, params, vertices, keep, n["small"])])
+        for done in (base, voxels, typed):  # the tables of the run hold all of them
+            ws.forget(done)
+        return run
     which = sizes.where("large").select(F.col("event_id").alias("w_e"))
     of = lambda how: (df.join(which, F.col("event_id").eqNullSafe(F.col("w_e")), how) for df in (typed, voxels, own))
     parts = [_spread(*of("left_semi"), params, vertices, keep)]

@@ -275,3 +275,10 @@ def test_run_takes_few_jobs(spark):
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs")) < 100
+
+
+def test_group_owners_are_the_same_either_way(spark):
+    p, q = random_events(spark, 5)
+    groups = q.select("event_id", "point_id", F.floor(F.col("point_id") / 16).alias("group_id"))
+    within, spread = (sorted(map(tuple, group_owners(run_events(p, q, Params(delta_min_standoff=8.0), event_rows=n), groups).collect())) for n in (10**6, 0))
+    assert within == spread and within
