@@ -243,7 +243,7 @@ def random_events(spark, events=40):
     return p, spark.createDataFrame(points, "event_id int, particle_id int, point_id int, x float, y float, z float, t float, de float, dx float")
 
 
-TABLES = ("particles", "points", "decisions", "membership", "voxmap", "pieces", "issues")
+TABLES = ("particles", "points", "interactions", "decisions", "membership", "voxmap", "pieces", "issues")
 
 
 @pytest.fixture(scope="module")
